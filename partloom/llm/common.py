@@ -8,15 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partloom.session import ship
+
 #: Rows and bytes of one Arrow batch handed to a Python task, so that a batch of long texts stays small.
 ARROW_ROWS, ARROW_BYTES = 2000, "16m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that Python tasks receive."""
+    """Bound the Arrow batches that Python tasks receive, and send them this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    return spark
+    return ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
