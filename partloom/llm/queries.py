@@ -10,12 +10,37 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").filter(topk.usable(F.col("embedding")))
+    rows = rows.select(F.col("vec_id").cast("long").alias("id"), topk.whole_numbers(F.col("embedding")).alias("vec"))
+    return topk.search(rows.filter("id % 20 = 0"), rows, k=20)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html
+
+    pages = html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii_spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, pii.KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii_spans")).alias("spans"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -73,7 +98,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_main_text": op3_main_text,
+    "op4_personal_data": op4_personal_data,
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
     "op7_suffix_tree": op7_suffix_tree,
@@ -111,3 +139,16 @@ FROM p
 LEFT JOIN best ON best.host = p.host AND best.path = p.path AND best.n = 1
 LEFT JOIN hit ON hit.host = p.host AND hit.path = p.path
 """
+
+ORACLES["op1_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.vec, d.vec) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
