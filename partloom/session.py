@@ -1,12 +1,13 @@
-"""Getting this package to the executors."""
+"""Getting this package to the executors, and tables to a folder that they share."""
 
 from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -22,3 +23,21 @@ def ship(spark: SparkSession) -> SparkSession:
             spark.sparkContext.addPyFile(shutil.make_archive(f"{made}/{here.name}", "zip", copy.parent))
         _shipped.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    sc = spark.sparkContext
+    if (named := sc.getConf().get("spark.checkpoint.dir")) is not None:
+        return named
+    if (held := sc.getCheckpointDir()) is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-partloom-", dir="/tmp"))
+        held = sc.getCheckpointDir()
+    return held
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, and is computed once."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/partloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
