@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.session import ship
+from partloom.session import ship, written  # noqa: F401  written is for the operators
 
 #: Rows and bytes of one Arrow batch handed to a Python task, so that a batch of long texts stays small.
 ARROW_ROWS, ARROW_BYTES = 2000, "16m"
@@ -25,25 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    sc = spark.sparkContext
-    if (named := sc.getConf().get("spark.checkpoint.dir")) is not None:
-        return named
-    if (held := sc.getCheckpointDir()) is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-partloom-", dir="/tmp"))
-        held = sc.getCheckpointDir()
-    return held
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/partloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}

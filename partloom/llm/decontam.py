@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, prepare
+from .common import BROADCAST_ROWS, lookup_join, prepare, written
 
 #: Words of a window, and the share of an item's windows that makes a document a candidate.
 WINDOW, COVERAGE = 8, 0.5
@@ -84,8 +84,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     by_hash = windows.groupBy("len", "hash").agg(F.collect_set("item_id").alias("items"))
     small = by_hash.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    d = d.withColumn("key", key).withColumn("words", template(F.col("text")))
+    raw = d.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    d = raw.withColumn("words", template(F.col("text")))
     found = None
     for n in lengths:
         hits = d.select("key", "doc_id", F.explode(window_hashes(F.col("words"), n)).alias("hash"))
@@ -100,9 +100,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     has_slots = items.filter(F.exists("words", lambda w: w.isin(NUM, NAMED))).select("item_id")
     if has_slots.isEmpty():
         return held.select("doc_id", "item_id", "n_windows", "n_hits", "coverage", F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed")).distinct()
+    held = written(held)
     checked = held.join(F.broadcast(has_slots) if small else has_slots, "item_id", "left_semi").select("key", "item_id")
     theirs = items.join(F.broadcast(has_slots) if small else has_slots, "item_id", "left_semi").withColumn("slots", slots(F.col("text")))
-    pairs = checked.join(theirs.select("item_id", "len", F.col("words").alias("item_words"), F.col("slots").alias("item_slots")), "item_id").join(d.dropDuplicates(["key"]).select("key", "words", slots(F.col("text")).alias("doc_slots")), "key")
+    texts = written(lookup_join(raw, checked.select("key").distinct(), ["key"], "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    pairs = checked.join(theirs.select("item_id", "len", F.col("words").alias("item_words"), F.col("slots").alias("item_slots")), "item_id").join(texts.select("key", template(F.col("text")).alias("words"), slots(F.col("text")).alias("doc_slots")), "key")
     met = None
     for n in lengths:
         mine = pairs.filter(F.col("len") == n)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lookup_join, prepare, without
+from .common import lookup_join, prepare, without, written
 
 #: The classifier is fitted on at most so many labelled rows of each class, those first by a hash of their id.
 LABELS_PER_CLASS = 2_000
@@ -126,7 +126,7 @@ def _logit(p: Column) -> Column:
 
 def posteriors(scored: DataFrame) -> DataFrame:
     """(host, path, site_p) from (host, path, p): grouped sums, shrunk path -> host -> global."""
-    paths = scored.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n"))
+    paths = written(scored.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n")))
     hosts = paths.groupBy("host").agg(F.sum("s").alias("host_s"), F.sum("n").alias("host_n"))
     whole = hosts.agg(F.sum("host_s").alias("s"), F.sum("host_n").alias("n"), F.sum(F.pow(F.col("host_s"), 2) / F.col("host_n")).alias("q"), F.count("*").alias("k")).first()
     if not whole["n"]:
