@@ -100,12 +100,13 @@ def examples(rng: np.random.Generator, n: int) -> list[tuple[str, list[tuple[str
     pick = lambda *x: x[rng.integers(len(x))]
     num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     syllables = "an ba cor de el fi ga ho in jo ka lo mi nu or pa qui ra so ti un ver wi xo yl zen the of é ñ ü".split()
-    word = lambda: "".join(syllables[i] for i in rng.integers(0, len(syllables), rng.integers(1, 5)))
+    letters = lambda: "".join(chr(97 + i) for i in rng.integers(0, 26, rng.integers(2, 9)))
+    word = lambda: letters() if rng.random() < 0.3 else "".join(syllables[i] for i in rng.integers(0, len(syllables), rng.integers(1, 5)))
     prose = lambda: " ".join(word() + pick("", "", "", ",", ".") for _ in range(rng.integers(1, 9)))
 
     def email() -> str:
         user, host, top = pick(word(), f"{word()}.{word()}", f"{word()}.{num(2)}", f"{word()}_{num(1)}"), pick(word(), f"mail{num(1)}.{word()}", f"{word()}-{word()}"), pick("com", "org", "net", "de", "fr", "es", "io", "co.uk")
-        at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), (" at ", " dot "), (" @ ", "."), ("[at]", "[dot]"))
+        at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" (at) ", "."), ("(at)", "."), (" at ", " dot "), (" @ ", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "))
         return user + at + host.replace(".", dot) + dot + top.replace(".", dot)
 
     def ip() -> str:
@@ -128,7 +129,7 @@ def examples(rng: np.random.Generator, n: int) -> list[tuple[str, list[tuple[str
     made = {"email": email, "ip": ip, "card": card, "phone": phone}
     out = []
     for _ in range(n):
-        text, spans = prose(), []
+        text, spans = (prose() if rng.random() < 0.85 else pick("", "mail", "call", "contact")), []
         for _ in range(rng.integers(1, 4)):
             text += pick(" ", " ", "\n", ", ", ": ", " (")
             if rng.random() < 0.65:
@@ -143,7 +144,7 @@ def examples(rng: np.random.Generator, n: int) -> list[tuple[str, list[tuple[str
     return out
 
 
-def _labelled(made) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _labelled(made, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of examples: classes, labels and mask, time first."""
     xs, ys, ms = [], [], []
     for text, spans in made:
@@ -152,7 +153,10 @@ def _labelled(made) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             k = 1 + 2 * KINDS.index(kind)
             y[a], y[a + 1 : b] = k, k + 1
         for i in range(0, max(1, len(x) - STEP), STEP):
-            n = min(WINDOW, len(x) - i)
+            i += int(rng.integers(0, STEP)) if rng.random() < 0.5 else 0  # windows begin and end anywhere
+            n = min(WINDOW, len(x) - i) if rng.random() < 0.7 else min(len(x) - i, int(rng.integers(20, WINDOW)))
+            if n <= 0:
+                continue
             pad = (0, WINDOW - n)
             xs.append(np.pad(x[i : i + n], pad))
             ys.append(np.pad(y[i : i + n], pad))
@@ -197,10 +201,10 @@ def _crf_grad(e: np.ndarray, y: np.ndarray, mask: np.ndarray, trans: np.ndarray,
 
 
 @functools.lru_cache(4)
-def trained(n_examples: int = 1500, epochs: int = 5, seed: int = 7) -> dict[str, np.ndarray]:
+def trained(n_examples: int = 2000, epochs: int = 5, seed: int = 7) -> dict[str, np.ndarray]:
     """The network's parameters, fitted on n_examples generated texts; deterministic."""
     rng = np.random.default_rng(seed)
-    x, y, mask = _labelled(examples(rng, n_examples))
+    x, y, mask = _labelled(examples(rng, n_examples), rng)
     k = len(LABELS)
     p = {f"f_{n}": v for n, v in lstm.init(rng, EMBED, HIDDEN).items()} | {f"r_{n}": v for n, v in lstm.init(rng, EMBED, HIDDEN).items()}
     p |= {"embed": rng.normal(0, 0.5, (N_CLASSES, EMBED)), "out": rng.normal(0, 0.2, (2 * HIDDEN, k)), "bias": np.zeros(k), "trans": np.zeros((k, k)), "start": np.zeros(k)}
@@ -259,15 +263,26 @@ def window_starts(text: str) -> list[int]:
     return starts
 
 
-def _plausible(kind: str, value: str) -> bool:
-    digits = re.sub("[^0-9]", "", value)
-    if kind == "email":
-        return bool(re.fullmatch(r"(?i)[\w.%+-]+ ?(?:@|[(\[{<] ?at ?[)\]}>]|\bat\b) ?[\w-]+(?: ?(?:\.|[(\[{<] ?dot ?[)\]}>]|\bdot\b) ?[\w-]+)+", value))
-    if kind == "ip":
-        return bool(re.fullmatch(r"\d{1,3}(?: ?\. ?\d{1,3}){3}", value)) and all(int(x) <= 255 for x in re.findall(r"\d+", value))
-    if kind == "card":
-        return bool(re.fullmatch(r"\d[\d ./_-]+\d", value)) and 12 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"[+(]?\d[\d ()./-]+\d", value)) and 7 <= len(digits) <= 15 and len(re.findall(r"\d+", value)) >= 2
+_SHAPES = {
+    "email": re.compile(r"[\w.%+-]+ ?(?:@|[(\[{<] ?at ?[)\]}>]|\bat\b) ?[\w-]+(?: ?(?:\.|[(\[{<] ?dot ?[)\]}>]|\bdot\b) ?[\w-]+)+", re.I),
+    "ip": re.compile(r"(?<!\d)\d{1,3}(?: ?\. ?\d{1,3}){3}(?!\d)"),
+    "card": re.compile(r"(?<!\d)\d(?:[ ./_-]?\d){11,18}(?!\d)"),
+    "phone": re.compile(r"(?<!\d)[+(]{0,2}\d(?:[ ()./-]{0,2}\d){6,14}(?!\d)"),
+}
+#: Characters around a labelled run in which its shape may begin and end.
+MARGIN = 3
+
+
+def plausible(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
+    """Where, in a labelled run, the shape of its kind stands; None if there is none."""
+    m = _SHAPES[kind].search(text, max(0, start - MARGIN), min(len(text), end + MARGIN))
+    if m is None or m.start() >= end or m.end() <= start:
+        return None
+    digits = re.sub("[^0-9]", "", m.group())
+    whole = (m.start() == 0 or not text[m.start() - 1].isalnum()) and (m.end() == len(text) or not text[m.end()].isalnum())
+    fine = {"email": True, "ip": all(int(x) <= 255 for x in re.findall("[0-9]+", m.group())), "card": luhn(digits or "1"), "phone": len(re.findall("[0-9]+", m.group())) >= 2}[kind]
+    lone = m.group().startswith("(") and ")" not in m.group()
+    return (m.start() + lone, m.end()) if whole and fine else None
 
 
 def added_spans(texts: list[str], p: dict) -> list[list[tuple[str, int, int]]]:
@@ -296,10 +311,8 @@ def added_spans(texts: list[str], p: dict) -> list[list[tuple[str, int, int]]]:
         runs = np.split(at, np.flatnonzero((np.diff(at) > 1) | (y[at[1:]] % 2 == 1) | ((y[at[1:]] + 1) // 2 != (y[at[:-1]] + 1) // 2)) + 1) if len(at) else []
         for r in runs:
             kind, a, b = KINDS[(y[r[0]] - 1) // 2], int(r[0]), int(r[-1]) + 1
-            value = texts[t][a:b].rstrip(" .,;:\n")
-            whole = (a == 0 or not texts[t][a - 1].isalnum()) and (a + len(value) >= len(texts[t]) or not texts[t][a + len(value)].isalnum())
-            if whole and _plausible(kind, value):
-                out[t].append((kind, a, a + len(value)))
+            if (found := plausible(kind, texts[t], a, b)) and (not out[t] or found[0] >= out[t][-1][2]):
+                out[t].append((kind, *found))
     return out
 
 
