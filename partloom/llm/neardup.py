@@ -7,8 +7,11 @@
    pairs. Pairs whose sizes rule the similarity out are dropped, the rest are confirmed on the full sets.
 4. Confirmed links are joined to components by alternating large and small stars.
 5. A star's centre need not be similar to two members that are similar to each other. So in buckets that still hold
-   nodes of several components, the nodes outside the centre's component are tried against those of other components
-   (after the size bound and, for sets large enough, the signatures' agreement), and the components are joined again.
+   nodes of several components, the nodes outside the centre's component are tried against those of other components,
+   and the components are joined again. Before a pair is made, its similarity is bounded by the shingles that only one
+   node of all such buckets has: they are in no intersection, and in every union. That keeps copies of one text with
+   edits of their own from being paired with each other. What is left is tried by the signatures' agreement (five
+   deviations under the threshold) and then on the full sets.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and kept; a row
 without an id is linked with nothing and kept, with a null component; rows that repeat an id and text are one
@@ -31,9 +34,9 @@ from .common import lookup_join, prepare, written
 
 #: 36 bands of 7 rows: two sets of similarity 0.8 miss each other in all of them with a chance of 2 in 10,000, of 0.85 one in a million.
 SHINGLE, BINS, BANDS, ROWS = 5, 256, 36, 7
-#: Signatures decide nothing below so many shingles; above, this share of equal bins is far under what 0.8 gives.
-SURE_SIZE, LEAST_AGREEMENT = 200, 0.55
-CACHE_WORDS = 1_000_000
+#: Standard deviations by which equal bins of two signatures may stay under the threshold.
+DEVIATIONS = 5
+CACHE_WORDS = 400_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _odd = np.random.default_rng(20240501).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -83,7 +86,7 @@ def signature(held: np.ndarray) -> np.ndarray:
     filled[bins[first]] = True
     empty, t = np.flatnonzero(~filled), 0
     while len(empty):
-        to = (_mix(empty.astype(np.uint64) * _odd[40] + np.uint64(t) * _odd[41]) & np.uint64(BINS - 1)).astype(np.int64)
+        to = (_mix(empty.astype(np.uint64) * _odd[40] + np.array([t], np.uint64) * _odd[41]) & np.uint64(BINS - 1)).astype(np.int64)
         met = filled[to]
         out[empty[met]] = out[to[met]]
         empty, t = empty[~met], t + 1
@@ -117,24 +120,48 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, fp binary, bands array<long>, sig binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those (a, b) whose full sets are similar enough; the texts of the nodes in pairs are fetched and read whole."""
-    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct().join(nodes.select("fp", "id"), "fp").select("fp", F.col("id").alias("doc_id"))
+def texts_of(needed: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(fp, text) of the nodes in needed (fp): their documents are fetched by id and held against the fingerprint, since a repeated id may have other texts."""
+    wanted = needed.distinct().join(nodes.select("fp", "id"), "fp").select("fp", F.col("id").alias("doc_id"))
 
-    @F.arrow_udf(T.BinaryType())
-    def prints(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(shingles(words_of(t), size)) for t in texts.to_pylist()], pa.binary())
+    @F.arrow_udf(T.BooleanType())
+    def own(texts: pa.Array, prints: pa.Array) -> pa.Array:  # of both sides of the join, so that it runs on its result
+        return pa.array([fingerprint(shingles(words_of(t), size)) == p for t, p in zip(texts.to_pylist(), prints.to_pylist())])
+
+    found = lookup_join(docs.filter("doc_id is not null"), wanted, ["doc_id"], "inner").filter(own("text", "fp"))
+    return written(found.groupBy("fp").agg(F.first("text").alias("text")))
+
+
+def lone_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """(fp, lone): of each node the number of shingles that no other node of texts has."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(words_of(t), size) for t in b.column("text").to_pylist()]
+            node = np.array([int.from_bytes(p[:8], "little", signed=True) for p in b.column("fp").to_pylist()], np.int64)
+            h, of = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64), np.repeat(node, [len(s) for s in sets])
+            for i in range(0, len(h), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 200_000]), pa.array(of[i : i + 200_000])], names=["h", "node"])
 
-    texts = lookup_join(docs.filter("doc_id is not null"), needed, ["doc_id"], "inner")
-    texts = texts.filter(prints(F.col("text")) == F.col("fp"))  # a repeated id may have other texts
-    texts = written(texts.groupBy("fp").agg(F.first("text").alias("text")))
+    held = texts.mapInArrow(spread, "h long, node long").groupBy("h").agg(F.count("*").alias("c"), F.max("node").alias("node")).filter("c = 1")
+    lone = held.groupBy("node").agg(F.count("*").alias("lone"))
+
+    @F.arrow_udf(T.LongType())
+    def node_of(prints: pa.Array) -> pa.Array:
+        return pa.array([int.from_bytes(p[:8], "little", signed=True) for p in prints.to_pylist()], pa.int64())
+
+    return texts.select("fp", node_of("fp").alias("node")).join(lone, "node", "left").select("fp", F.coalesce("lone", F.lit(0)).alias("lone"))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those (a, b) whose full sets, of the whole texts, are similar enough."""
 
     @F.arrow_udf(T.BooleanType())
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out, held = [], {}
-        for texts_of in zip(left.to_pylist(), right.to_pylist()):
+        for pair in zip(left.to_pylist(), right.to_pylist()):
             both = []
-            for t in texts_of:
+            for t in pair:
                 if t not in held:
                     if len(held) >= 64:
                         held.clear()
@@ -182,27 +209,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = written(buckets)
     in_buckets = member.join(buckets, "key")
     star = written(in_buckets.filter("fp <> centre.fp").filter(fits(F.col("n"), F.col("centre.n"))).select(F.col("centre.fp").alias("a"), F.col("fp").alias("b")).distinct())
-    links = confirmed(star, docs, nodes, size, percent)
+    links = confirmed(star, texts_of(star.select(F.col("a").alias("fp")).union(star.select(F.col("b").alias("fp"))), docs, nodes, size), size, percent)
     roots = components(links)
 
     # what the stars leave open: nodes outside their centre's component
     rooted = in_buckets.select("key", "fp", "n", F.col("centre.fp").alias("centre")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = rooted.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root")), "centre", "left").withColumn("centre_root", F.coalesce("centre_root", "centre"))
     apart = written(rooted.filter("root <> centre_root").select("key", "fp", "n", "root"))
-    open_keys = apart.groupBy("key").agg(F.count("*").alias("apart"))
-    rest = rooted.filter("fp <> centre").join(open_keys, "key").select("key", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    tried = apart.join(rest, (apart["key"] == rest["key"]) & (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2"))).select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
-
-    @F.arrow_udf(T.BooleanType())
-    def agree(left: pa.Array, right: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, BINS) for s in (left, right))
-        return pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT)
-
-    sig = lambda k: nodes.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
-    held = tried.join(sig("a"), "a").join(sig("b"), "b")
-    more = written(held.filter((F.least("na", "nb") < SURE_SIZE) | agree("sa", "sb")).select("a", "b"))
-    if not more.isEmpty():
-        extra = confirmed(more, docs, nodes, size, percent)
+    if not apart.isEmpty():
+        in_open = written(rooted.join(apart.select("key").distinct(), "key").select("key", "fp", "n", "root", "centre"))
+        open_texts = texts_of(in_open.select("fp"), docs, nodes, size)
+        lone = lone_shingles(open_texts, size)
+        shares = lambda n, l, m, k: 100 * F.least(n - l, m - k) >= percent * F.greatest(n + k, m + l)  # noqa: E731  at most these in common, at least these in all
+        in_open = written(in_open.join(lone, "fp").filter(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n")))
+        one = in_open.join(apart.select("key", "fp"), ["key", "fp"], "left_semi").select("key", "fp", "n", "root", "lone")
+        rest = in_open.filter("fp <> centre").select("key", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("lone").alias("lone2"))
+        possible = (one["key"] == rest["key"]) & (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")) & shares(F.col("n"), F.col("lone"), F.col("n2"), F.col("lone2"))
+        tried = one.join(rest, possible).select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
+
+        @F.arrow_udf(T.BooleanType())
+        def agree(left: pa.Array, right: pa.Array, smaller: pa.Array) -> pa.Array:
+            x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, BINS) for s in (left, right))
+            p, n = percent / 100, np.minimum(np.asarray(smaller), BINS)
+            return pa.array((x == y).mean(axis=1) >= p - DEVIATIONS * np.sqrt(p * (1 - p) / n))
+
+        sig = lambda k: nodes.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
+        held = tried.join(sig("a"), "a").join(sig("b"), "b")
+        more = written(held.filter(agree("sa", "sb", F.least("na", "nb"))).select("a", "b"))
+        extra = confirmed(more, open_texts, size, percent)
         if not extra.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(extra))
 
