@@ -59,7 +59,7 @@ def match_upsert_full_outer(t):
     return match.upsert(left, right, "name").select("k", "state")
 
 
-TEMPLATES = [(b, f"{n} {x}", i) for b in ("Brand#11", "Brand#12", "Brand#23") for i, (n, x) in enumerate([("Part", "1"), ("part", "2"), ("PART", "9"), ("P", "")])]
+TEMPLATES = [(b, n, i) for b in ("Brand#11", "Brand#12", "Brand#13", "Brand#2") for i, n in enumerate(["Small", "small widget", "COLD rod", "b", "hot gear"])]
 _templates_sql = ", ".join(f"('{b}', '{n}', {i})" for b, n, i in TEMPLATES)
 
 

@@ -56,11 +56,11 @@ def format_units(t):
 
 @query(r"""
 WITH w AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS x FROM part)
-SELECT p_partkey, regexp_matches(x, '(^|[^a-z0-9])(promo|economy|9\d*)([^a-z0-9]|$)') AS accelerator, NOT regexp_matches(x, '(^|[^a-z0-9])(promo|economy|9\d*)([^a-z0-9]|$)') AND contains(x, 'part') AS special FROM w""")
+SELECT p_partkey, regexp_matches(x, '(^|[^a-z0-9])(promo|economy|rod)([^a-z0-9]|$)') AS accelerator, NOT regexp_matches(x, '(^|[^a-z0-9])(promo|economy|rod)([^a-z0-9]|$)') AND contains(x, 'widget') AS special FROM w""")
 def feature_split(t):
     x = F.lower(F.concat_ws(" ", "p_name", "p_type"))
-    fast = x.rlike(r"(?<![a-z0-9])(promo|economy|9\d*)(?![a-z0-9])")
-    return t.part.select("p_partkey", fast.alias("accelerator"), (~fast & F.contains(x, F.lit("part"))).alias("special"))
+    fast = x.rlike(r"(?<![a-z0-9])(promo|economy|rod)(?![a-z0-9])")
+    return t.part.select("p_partkey", fast.alias("accelerator"), (~fast & F.contains(x, F.lit("widget"))).alias("special"))
 
 
 CATEGORIES = {"A": "Timers", "N": "Serial", "R": "Analog"}

@@ -14,11 +14,11 @@ NATURAL = "array_to_string(list_transform(regexp_extract_all(lower({0}), '\\d+|\
 @query(r"""
 WITH f AS (SELECT *, lower(concat_ws(' ', p_name, p_brand, p_type)) AS doc FROM part),
 k AS (SELECT p_partkey, p_name, p_brand, p_size, p_retailprice, """ + NATURAL.format("p_name") + r""" AS nk
-      FROM f WHERE contains(doc, 'part') AND p_size >= 8),
+      FROM f WHERE contains(doc, 'widget') AND p_size >= 8),
 r AS (SELECT *, CAST(row_number() OVER (ORDER BY coalesce(p_size, -1) DESC, nk, p_partkey) AS INTEGER) AS rank FROM k)
 SELECT p_partkey, p_name, p_brand, p_size, rank FROM r WHERE rank <= 120""")
 def search_ranked(t):
-    found = search.search(t.part, search.search_text("p_name", "p_brand", "p_type"), " Part ", {"p_brand": ""}, (F.col("p_size"), 8))
+    found = search.search(t.part, search.search_text("p_name", "p_brand", "p_type"), " Widget ", {"p_brand": ""}, (F.col("p_size"), 8))
     ranks = search.ranked(F.col("p_size"), F.col("p_name"), F.col("p_partkey"))
     return order.first_page(found, ranks, 120).select("p_partkey", "p_name", "p_brand", "p_size", "rank")
 
@@ -31,7 +31,7 @@ def filter_min_count_presence(t):
     return per.filter(F.coalesce("n_returned", F.lit(0)) >= 2)
 
 
-RULES = [("glob", "*1?", "Brand#12", "confirmed"), ("prefix", "part", "", "pending"), ("line", "Brand#21", "", "confirmed"), ("series", "5", "", "proposed"), ("glob", "P*9", "", "verified")]
+RULES = [("glob", "*widg?t", "Brand#12", "confirmed"), ("prefix", "Cold", "", "pending"), ("line", "Brand#21", "", "confirmed"), ("series", "5", "", "proposed"), ("glob", "H*r", "", "verified")]
 _rules_sql = ", ".join(f"('{k}', '{v}', '{b}', '{s}')" for k, v, b, s in RULES)
 
 
@@ -72,12 +72,11 @@ def filter_url_allowlist(t):
 
 
 @query(r"""
-SELECT p_partkey, list_contains(['confirmed'], 'confirmed') AND
- (regexp_matches(lower(p_name || '|' || p_brand || '|' || p_type), '.*brand#1.*') OR regexp_matches(lower(p_name || '|' || p_brand || '|' || p_type), '^part.*9[|].*')) AS selected
+SELECT p_partkey, (regexp_matches(lower(p_name || '|' || p_brand || '|' || p_type), '.*brand#1.*') OR regexp_matches(lower(p_name || '|' || p_brand || '|' || p_type), '^red.*[|]small$')) AS selected
 FROM part""")
 def scope_selection(t):
     joined = F.lower(F.concat_ws("|", "p_name", "p_brand", "p_type"))
-    globs = F.array(F.lit("*brand#1*"), F.lit("part*9|*"))
+    globs = F.array(F.lit("*brand#1*"), F.lit("red*|small"))
     from partloom.functions.exprs import glob_regex
 
     return t.part.select("p_partkey", F.exists(globs, lambda g: F.call_function("rlike", joined, glob_regex(g))).alias("selected"))
