@@ -8,10 +8,10 @@
 4. Confirmed links are joined to components by alternating large and small stars.
 5. A star's centre need not be similar to two members that are similar to each other. So in buckets that still hold
    nodes of several components, the nodes outside the centre's component are tried against those of other components,
-   and the components are joined again. Before a pair is made, its similarity is bounded by the shingles that only one
-   node of all such buckets has: they are in no intersection, and in every union. That keeps copies of one text with
-   edits of their own from being paired with each other. What is left is tried by the signatures' agreement (five
-   deviations under the threshold) and then on the full sets.
+   and the components are joined again. Before a pair is made, its similarity is bounded by what both share with the
+   bucket's centre (counted in step 3) and by their other shingles less those that no other node of such buckets has.
+   That keeps copies of one text with edits of their own from being paired with each other. What is left is tried by
+   the signatures' agreement (five deviations under the threshold) and then on the full sets.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and kept; a row
 without an id is linked with nothing and kept, with a null component; rows that repeat an id and text are one
@@ -153,11 +153,11 @@ def lone_shingles(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("fp", node_of("fp").alias("node")).join(lone, "node", "left").select("fp", F.coalesce("lone", F.lit(0)).alias("lone"))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those (a, b) whose full sets, of the whole texts, are similar enough."""
+def counted(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """pairs (a, b and more) with `shared`: the size of the intersection of their full sets, of the whole texts."""
 
-    @F.arrow_udf(T.BooleanType())
-    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
+    @F.arrow_udf(T.LongType())
+    def shared(left: pa.Array, right: pa.Array) -> pa.Array:
         out, held = [], {}
         for pair in zip(left.to_pylist(), right.to_pylist()):
             both = []
@@ -167,12 +167,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                         held.clear()
                     held[t] = shingles(words_of(t), size)
                 both.append(held[t])
-            n = len(np.intersect1d(*both, assume_unique=True))
-            out.append(100 * n >= percent * (len(both[0]) + len(both[1]) - n))
-        return pa.array(out)
+            out.append(len(np.intersect1d(*both, assume_unique=True)))
+        return pa.array(out, pa.int64())
 
     both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
-    return written(both.filter(similar("ta", "tb")).select("a", "b"))
+    return written(both.withColumn("shared", shared("ta", "tb")).drop("ta", "tb"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,9 +207,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = member.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "fp", "n")).alias("centre")).filter("c > 1").drop("c")
     buckets = written(buckets)
     in_buckets = member.join(buckets, "key")
-    star = written(in_buckets.filter("fp <> centre.fp").filter(fits(F.col("n"), F.col("centre.n"))).select(F.col("centre.fp").alias("a"), F.col("fp").alias("b")).distinct())
-    links = confirmed(star, texts_of(star.select(F.col("a").alias("fp")).union(star.select(F.col("b").alias("fp"))), docs, nodes, size), size, percent)
-    roots = components(links)
+    star = written(in_buckets.filter("fp <> centre.fp").filter(fits(F.col("n"), F.col("centre.n"))).select(F.col("centre.fp").alias("a"), F.col("fp").alias("b"), F.col("centre.n").alias("na"), F.col("n").alias("nb")).distinct())
+    star = counted(star, texts_of(star.select(F.col("a").alias("fp")).union(star.select(F.col("b").alias("fp"))), docs, nodes, size), size)
+    linked_by = lambda df: df.filter(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    roots = components(linked_by(star))
 
     # what the stars leave open: nodes outside their centre's component
     rooted = in_buckets.select("key", "fp", "n", F.col("centre.fp").alias("centre")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -220,11 +220,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         in_open = written(rooted.join(apart.select("key").distinct(), "key").select("key", "fp", "n", "root", "centre"))
         open_texts = texts_of(in_open.select("fp"), docs, nodes, size)
         lone = lone_shingles(open_texts, size)
-        shares = lambda n, l, m, k: 100 * F.least(n - l, m - k) >= percent * F.greatest(n + k, m + l)  # noqa: E731  at most these in common, at least these in all
-        in_open = written(in_open.join(lone, "fp").filter(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n")))
-        one = in_open.join(apart.select("key", "fp"), ["key", "fp"], "left_semi").select("key", "fp", "n", "root", "lone")
-        rest = in_open.filter("fp <> centre").select("key", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("lone").alias("lone2"))
-        possible = (one["key"] == rest["key"]) & (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")) & shares(F.col("n"), F.col("lone"), F.col("n2"), F.col("lone2"))
+        in_open = in_open.join(lone, "fp").filter(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n"))
+        in_open = in_open.join(star.select(F.col("a").alias("centre"), F.col("b").alias("fp"), "shared"), ["centre", "fp"], "left")
+        # in common with the centre at most (all, where their sizes kept them from being counted), and elsewhere at most
+        in_open = written(in_open.withColumn("there", F.coalesce("shared", "n")).withColumn("off", F.col("n") - F.col("lone") - F.coalesce("shared", F.lit(0))))
+        one = in_open.join(apart.select("key", "fp"), ["key", "fp"], "left_semi").select("key", "fp", "n", "root", "there", "off")
+        rest = in_open.filter("fp <> centre").select("key", *[F.col(c).alias(f"{c}2") for c in ("fp", "n", "root", "there", "off")])
+        most = F.least("there", "there2") + F.least("off", "off2")
+        possible = (one["key"] == rest["key"]) & (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")) & (100 * most >= percent * (F.col("n") + F.col("n2") - most))
         tried = one.join(rest, possible).select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
 
         @F.arrow_udf(T.BooleanType())
@@ -235,8 +238,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         sig = lambda k: nodes.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
         held = tried.join(sig("a"), "a").join(sig("b"), "b")
-        more = written(held.filter(agree("sa", "sb", F.least("na", "nb"))).select("a", "b"))
-        extra = confirmed(more, open_texts, size, percent)
+        more = written(held.filter(agree("sa", "sb", F.least("na", "nb"))).select("a", "b", "na", "nb"))
+        extra = linked_by(counted(more, open_texts, size))
         if not extra.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(extra))
 
