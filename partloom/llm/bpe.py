@@ -16,7 +16,9 @@ import heapq
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,6 +195,8 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", out:
     @F.arrow_udf(T.BinaryType())
     def together(rows: pa.Array) -> pa.Array:
         at = shared.value.__getitem__
-        return pa.array([None if r is None else b"".join(map(at, r)) for r in rows.to_pylist()], type=pa.binary())
+        numbers, ends = rows.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.array(pc.fill_null(pc.list_value_length(rows), 0), np.int64))
+        starts, null = np.append(0, ends[:-1]), rows.is_null().to_pylist()
+        return pa.array([None if gone else b"".join(map(at, numbers[a:b].tolist())) for a, b, gone in zip(starts, ends, null)], type=pa.binary())
 
     return without(df, out).withColumn(out, together(F.col(ids)))
