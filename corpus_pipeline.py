@@ -14,31 +14,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.llm import bpe, decontam, neardup, pii, quality
-from partloom.llm.common import lookup_join, table, written
+from partloom.llm.common import free_name, lookup_join, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the hierarchical classifier rejects; host: source, path: language."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
-    return judged.filter("kept").select(*docs.columns)
+    aside = {c: free_name(docs, f"own_{c}") for c in docs.columns if c in ("doc_logit", "site_p", "quality_p", "kept")}
+    judged = quality.classify(docs.withColumnsRenamed(aside), table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
+    return judged.filter("kept").select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each group, and one of rows that repeat an id."""
     found = neardup.near_duplicates(docs.select("doc_id", "text"))
-    ids = written(found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"))
-    kept = lookup_join(docs, ids.withColumn("hit", F.lit(True)), ["doc_id"]).filter("hit is null or kept")
-    if ids.filter("kept").isEmpty():
+    stays = free_name(docs, "stays")  # null for an id that stands once and is kept
+    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias(stays), F.count("*").alias("n"))
+    ids = written(ids.filter(~F.col(stays) | (F.col("n") > 1)).select("doc_id", stays))
+    kept = lookup_join(docs, ids, ["doc_id"]).filter(F.col(stays).isNull() | F.col(stays))
+    if ids.filter(stays).isEmpty():
         return kept.select(*docs.columns)
     # rows that repeat an id: one of them stays
-    single = kept.filter("hit is null").select(*docs.columns)
-    repeated = kept.filter("hit").groupBy("doc_id").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+    single = kept.filter(F.col(stays).isNull()).select(*docs.columns)
+    repeated = kept.filter(stays).groupBy("doc_id").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
     return single.unionByName(repeated)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item, verbatim or with other parameters."""
-    key = "decontamination_key"
+    key = free_name(docs, "decontamination_key")
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
     leaks = decontam.contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     leaks = written(leaks.select(F.col("doc_id").alias(key)).distinct())
@@ -47,8 +50,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind in angle brackets; n_chars follows the text."""
-    found = pii.detect(docs, out="pipeline_spans")
-    text = pii.masked(F.col("text"), F.col("pipeline_spans"))
+    spans = free_name(docs, "spans")
+    found = pii.detect(docs, out=spans)
+    text = pii.masked(F.col("text"), F.col(spans))
     made = found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return made.select(*docs.columns)
 

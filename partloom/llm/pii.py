@@ -320,11 +320,21 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 
 def find(texts: list[str | None], p: dict) -> list[list[dict]]:
-    """All spans of each text, by start, then kind."""
+    """All spans of each text, by start, then kind.
+
+    Where spans were found the patterns look once more at what is left between them: a number that ran into another one
+    stands free then. That goes on until nothing new is found.
+    """
     texts = [t or "" for t in texts]
     out = []
-    for text_base, more in zip(map(base_spans, texts), added_spans(texts, p)):
+    for text, text_base, more in zip(texts, map(base_spans, texts), added_spans(texts, p)):
         new = [s for s in more if all(s[2] <= a or s[1] >= b for _, a, b in text_base)]
+        fresh, left = text_base + new, list(text)
+        while fresh:
+            for _, a, b in fresh:
+                left[a:b] = "\n" * (b - a)
+            fresh = base_spans("".join(left))
+            new += fresh
         rows = [(*s, True) for s in text_base] + [(*s, False) for s in new]
         out.append([{"kind": k, "start": a, "end": b, "base": base} for k, a, b, base in sorted(rows, key=lambda s: (s[1], KINDS.index(s[0])))])
     return out
