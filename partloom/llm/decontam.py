@@ -67,7 +67,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items = items.withColumn("words", template(F.col("text"))).filter(F.size("words") > 0).withColumn("len", F.least(F.size("words"), F.lit(window)))
     lengths = sorted(r[0] for r in items.select("len").distinct().collect())  # at most `window` values
     if not lengths:
-        return d.select("doc_id").limit(0).crossJoin(items.select("item_id").limit(0)).select("doc_id", "item_id", *[F.lit(0).cast("long").alias(c) for c in ("n_windows", "n_hits")], F.lit(0.0).alias("coverage"), *[F.lit(0).cast("long").alias(c) for c in ("n_slots", "n_changed")])
+        nothing = [F.lit(0).cast(kind).alias(c) for c, kind in (("n_windows", "long"), ("n_hits", "long"), ("coverage", "double"), ("n_slots", "long"), ("n_changed", "long"))]
+        return d.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), *nothing).limit(0)
     solid = lambda i, n: F.exists(F.slice("words", i, n), lambda w: ~w.isin(NUM, NAMED, UNIT))
     parts = [
         items.filter(F.col("len") == n)
