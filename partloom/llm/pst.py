@@ -1,21 +1,21 @@
 """Language-model scoring by a probabilistic suffix tree.
 
-A text is read as tokens: words between ASCII white space, A-Z lower-cased, then one end. The tree spells each token
-symbol by symbol, a space after a word; its contexts are the up to DEPTH symbols before, back to the token's start, so
-a token has one probability wherever it stands and a text's is the product of its tokens'. Bytes are put in CLASSES
-symbol classes: the most frequent have their own, the others share one, within which a byte unigram tells them apart.
+A text is read as its tokens in their order: words between ASCII white space, A-Z lower-cased, a space after each, then
+one end. The contexts of a symbol are the up to DEPTH symbols before it in this running text, across the words, so a
+text's score depends on the order of its words. Bytes are put in CLASSES symbol classes: the most frequent have their
+own, the others share one, within which a byte unigram tells them apart.
 
 1. The tasks count their words, Spark adds the counts up: a vocabulary that grows with the corpus.
-2. Over the vocabulary, weighted by its counts, contexts of every length with their next symbols are added up.
+2. The tasks count DEPTH symbols with the next one, as one code, over all training texts, and note the codes of the
+   others with a count of 0; Spark adds the counts up in a table that grows with the corpus.
 3. A context is kept as a state only if its next-symbol distribution diverges from its suffix's by more than its counts
-   could by chance (likelihood gain against a BIC-like bound). Distributions are smoothed toward the suffix's
-   (Witten-Bell). Only contexts with at least 1 / SHARE of all positions are looked at, so there are at most SHARE of
-   each length; that bounds what is collected and broadcast.
-4. Each word of the vocabulary is scored once, each symbol in the longest suffix of its context that is a state. Over
-   whole tokens stands one more distribution, that of the training tokens, smoothed toward this spelling (Witten-Bell).
-5. Words that make up at least 1 / HEAVY of the tokens (so at most HEAVY of them) are looked up in a broadcast table,
-   which takes the heat out of the join; the others' scores are joined by a 64-bit hash of the word (among 10^9 words
-   two share one with a chance of 3 in 100).
+   could by chance (likelihood gain against a BIC-like bound), and if it has been seen LEAST_COUNT times, at every size
+   of the corpus. Distributions are smoothed toward the suffix's (Witten-Bell). Contexts of up to LOW symbols, of which
+   there are at most CLASSES ** LOW, are judged in the driver. Longer ones stay in the table: rows whose contexts end in
+   the same LOW + 1 symbols meet in one task, which holds all that a longer context and its suffixes need.
+4. So each code has its log probability in the longest suffix that is a state. Codes and words that make up much of the
+   text are looked up in a broadcast table of bounded size, which takes the heat out of the join; the others are joined
+   (codes are exact, words go by 63 bits of a hash: among 10^9 words two share one with a chance of 6 in 100).
 
 Beside it stands the add-one unigram score over the same tokens.
 
@@ -32,20 +32,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, written
 from .neardup import _mix, _words, words_of
 
-CLASSES, BITS, DEPTH = 64, 6, 8
-HEAVY, SHARE = 100_000, 1_000_000
+CLASSES, BITS, DEPTH, LOW = 128, 7, 8, 2
+#: Words and codes at most that are looked up in a broadcast table.
+HEAVY, HEAVY_CODES = 100_000, 2_000_000
 #: Counts that a context needs to be looked at, and the likelihood gain (nats) it needs besides the BIC term.
 LEAST_COUNT, LEAST_GAIN = 4, 1.0
 END, RARE = 10, CLASSES - 1  # the byte of the end and of what stands before a token (a newline, which no word holds); the class that the other bytes share
 VOCABULARY = 500_000  # words that a task holds before it sends their counts
 _MERGE_AT = 4_000_000
+PIECE = 1_000_000  # bytes of texts, or rows of the table, that a task reads at once
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,18 +88,39 @@ class _Sums:
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)).view(np.int64)
+    """Keys of words: below 0, as codes are not."""
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)).view(np.int64) | np.int64(-(2**63))
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of tokens, each after DEPTH newlines and before a space (the end token is a newline alone); the places of their symbols, and each one's token."""
-    raw = np.frombuffer(b"".join(x for w in words for x in (_PAD, w, b"" if w == b"\n" else b" ")), np.uint8)
-    sizes = np.array([len(w) + (w != b"\n") for w in words], np.int64)
-    of = np.repeat(np.arange(len(words)), sizes)
+    return _placed([w if w == b"\n" else w + b" " for w in words])
+
+
+def running(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of texts given as words, each after DEPTH newlines; the places of their symbols, and each one's text."""
+    return _placed([b" ".join([*t, b"\n"]) for t in texts])
+
+
+def _placed(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(x for p in parts for x in (_PAD, p)), np.uint8)
+    of = np.repeat(np.arange(len(parts)), np.array([len(p) for p in parts], np.int64))
     return raw, np.arange(len(of)) + DEPTH * (of + 1), of
 
 
-_PAD, _LN10 = b"\n" * DEPTH, math.log(10)
+def pieces(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of texts of about PIECE bytes."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held > PIECE:
+            yield slice(first, i + 1)
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
+_PAD = b"\n" * DEPTH
 _MASKS = [(1 << (BITS * d)) - 1 for d in range(DEPTH + 1)]
 
 
@@ -136,6 +158,16 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select("text", "train").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def keyed(words: DataFrame) -> DataFrame:
+    """(k, n): the keys of words and their counts."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(b.column("word").to_pylist())), b.column("n")], names=["k", "n"])
+
+    return words.mapInArrow(key, "k long, n long")
+
+
 def byte_counts(words: DataFrame) -> np.ndarray:
     """How often each byte is spelled in the training texts."""
 
@@ -152,25 +184,24 @@ def byte_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
-def context_counts(words: DataFrame, classes: np.ndarray, positions: int) -> DataFrame:
-    """(d, k, n): counts of each context of d symbols and its next symbol, as one code, for contexts that are frequent enough."""
+def context_counts(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(k, n): all contexts of DEPTH symbols and their next symbol in (text, train), as one code, with their counts in the training rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
         for b in batches:
-            raw, at, of = spelled(b.column("word").to_pylist())
-            if len(at):
-                yield from sums.add(*_summed([_codes(classes[raw], at)], [np.array(b.column("n"), np.int64)[of]]))
+            texts, train = b.column("text").to_pylist(), np.array(b.column("train"), bool)
+            for part in pieces(texts):
+                raw, at, of = running([words_of(t) for t in texts[part]])
+                symbols, learns = classes[raw], train[part][of]
+                for i in range(0, len(at), 2 * PIECE):  # a long text by parts
+                    codes, mine = _codes(symbols, at[i : i + 2 * PIECE]), learns[i : i + 2 * PIECE]
+                    yield from sums.add(*_counted(codes[mine]))
+                    other = _counted(codes[~mine])[0]
+                    yield from sums.add(other, np.zeros(len(other), np.int64))
         yield from sums.send()
 
-    least = max(LEAST_COUNT, math.ceil(positions / SHARE))
-    deepest = words.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    masks = F.array(*[F.lit(m << BITS | (CLASSES - 1)).cast("long") for m in _MASKS])
-    each = deepest.select(F.posexplode(masks).alias("d", "mask"), "k", "n").groupBy("d", F.col("k").bitwiseAND(F.col("mask")).alias("k")).agg(F.sum("n").alias("n"))
-    each = written(each.filter("n > 0"))
-    context = F.shiftright("k", BITS).alias("c")
-    enough = each.groupBy("d", context).agg(F.sum("n").alias("total")).filter(F.col("total") >= least).select("d", "c")
-    return each.withColumn("c", context).join(enough, ["d", "c"], "left_semi").select("d", "k", "n")
+    return docs.select("text", "train").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -186,6 +217,10 @@ class Tree:
             return np.zeros(0)
         raw, at, of = spelled(words)
         codes, inverse = np.unique(_codes(self.classes[raw], at), return_inverse=True)
+        return np.bincount(of, self.logs(codes)[inverse] + self.byte_log[raw[at]], len(words))
+
+    def logs(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probability of codes' symbols in the longest state of their contexts, without what bytes of the shared class add."""
         log = np.zeros(len(codes))
         todo = np.arange(len(codes))
         for d in range(DEPTH, 0, -1):
@@ -201,7 +236,7 @@ class Tree:
             log[todo[back]] += weight[j[back]]
             todo = todo[~hit]
         log[todo] += self.root[codes[todo] & (CLASSES - 1)]
-        return np.bincount(of, log[inverse] + self.byte_log[raw[at]], len(words))
+        return log
 
 
 def alphabet(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +291,7 @@ def grow(depth: np.ndarray, codes: np.ndarray, counts: np.ndarray, classes: np.n
         up = below(code, d - 1)
         p = (n + kinds[of] * up) / (total[of] + kinds[of])
         gain = np.bincount(of, n * np.log(p / up), len(first)) if len(first) else n  # count * divergence from the suffix
-        own = gain >= LEAST_GAIN + 0.5 * np.log(np.maximum(total, 1))
+        own = (total >= LEAST_COUNT) & (gain >= LEAST_GAIN + 0.5 * np.log(np.maximum(total, 1)))
         weight = kinds / (total + kinds)
         kept = own[of]
         chain.append((code[kept], p[kept], context[first][own], weight[own]))
@@ -264,71 +299,128 @@ def grow(depth: np.ndarray, codes: np.ndarray, counts: np.ndarray, classes: np.n
     return Tree(classes, byte_log, levels, np.log10(root))
 
 
-def worded(words: DataFrame, tree: Tree, tokens: int, kinds: int) -> DataFrame:
-    """(k, n, log): each word's hash, training count and log10 probability, of so many training tokens and distinct ones."""
-    shared = words.sparkSession.sparkContext.broadcast(tree)
+def climbed(k: np.ndarray, n: np.ndarray, tree: Tree) -> np.ndarray:
+    """log10 probability of codes from the tree of short contexts upward; all codes whose contexts end in the same LOW + 1 symbols are given."""
+    low, inverse = np.unique(k & ((_MASKS[LOW] << BITS) | (CLASSES - 1)), return_inverse=True)
+    p = (10 ** tree.logs(low))[inverse]
+    for d in range(LOW + 1, DEPTH + 1):
+        code, first, inverse = np.unique(k & ((_MASKS[d] << BITS) | (CLASSES - 1)), return_index=True, return_inverse=True)
+        count, up, context = np.bincount(inverse, n, len(code)), p[first], code >> BITS
+        start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(context))))
+        total, kinds = np.add.reduceat(count, start), np.add.reduceat((count > 0).astype(np.float64), start)
+        own = (count + kinds[of] * up) / np.maximum(total + kinds, 1)[of]
+        gain = np.add.reduceat(np.where(count > 0, count * np.log(np.where(count > 0, own, 1) / up), 0), start)
+        state = (total >= LEAST_COUNT) & (gain >= LEAST_GAIN + 0.5 * np.log(np.maximum(total, 1)))
+        p = np.where(state[of], own, up)[inverse]
+    return np.log10(p)
+
+
+def coded(codes: DataFrame, tree: Tree) -> DataFrame:
+    """(k, n, log): each code of (k, n) with its log10 probability."""
+    shared = codes.sparkSession.sparkContext.broadcast(tree)
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows are in the order of their contexts' ends: whole ends are read at once."""
+        held, rows = [], 0
+
+        def send(table: pa.Table):
+            k, n = np.array(table["k"], np.int64), np.array(table["n"], np.float64)
+            log = climbed(k, n, shared.value)
+            for i in range(0, len(k), 100_000):
+                part = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(n[part].astype(np.int64)), pa.array(log[part])], names=["k", "n", "log"])
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = b.column("word").to_pylist()
-            k = np.array([xxhash.xxh64_intdigest(w) for w in held], np.uint64).view(np.int64)
-            n, log = np.array(b.column("n"), np.float64), shared.value.score(held)
-            if tokens:
-                seen = np.log10(np.maximum(n, 1e-300)) - math.log10(tokens + kinds)
-                spelt = log + math.log10(kinds) - math.log10(tokens + kinds)
-                log = np.logaddexp(seen * _LN10, spelt * _LN10) / _LN10
-            yield pa.RecordBatch.from_arrays([pa.array(k), b.column("n"), pa.array(log)], names=["k", "n", "log"])
-
-    return words.mapInArrow(walk, "k long, n long, log double")
-
-
-def fit(docs: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree of (text, train) and the vocabulary (word, n) of all its rows."""
+            held.append(b)
+            rows += b.num_rows
+            if rows > PIECE // 2:
+                table = pa.Table.from_batches(held)
+                ends = np.array(table["end"], np.int64)
+                cut = int(np.searchsorted(ends, ends[-1]))
+                if cut:
+                    yield from send(table.slice(0, cut))
+                held, rows = table.slice(cut).to_batches(), len(ends) - cut
+        if rows:
+            yield from send(pa.Table.from_batches(held))
+
+    end = F.shiftright("k", BITS).bitwiseAND(F.lit(_MASKS[LOW + 1]).cast("long")).alias("end")
+    return codes.select("k", "n", end).repartition("end").sortWithinPartitions("end").mapInArrow(climb, "k long, n long, log double")
+
+
+def fit(docs: DataFrame) -> tuple[Tree, tuple[DataFrame, DataFrame]]:
+    """The tree of (text, train) for contexts of up to LOW symbols; the vocabulary (word, n) and the codes (k, n) of all its rows."""
     words = written(vocabulary(docs))
-    byte = byte_counts(words)
-    classes, byte_log = alphabet(byte)
-    rows = context_counts(words.filter("n > 0"), classes, int(byte.sum())).toArrow()  # at most SHARE contexts of each length
-    return grow(np.array(rows["d"], np.int64), np.array(rows["k"], np.int64), np.array(rows["n"], np.int64), classes, byte_log), words
+    classes, byte_log = alphabet(byte_counts(words))
+    codes = written(context_counts(docs, classes))
+    low = F.col("k").bitwiseAND(F.lit((_MASKS[LOW] << BITS) | (CLASSES - 1)).cast("long")).alias("k")
+    rows = codes.filter("n > 0").groupBy(low).agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES ** (LOW + 1) rows
+    k, n = np.array(rows["k"], np.int64), np.array(rows["n"], np.int64)
+    levels = [_summed([k & ((m << BITS) | (CLASSES - 1))], [n]) for m in _MASKS[: LOW + 1]]
+    depth = np.repeat(np.arange(LOW + 1), [len(x) for x, _ in levels])
+    return grow(depth, np.concatenate([x for x, _ in levels]), np.concatenate([x for _, x in levels]), classes, byte_log), (words, codes)
+
+
+def heaviest(table: DataFrame, most: int) -> int:
+    """A count that at most so many rows of (n) reach."""
+    steps = table.filter("n > 0").groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.count("*"), F.min("n")).collect()  # a row for each quarter of a power of 2
+    least, held = 2**62, 0
+    for _, rows, n in sorted(steps, reverse=True):
+        held += rows
+        if held > most:
+            break
+        least = n
+    return least
 
 
 def scored(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row; learns from rows where train is true."""
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    tree, words = fit(docs)
+    tree, (words, codes) = fit(docs)
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     tokens, kinds = int(totals[0]), int(totals[1])
-    table = written(worded(words, tree, tokens, kinds))
-    least = max(1, math.ceil(tokens / HEAVY))
-    heavy = table.filter(F.col("n") >= least).orderBy("k").toArrow()  # at most HEAVY rows
-    shared = spark.sparkContext.broadcast((np.array(heavy["k"], np.int64), np.log10(np.array(heavy["n"], np.float64) + 1), np.array(heavy["log"], np.float64)))
+    by_code, by_word = written(coded(codes, tree)), written(keyed(words))
+    tables = [(by_code.select("k", F.lit(0.0).alias("w"), F.lit(0).alias("seen"), "log", "n"), heaviest(by_code, HEAVY_CODES))]
+    tables.append((by_word.select("k", F.log10(F.col("n") + 1).alias("w"), (F.col("n") > 0).cast("int").alias("seen"), F.lit(0.0).alias("log"), "n"), heaviest(by_word, HEAVY)))
+    heavy = [t.filter(F.col("n") >= least).drop("n").toArrow() for t, least in tables]  # at most HEAVY_CODES and HEAVY rows
+    columns = [np.concatenate([np.array(t[c], kind) for t in heavy]) for c, kind in (("k", np.int64), ("w", np.float64), ("seen", np.float64), ("log", np.float64))]
+    order = np.argsort(columns[0])
+    shared = spark.sparkContext.broadcast(tuple(c[order] for c in columns))
+    classes, byte_log = tree.classes, tree.byte_log
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of k (token, or a spare key), row, doc_id, tf, and sums: over a row's rows they are its results."""
-        keys, logs, scores = shared.value
+        keys, logs, seen, scores = shared.value
         for b in batches:
-            texts = [words_of(t) for t in b.column("text").to_pylist()]
-            if not texts:
-                continue
-            row, doc = np.array(b.column("row")), b.column("doc_id")
-            found = [_counted(_hashes([*t, b"\n"])) for t in texts]
-            k, tf = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-            of = np.repeat(np.arange(len(texts)), [len(x[0]) for x in found])
-            at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-            known = keys[at] == k if len(keys) else np.zeros(len(k), bool)
-            sums = [np.bincount(of[known], tf[known] * x, len(texts)) for x in (logs[at[known]], np.ones(int(known.sum())), scores[at[known]])]
-            sums.append(np.array([len(t) + 1.0 for t in texts]))
-            light = ~known
-            zero = np.zeros(int(light.sum()))
-            of = np.concatenate([np.arange(len(texts)), of[light]])
-            columns = [np.concatenate([_mix(row.astype(np.uint64)).view(np.int64), k[light]]), row[of], np.concatenate([np.zeros(len(texts), np.int64), tf[light]]).astype(np.int32)]
-            columns += [np.concatenate([x, zero]) for x in sums]
-            whole = [pa.array(columns[0]), pa.array(columns[1]), doc.take(pa.array(of)), *map(pa.array, columns[2:])]
-            for i in range(0, len(of), 200_000):
-                yield pa.RecordBatch.from_arrays([c.slice(i, 200_000) for c in whole], names=["k", "row", "doc_id", "tf", "s", "known", "score", "n"])
+            every = b.column("text").to_pylist()
+            for part in pieces(every):
+                yield from one(every[part], np.array(b.column("row"))[part], b.column("doc_id")[part], keys, logs, seen, scores)
+
+    def one(given: list, row: np.ndarray, doc: pa.Array, keys: np.ndarray, logs: np.ndarray, seen: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
+        texts = [words_of(t) for t in given]
+        raw, places, text_of = running(texts)
+        symbols, ends = classes[raw], np.searchsorted(text_of, np.arange(len(texts) + 1))
+        found = [_counted(_hashes([*t, b"\n"])) for t in texts] + [_counted(_codes(symbols, places[i:j])) for i, j in zip(ends, ends[1:])]
+        k, tf = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        of = np.repeat(np.arange(len(found)) % len(texts), [len(x[0]) for x in found])
+        at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+        known = keys[at] == k if len(keys) else np.zeros(len(k), bool)
+        sums = [np.bincount(of[known], tf[known] * x[at[known]], len(texts)).astype(np.float64) for x in (logs, seen, scores)]
+        sums[2] += np.bincount(text_of, byte_log[raw[places]], len(texts))
+        sums.append(np.array([len(t) + 1.0 for t in texts]))
+        light = ~known
+        zero = np.zeros(int(light.sum()))
+        of = np.concatenate([np.arange(len(texts)), of[light]])
+        columns = [np.concatenate([_mix(row.astype(np.uint64)).view(np.int64), k[light]]), row[of], np.concatenate([np.zeros(len(texts), np.int64), tf[light]]).astype(np.int32)]
+        columns += [np.concatenate([x, zero]) for x in sums]
+        whole = [pa.array(columns[0]), pa.array(columns[1]), doc.take(pa.array(of)), *map(pa.array, columns[2:])]
+        for i in range(0, len(of), 200_000):
+            yield pa.RecordBatch.from_arrays([c.slice(i, 200_000) for c in whole], names=["k", "row", "doc_id", "tf", "s", "known", "score", "n"])
 
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInArrow(walk, "k long, row long, doc_id long, tf int, s double, known double, score double, n double")
-    rest = table.filter(F.col("n") < least).select("k", F.log10(F.col("n") + 1).alias("w"), (F.col("n") > 0).cast("int").alias("seen"), "log")
+    rest = [t.filter(F.col("n") < least).drop("n") for t, least in tables]
+    rest = rest[0].unionByName(rest[1])
     met = rows.join(rest.hint("shuffle_hash"), "k", "left")
     plus = lambda column, held: F.sum(F.coalesce(F.col("tf") * F.col(column), F.lit(0.0)) + F.col(held)).alias(held)
     sums = met.groupBy("row", "doc_id").agg(plus("w", "s"), plus("seen", "known"), plus("log", "score"), F.sum("n").alias("n"))

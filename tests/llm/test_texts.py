@@ -203,6 +203,27 @@ def test_scoring_edges_and_mass(spark, docs_of):
     assert pst.scored(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_scoring_reads_words_in_their_order(spark, docs_of):
+    rows = [(i, "red cat sat on green mat") for i in range(40)] + [(100, "red cat sat on green mat"), (101, "mat on cat green sat red")]
+    got = {r.doc_id: r for r in pst.scored(docs_of(rows, "k"), F.col("doc_id") < 100).collect()}
+    assert got[100].base_score == got[101].base_score and got[100].score > got[101].score + 3
+
+
+def test_long_contexts_against_plain_counts(spark, docs_of):
+    rows = [(i, "abc abd xyzzy" if i % 3 else "abc xyzzy abd") for i in range(30)] + [(50, "abd abc xyz")]
+    docs = docs_of(rows, "k").select("text", (F.col("doc_id") < 50).alias("train"))
+    tree, (_, codes) = pst.fit(docs)
+    # with every symbol after a seen and an unseen context, probabilities add up to one in whatever state
+    held = {r.k: r.n for r in codes.collect()}
+    contexts = {k >> pst.BITS for k in held}
+    full = np.array(sorted(c << pst.BITS | x for c in contexts for x in range(pst.CLASSES)), np.int64)
+    p = 10 ** pst.climbed(full, np.array([held.get(int(k), 0) for k in full], np.float64), tree)
+    assert np.allclose(p.reshape(-1, pst.CLASSES).sum(1), 1)
+    # the table's own rows get the same, whatever else is given with them
+    got = {r.k: r.log for r in pst.coded(codes, tree).collect()}
+    assert set(got) == set(held) and all(abs(10 ** got[int(k)] - x) < 1e-9 for k, x in zip(full, p) if int(k) in got)
+
+
 # ---- tokens ----
 
 
