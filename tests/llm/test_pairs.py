@@ -132,6 +132,27 @@ def test_decontamination(spark, docs_of):
     assert decontam.contaminated(docs_of([]), bench).count() == 0
 
 
+def test_decontamination_of_names_case_and_several_occurrences(spark, docs_of):
+    story = "Tom has 3 apples and a bag. Anna gives him 5 more pears after lunch. Tom eats 2 of them at home"
+    numbers = "add up 1 2 3 4 5 6 7 8 9 10 11 12 and say what the total of all these is"
+    bench = spark.createDataFrame([(1, story), (2, numbers), (3, "we saw Paris in spring")], "item_id long, text string")
+    other = lambda t: t.replace("Tom", "Eve").replace("Anna", "Mary Ann").replace("3", "7").replace("5", "8")
+    rows = [
+        (1, "Look. " + other(story)),
+        (2, story.upper()),
+        (3, "see " + story.lower() + " end"),
+        (4, story + ". And now again. " + other(story)),  # verbatim and with other values
+        (5, other(story) + ". And now. " + story.replace("Tom", "Bob").replace("3", "9")),  # two variants
+        (6, numbers),
+        (7, "he said we saw paris in spring again"),
+        (8, "nothing of the kind " * 20),
+        (9, "1.2:3/" * 20_000 + " " + "Aa " * 30_000),
+    ]
+    got = {(r.doc_id, r.item_id): r.n_changed for r in decontam.contaminated(docs_of(rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 2), (7, 3)}
+    assert got[1, 1] == 4 and got[2, 1] == got[3, 1] == got[4, 1] == got[6, 2] == got[7, 3] == 0
+
+
 def test_decontamination_follows_a_plain_scan(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     import re
