@@ -1,32 +1,31 @@
 """Language-model scoring by a probabilistic suffix tree.
 
 A text is read as its tokens in their order: words between ASCII white space, A-Z lower-cased, a space after each, then
-one end. The contexts of a symbol are the up to DEPTH symbols before it in this running text, across the words, so a
-text's score depends on the order of its words. Bytes are put in CLASSES symbol classes: the most frequent have their
-own, the others share one, within which a byte unigram tells them apart.
-
-1. The tasks count their words, Spark adds the counts up: a vocabulary that grows with the corpus.
-2. The tasks count DEPTH symbols with the next one, as one code, over all training texts, and note the codes of the
-   others with a count of 0; Spark adds the counts up in a table that grows with the corpus.
-3. A context is kept as a state only if its next-symbol distribution diverges from its suffix's by more than its counts
+one end. The symbols are the bytes of this running text; the contexts of a symbol are the up to DEPTH bytes before it,
+across the words, so a text's score depends on the order of its words.
+
+1. The tasks count their words, and DEPTH symbols with the next one as one code, over all training texts, and note the
+   words and codes of the others with a count of 0; Spark adds the counts up in a table that grows with the corpus.
+2. A context is kept as a state only if its next-symbol distribution diverges from its suffix's by more than its counts
    could by chance (likelihood gain against a BIC-like bound), and if it has been seen LEAST_COUNT times, at every size
-   of the corpus. Distributions are smoothed toward the suffix's (Witten-Bell). Contexts of up to LOW symbols, of which
-   there are at most CLASSES ** LOW, are judged in the driver. Longer ones stay in the table: rows whose contexts end in
-   the same LOW + 1 symbols meet in one task, which holds all that a longer context and its suffixes need.
-4. So each code has its log probability in the longest suffix that is a state. Codes and words that make up much of the
+   of the corpus. Distributions are smoothed toward the suffix's (Witten-Bell). Contexts of up to LOW symbols, whose
+   counts are at most 256 ** (LOW + 1), are judged in the driver. Longer ones stay in the table: rows whose contexts
+   end in the same LOW + 1 symbols meet in one task, which holds all that a longer context and its suffixes need. Such
+   a group differs in DEPTH - LOW symbols only, whatever the size of the corpus.
+3. So each code has its log probability in the longest suffix that is a state. Codes and words that make up much of the
    text are looked up in a broadcast table of bounded size, which takes the heat out of the join; the others are joined
    (codes are exact, words go by 63 bits of a hash: among 10^9 words two share one with a chance of 6 in 100).
 
 Beside it stands the add-one unigram score over the same tokens.
 
 Defined results: null texts count as empty (one end token); without training rows every distribution is uniform and
-the unigram score is 0; repeated rows are scored alike, each on its own row; null ids are kept.
+the unigram score is 0; repeated rows are scored alike, each on its own row; null ids are kept; other columns than the
+id, the text and those of the training condition are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,28 +37,35 @@ from pyspark.sql import functions as F
 from .common import prepare, written
 from .neardup import _mix, _words, words_of
 
-CLASSES, BITS, DEPTH, LOW = 128, 7, 8, 2
+#: Symbols before the next one, of 8 bits each: with it they fit into one long. A text's end is a newline, which no word holds; newlines stand before its begin as well.
+DEPTH, BITS, LOW = 6, 8, 2
 #: Words and codes at most that are looked up in a broadcast table.
 HEAVY, HEAVY_CODES = 100_000, 2_000_000
 #: Counts that a context needs to be looked at, and the likelihood gain (nats) it needs besides the BIC term.
 LEAST_COUNT, LEAST_GAIN = 4, 1.0
-END, RARE = 10, CLASSES - 1  # the byte of the end and of what stands before a token (a newline, which no word holds); the class that the other bytes share
-VOCABULARY = 500_000  # words that a task holds before it sends their counts
-_MERGE_AT = 4_000_000
+#: Sums that a task merges at, and those of them that it keeps on holding rather than sends.
+MERGE_AT, HOLD = 4_000_000, 3_000_000
 PIECE = 1_000_000  # bytes of texts, or rows of the table, that a task reads at once
 
+_PAD = b"\n" * DEPTH
+_MASKS = [(1 << (BITS * d)) - 1 for d in range(DEPTH + 2)]  # of d symbols
+
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, n = k[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(n, first) if len(first) else n
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _summed(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(k)
+    k = k[order]
+    first = _runs(k)
+    return k[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
 def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.sort(x)
-    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    first = _runs(x)
     return x[first], np.diff(np.append(first, len(x)))
 
 
@@ -69,250 +75,143 @@ class _Sums:
     def __init__(self) -> None:
         self.keys, self.counts, self.n = [], [], 0
 
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        k, n = np.concatenate(self.keys), np.concatenate(self.counts)
+        self.keys, self.counts, self.n = [], [], 0
+        return _summed(k, n)
+
     def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.keys.append(keys.astype(np.int64, copy=False))
-        self.counts.append(counts.astype(np.int64, copy=False))
+        self.keys.append(keys)
+        self.counts.append(counts)
         self.n += len(keys)
-        if self.n > _MERGE_AT:
-            k, n = _summed(self.keys, self.counts)
+        if self.n > MERGE_AT:
+            k, n = self.merged()
             self.keys, self.counts, self.n = [k], [n], len(k)
-            if self.n > _MERGE_AT // 2:
+            if self.n > HOLD:
                 yield from self.send()
 
     def send(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            k, n = _summed(self.keys, self.counts)
+            k, n = self.merged()
             for i in range(0, len(k), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["k", "n"])
-        self.keys, self.counts, self.n = [], [], 0
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
+def word_keys(words: list[bytes]) -> np.ndarray:
     """Keys of words: below 0, as codes are not."""
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)).view(np.int64) | np.int64(-(2**63))
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of tokens, each after DEPTH newlines and before a space (the end token is a newline alone); the places of their symbols, and each one's token."""
-    return _placed([w if w == b"\n" else w + b" " for w in words])
-
-
 def running(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of texts given as words, each after DEPTH newlines; the places of their symbols, and each one's text."""
-    return _placed([b" ".join([*t, b"\n"]) for t in texts])
-
-
-def _placed(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [b" ".join([*t, b"\n"]) for t in texts]
     raw = np.frombuffer(b"".join(x for p in parts for x in (_PAD, p)), np.uint8)
     of = np.repeat(np.arange(len(parts)), np.array([len(p) for p in parts], np.int64))
     return raw, np.arange(len(of)) + DEPTH * (of + 1), of
 
 
 def pieces(texts: list[str | None]) -> Iterator[slice]:
-    """Runs of texts of about PIECE bytes."""
+    """Runs of texts of about PIECE characters; a longer text is one of its own."""
     first = held = 0
     for i, t in enumerate(texts):
+        if held and held + len(t or "") > PIECE:
+            yield slice(first, i)
+            first, held = i, 0
         held += len(t or "")
-        if held > PIECE:
-            yield slice(first, i + 1)
-            first, held = i + 1, 0
     if first < len(texts):
         yield slice(first, len(texts))
 
 
-_PAD = b"\n" * DEPTH
-_MASKS = [(1 << (BITS * d)) - 1 for d in range(DEPTH + 1)]
-
-
-def _codes(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+def codes_at(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Context of DEPTH symbols and the symbol itself, at each place."""
-    s = symbols.astype(np.int64)
     out = np.zeros(len(at), np.int64)
     for d in range(DEPTH, -1, -1):
-        out = (out << BITS) | s[at - d]
+        out <<= BITS
+        out |= raw[at - d]
     return out
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """(word, n): all words of (text, train) and the end, with their counts in the training rows."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def send():
-            words = list(held)
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([held[w] for w in part], pa.int64())], names=["word", "n"])
-            held.clear()
-
-        for b in batches:
-            for text, train in zip(b.column("text").to_pylist(), b.column("train").to_pylist()):
-                words = words_of(text)
-                words.append(b"\n")
-                held.update(words if train else dict.fromkeys(words, 0))
-                if len(held) > VOCABULARY:
-                    yield from send()
-        yield from send()
-
-    return docs.select("text", "train").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def keyed(words: DataFrame) -> DataFrame:
-    """(k, n): the keys of words and their counts."""
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_hashes(b.column("word").to_pylist())), b.column("n")], names=["k", "n"])
-
-    return words.mapInArrow(key, "k long, n long")
-
-
-def byte_counts(words: DataFrame) -> np.ndarray:
-    """How often each byte is spelled in the training texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        byte = np.zeros(256)
-        for b in batches:
-            raw, at, of = spelled(b.column("word").to_pylist())
-            byte += np.bincount(raw[at], np.array(b.column("n"), np.float64)[of], 256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(byte.astype(np.int64))], names=["k", "n"])
-
-    out = np.zeros(256, np.int64)
-    for k, n in words.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # 256 rows
-        out[k] = n
-    return out
-
-
-def context_counts(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(k, n): all contexts of DEPTH symbols and their next symbol in (text, train), as one code, with their counts in the training rows."""
+def counts(docs: DataFrame) -> DataFrame:
+    """(k, n): all words, and all contexts of DEPTH symbols with their next one, of (text, train), with their counts in the training rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
         for b in batches:
             texts, train = b.column("text").to_pylist(), np.array(b.column("train"), bool)
             for part in pieces(texts):
-                raw, at, of = running([words_of(t) for t in texts[part]])
-                symbols, learns = classes[raw], train[part][of]
-                for i in range(0, len(at), 2 * PIECE):  # a long text by parts
-                    codes, mine = _codes(symbols, at[i : i + 2 * PIECE]), learns[i : i + 2 * PIECE]
-                    yield from sums.add(*_counted(codes[mine]))
-                    other = _counted(codes[~mine])[0]
-                    yield from sums.add(other, np.zeros(len(other), np.int64))
+                for learns in (True, False):
+                    held = [words_of(t) for t, mine in zip(texts[part], train[part]) if mine == learns]
+                    if not held:
+                        continue
+                    raw, at, _ = running(held)
+                    found = [word_keys([w for t in held for w in (*t, b"\n")]), *(codes_at(raw, at[i : i + 2 * PIECE]) for i in range(0, len(at), 2 * PIECE))]
+                    for keys in found:
+                        k, n = _counted(keys)
+                        yield from sums.add(k, n if learns else np.zeros(len(n), np.int64))
         yield from sums.send()
 
     return docs.select("text", "train").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
+def states(context: np.ndarray, n: np.ndarray, up: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in the order of their contexts, with counts and the suffix's probabilities: where contexts begin, each row's
+    context, which contexts are states, their suffix's weight, and each row's smoothed probability."""
+    first = _runs(context)
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
+    sums = lambda x: np.bincount(of, x, len(first))
+    total, kinds = sums(n), sums(n > 0)
+    p = (n + kinds[of] * up) / np.maximum(total + kinds, 1)[of]
+    gain = sums(np.where(n > 0, n * np.log(np.where(n > 0, p, 1) / up), 0))  # count * divergence from the suffix
+    own = (total >= LEAST_COUNT) & (gain >= LEAST_GAIN + 0.5 * np.log(np.maximum(total, 1)))
+    return first, of, own, kinds / np.maximum(total + kinds, 1), p
+
+
 @dataclass
 class Tree:
-    classes: np.ndarray  # byte -> symbol class
-    byte_log: np.ndarray  # byte -> log10 of its share of its class
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by length: codes and log10 probabilities of seen symbols; contexts that are states and the log10 weight of their suffix
-    root: np.ndarray
+    """The states of up to LOW symbols, by length: codes and probabilities of seen symbols; contexts that are states and their suffix's weight."""
 
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each token."""
-        if not words:
-            return np.zeros(0)
-        raw, at, of = spelled(words)
-        codes, inverse = np.unique(_codes(self.classes[raw], at), return_inverse=True)
-        return np.bincount(of, self.logs(codes)[inverse] + self.byte_log[raw[at]], len(words))
-
-    def logs(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of codes' symbols in the longest state of their contexts, without what bytes of the shared class add."""
-        log = np.zeros(len(codes))
-        todo = np.arange(len(codes))
-        for d in range(DEPTH, 0, -1):
-            seen, p, states, weight = self.levels[d]
-            part = codes[todo] & ((_MASKS[d] << BITS) | (CLASSES - 1))
-            if not len(states) or not len(todo):
+    root: np.ndarray
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    def probabilities(self, codes: np.ndarray) -> np.ndarray:
+        """Of codes' symbols in the longest state of up to LOW symbols."""
+        p, todo = np.ones(len(codes)), np.arange(len(codes))
+        for d in range(len(self.levels), 0, -1):
+            seen, q, contexts, weight = self.levels[d - 1]
+            if not len(contexts) or not len(todo):
                 continue
+            part = codes[todo] & _MASKS[d + 1]
             i = np.minimum(np.searchsorted(seen, part), len(seen) - 1)
             hit = seen[i] == part
-            log[todo[hit]] += p[i[hit]]
-            j = np.minimum(np.searchsorted(states, part >> BITS), len(states) - 1)
-            back = ~hit & (states[j] == part >> BITS)
-            log[todo[back]] += weight[j[back]]
+            p[todo[hit]] *= q[i[hit]]
+            j = np.minimum(np.searchsorted(contexts, part >> BITS), len(contexts) - 1)
+            back = ~hit & (contexts[j] == part >> BITS)
+            p[todo[back]] *= weight[j[back]]
             todo = todo[~hit]
-        log[todo] += self.root[codes[todo] & (CLASSES - 1)]
-        return log
-
-
-def alphabet(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of bytes and log10 shares within the shared class, from the bytes' counts."""
-    order = sorted(range(256), key=lambda b: (b not in (END, 32), -byte[b], b))
-    classes = np.full(256, RARE, np.uint8)
-    for c, b in enumerate(order[:RARE]):
-        classes[b] = c
-    rest = order[RARE:]
-    share = np.zeros(256)
-    share[rest] = np.log10((byte[rest] + 1) / (byte[rest].sum() + len(rest)))
-    return classes, share
-
-
-def grow(depth: np.ndarray, codes: np.ndarray, counts: np.ndarray, classes: np.ndarray, byte_log: np.ndarray) -> Tree:
-    """The tree from (context length, code, count)."""
-    order = np.lexsort((codes, depth))
-    depth, codes, counts = depth[order], codes[order], counts[order].astype(np.float64)
-    symbols = CLASSES - 1
-    here = depth == 0
-    root = np.full(CLASSES, 0.5)
-    root[codes[here] & symbols] += counts[here]
-    root /= root.sum()
-    levels = [(codes[:0], counts[:0], codes[:0], counts[:0])]
-    chain: list[tuple] = []  # by length: codes and probabilities of seen symbols, states and the weight of their suffix
-
-    def below(code: np.ndarray, d: int) -> np.ndarray:
-        """Smoothed probability of codes in the longest state among their suffixes of up to d symbols."""
-        p, todo = np.ones(len(code)), np.arange(len(code))
-        for e in range(d, 0, -1):
-            seen, q, contexts, weight = chain[e - 1]
-            part = code[todo] & ((_MASKS[e] << BITS) | symbols)
-            if len(seen):
-                i = np.minimum(np.searchsorted(seen, part), len(seen) - 1)
-                hit = seen[i] == part
-                p[todo[hit]] *= q[i[hit]]
-                j = np.minimum(np.searchsorted(contexts, part >> BITS), len(contexts) - 1)
-                back = ~hit & (contexts[j] == part >> BITS)
-                p[todo[back]] *= weight[j[back]]
-                todo = todo[~hit]
-        p[todo] *= root[code[todo] & symbols]
+        p[todo] *= self.root[codes[todo] & _MASKS[1]]
         return p
 
-    for d in range(1, DEPTH + 1):
-        here = depth == d
-        code, n = codes[here], counts[here]
-        context = code >> BITS
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
-        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
-        total = np.add.reduceat(n, first) if len(first) else n
-        kinds = np.bincount(of, minlength=len(first)).astype(np.float64)
-        up = below(code, d - 1)
-        p = (n + kinds[of] * up) / (total[of] + kinds[of])
-        gain = np.bincount(of, n * np.log(p / up), len(first)) if len(first) else n  # count * divergence from the suffix
-        own = (total >= LEAST_COUNT) & (gain >= LEAST_GAIN + 0.5 * np.log(np.maximum(total, 1)))
-        weight = kinds / (total + kinds)
+
+def grow(codes: np.ndarray, n: np.ndarray) -> Tree:
+    """The tree from the counts of LOW symbols and the next one."""
+    root = np.full(256, 0.5)
+    np.add.at(root, codes & _MASKS[1], n)
+    tree = Tree(root / root.sum(), [])
+    for d in range(1, LOW + 1):
+        code, count = _summed(codes & _MASKS[d + 1], n.astype(np.float64))
+        first, of, own, weight, p = states(code >> BITS, count, tree.probabilities(code))
         kept = own[of]
-        chain.append((code[kept], p[kept], context[first][own], weight[own]))
-        levels.append((code[kept], np.log10(p[kept]), context[first][own], np.log10(weight[own])))
-    return Tree(classes, byte_log, levels, np.log10(root))
+        tree.levels.append((code[kept], p[kept], (code >> BITS)[first][own], weight[own]))
+    return tree
 
 
 def climbed(k: np.ndarray, n: np.ndarray, tree: Tree) -> np.ndarray:
     """log10 probability of codes from the tree of short contexts upward; all codes whose contexts end in the same LOW + 1 symbols are given."""
-    low, inverse = np.unique(k & ((_MASKS[LOW] << BITS) | (CLASSES - 1)), return_inverse=True)
-    p = (10 ** tree.logs(low))[inverse]
+    p = tree.probabilities(k & _MASKS[LOW + 1])
     for d in range(LOW + 1, DEPTH + 1):
-        code, first, inverse = np.unique(k & ((_MASKS[d] << BITS) | (CLASSES - 1)), return_index=True, return_inverse=True)
-        count, up, context = np.bincount(inverse, n, len(code)), p[first], code >> BITS
-        start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(context))))
-        total, kinds = np.add.reduceat(count, start), np.add.reduceat((count > 0).astype(np.float64), start)
-        own = (count + kinds[of] * up) / np.maximum(total + kinds, 1)[of]
-        gain = np.add.reduceat(np.where(count > 0, count * np.log(np.where(count > 0, own, 1) / up), 0), start)
-        state = (total >= LEAST_COUNT) & (gain >= LEAST_GAIN + 0.5 * np.log(np.maximum(total, 1)))
-        p = np.where(state[of], own, up)[inverse]
+        code, first, inverse = np.unique(k & _MASKS[d + 1], return_index=True, return_inverse=True)
+        _, of, own, _, smoothed = states(code >> BITS, np.bincount(inverse, n, len(code)), p[first])
+        p = np.where(own[of], smoothed, p[first])[inverse]
     return np.log10(p)
 
 
@@ -329,7 +228,7 @@ def coded(codes: DataFrame, tree: Tree) -> DataFrame:
             log = climbed(k, n, shared.value)
             for i in range(0, len(k), 100_000):
                 part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(n[part].astype(np.int64)), pa.array(log[part])], names=["k", "n", "log"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(n[part].astype(np.int64)), pa.array(log[part].astype(np.float32))], names=["k", "n", "log"])
 
         for b in batches:
             held.append(b)
@@ -345,20 +244,15 @@ def coded(codes: DataFrame, tree: Tree) -> DataFrame:
             yield from send(pa.Table.from_batches(held))
 
     end = F.shiftright("k", BITS).bitwiseAND(F.lit(_MASKS[LOW + 1]).cast("long")).alias("end")
-    return codes.select("k", "n", end).repartition("end").sortWithinPartitions("end").mapInArrow(climb, "k long, n long, log double")
+    return codes.select("k", "n", end).repartition("end").sortWithinPartitions("end").mapInArrow(climb, "k long, n long, log float")
 
 
-def fit(docs: DataFrame) -> tuple[Tree, tuple[DataFrame, DataFrame]]:
-    """The tree of (text, train) for contexts of up to LOW symbols; the vocabulary (word, n) and the codes (k, n) of all its rows."""
-    words = written(vocabulary(docs))
-    classes, byte_log = alphabet(byte_counts(words))
-    codes = written(context_counts(docs, classes))
-    low = F.col("k").bitwiseAND(F.lit((_MASKS[LOW] << BITS) | (CLASSES - 1)).cast("long")).alias("k")
-    rows = codes.filter("n > 0").groupBy(low).agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES ** (LOW + 1) rows
-    k, n = np.array(rows["k"], np.int64), np.array(rows["n"], np.int64)
-    levels = [_summed([k & ((m << BITS) | (CLASSES - 1))], [n]) for m in _MASKS[: LOW + 1]]
-    depth = np.repeat(np.arange(LOW + 1), [len(x) for x, _ in levels])
-    return grow(depth, np.concatenate([x for x, _ in levels]), np.concatenate([x for _, x in levels]), classes, byte_log), (words, codes)
+def fit(docs: DataFrame) -> tuple[Tree, DataFrame]:
+    """The tree of (text, train) for contexts of up to LOW symbols, and the counts (k, n) of all words (k < 0) and codes."""
+    table = written(counts(docs))
+    low = F.col("k").bitwiseAND(F.lit(_MASKS[LOW + 1]).cast("long")).alias("k")
+    rows = table.filter("k >= 0 and n > 0").groupBy(low).agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** (LOW + 1) rows
+    return grow(np.array(rows["k"], np.int64), np.array(rows["n"], np.int64)), table
 
 
 def heaviest(table: DataFrame, most: int) -> int:
@@ -377,52 +271,74 @@ def scored(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "do
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row; learns from rows where train is true."""
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    tree, (words, codes) = fit(docs)
+    tree, table = fit(docs)
+    words = table.filter("k < 0")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     tokens, kinds = int(totals[0]), int(totals[1])
-    by_code, by_word = written(coded(codes, tree)), written(keyed(words))
-    tables = [(by_code.select("k", F.lit(0.0).alias("w"), F.lit(0).alias("seen"), "log", "n"), heaviest(by_code, HEAVY_CODES))]
-    tables.append((by_word.select("k", F.log10(F.col("n") + 1).alias("w"), (F.col("n") > 0).cast("int").alias("seen"), F.lit(0.0).alias("log"), "n"), heaviest(by_word, HEAVY)))
-    heavy = [t.filter(F.col("n") >= least).drop("n").toArrow() for t, least in tables]  # at most HEAVY_CODES and HEAVY rows
-    columns = [np.concatenate([np.array(t[c], kind) for t in heavy]) for c, kind in (("k", np.int64), ("w", np.float64), ("seen", np.float64), ("log", np.float64))]
-    order = np.argsort(columns[0])
-    shared = spark.sparkContext.broadcast(tuple(c[order] for c in columns))
-    classes, byte_log = tree.classes, tree.byte_log
+    by_code = written(coded(table.filter("k >= 0"), tree))
+    # x is what an occurrence adds: to the unigram score for a word, to the score for a code
+    tables = [words.select("k", F.log10(F.col("n") + 1).alias("x"), "n"), by_code.select("k", F.col("log").alias("x"), "n")]
+    least = [heaviest(words, HEAVY), heaviest(by_code, HEAVY_CODES)]
+    heavy = []
+    for held, n in zip(tables, least):
+        rows = held.filter(F.col("n") >= n).select("k", "x").toArrow()  # at most HEAVY or HEAVY_CODES rows
+        k, x = (c.to_numpy() for c in rows.columns)
+        order = np.argsort(k)
+        heavy.append((k[order], x[order]))
+        del rows
+    shared = spark.sparkContext.broadcast(heavy)
+
+    def looked_up(of_words: bool, k: np.ndarray, of: np.ndarray, n_texts: int) -> tuple:
+        """Over texts: the sum of what heavy keys add, their number; and of the other keys: key, text, occurrences."""
+        keys, x = shared.value[0 if of_words else 1]
+        order = np.argsort(k)
+        k, of = k[order], of[order]
+        first = _runs(k)
+        own = k[first]
+        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+        known = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+        size = np.diff(np.append(first, len(k)))
+        adds = np.repeat(np.where(known, x[at].astype(np.float64), 0) if len(keys) else np.zeros(len(own)), size)
+        known = np.repeat(known, size)
+        light = ~known
+        k, light_of = k[light], of[light]
+        order = np.lexsort((light_of, k))
+        k, light_of = k[order], light_of[order]
+        first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (light_of[1:] != light_of[:-1])])) if len(k) else np.zeros(0, np.int64)
+        return np.bincount(of, adds, n_texts), np.bincount(of, known, n_texts), k[first], light_of[first], np.diff(np.append(first, len(k)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of k (token, or a spare key), row, doc_id, tf, and sums: over a row's rows they are its results."""
-        keys, logs, seen, scores = shared.value
+        """Rows of k (a word or code to be joined, or a spare key), row, doc_id, tf, and sums: over a row's rows they are its results."""
         for b in batches:
             every = b.column("text").to_pylist()
             for part in pieces(every):
-                yield from one(every[part], np.array(b.column("row"))[part], b.column("doc_id")[part], keys, logs, seen, scores)
+                yield from one(every[part], np.array(b.column("row"))[part], b.column("doc_id")[part])
 
-    def one(given: list, row: np.ndarray, doc: pa.Array, keys: np.ndarray, logs: np.ndarray, seen: np.ndarray, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
-        texts = [words_of(t) for t in given]
+    def one(given: list, row: np.ndarray, doc: pa.Array) -> Iterator[pa.RecordBatch]:
+        texts, size = [words_of(t) for t in given], len(given)
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        s, known, k, of, tf = looked_up(True, word_keys([w for t in texts for w in (*t, b"\n")]), np.repeat(np.arange(size), sizes), size)
         raw, places, text_of = running(texts)
-        symbols, ends = classes[raw], np.searchsorted(text_of, np.arange(len(texts) + 1))
-        found = [_counted(_hashes([*t, b"\n"])) for t in texts] + [_counted(_codes(symbols, places[i:j])) for i, j in zip(ends, ends[1:])]
-        k, tf = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-        of = np.repeat(np.arange(len(found)) % len(texts), [len(x[0]) for x in found])
-        at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-        known = keys[at] == k if len(keys) else np.zeros(len(k), bool)
-        sums = [np.bincount(of[known], tf[known] * x[at[known]], len(texts)).astype(np.float64) for x in (logs, seen, scores)]
-        sums[2] += np.bincount(text_of, byte_log[raw[places]], len(texts))
-        sums.append(np.array([len(t) + 1.0 for t in texts]))
-        light = ~known
-        zero = np.zeros(int(light.sum()))
-        of = np.concatenate([np.arange(len(texts)), of[light]])
-        columns = [np.concatenate([_mix(row.astype(np.uint64)).view(np.int64), k[light]]), row[of], np.concatenate([np.zeros(len(texts), np.int64), tf[light]]).astype(np.int32)]
-        columns += [np.concatenate([x, zero]) for x in sums]
-        whole = [pa.array(columns[0]), pa.array(columns[1]), doc.take(pa.array(of)), *map(pa.array, columns[2:])]
-        for i in range(0, len(of), 200_000):
-            yield pa.RecordBatch.from_arrays([c.slice(i, 200_000) for c in whole], names=["k", "row", "doc_id", "tf", "s", "known", "score", "n"])
-
+        score, light = np.zeros(size), [(k, of, tf)]
+        for i in range(0, len(places), 2 * PIECE):
+            found = looked_up(False, codes_at(raw, places[i : i + 2 * PIECE]), text_of[i : i + 2 * PIECE], size)
+            score += found[0]
+            light.append(found[2:])
+        k, of, tf = (np.concatenate(x) for x in zip(*light))
+        sums = [pa.array(x) for x in (s, known, score, sizes.astype(np.float64))]
+        spare = _mix(row.astype(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(spare), pa.array(row), doc, pa.nulls(size, pa.int32()), *sums], names=names)
+        for i in range(0, len(of), 100_000):
+            part = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(row[of[part]]), doc.take(pa.array(of[part])), pa.array(tf[part].astype(np.int32)), *[pa.nulls(len(k[part]), pa.float64())] * 4], names=names)
+
+    names = ["k", "row", "doc_id", "tf", "s", "known", "score", "n"]
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInArrow(walk, "k long, row long, doc_id long, tf int, s double, known double, score double, n double")
-    rest = [t.filter(F.col("n") < least).drop("n") for t, least in tables]
+    rest = [t.filter(F.col("n") < n).select("k", F.col("x").cast("double").alias("x"), (F.col("n") > 0).alias("seen")) for t, n in zip(tables, least)]
     rest = rest[0].unionByName(rest[1])
-    met = rows.join(rest.hint("shuffle_hash"), "k", "left")
-    plus = lambda column, held: F.sum(F.coalesce(F.col("tf") * F.col(column), F.lit(0.0)) + F.col(held)).alias(held)
-    sums = met.groupBy("row", "doc_id").agg(plus("w", "s"), plus("seen", "known"), plus("log", "score"), F.sum("n").alias("n"))
+    met = rows.join(rest, "k", "left")
+    added = F.col("tf") * F.col("x")
+    plus = lambda extra, name: F.sum(F.coalesce(F.when(F.col("tf").isNull(), F.col(name)).otherwise(extra), F.lit(0.0))).alias(name)
+    sums = met.groupBy("row", "doc_id").agg(plus(F.when(F.col("k") < 0, added), "s"), plus(F.when((F.col("k") < 0) & F.col("seen"), F.col("tf").cast("double")), "known"), plus(F.when(F.col("k") >= 0, added), "score"), F.sum("n").alias("n"))
     each = math.log10(tokens + kinds + 1)
     return sums.select("doc_id", F.col("n").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("s") - F.col("n") * each).alias("base_score"), "score")

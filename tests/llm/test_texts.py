@@ -178,52 +178,77 @@ def test_scoring_edges_and_mass(spark, docs_of):
     assert len(got) == len(ODD) + 1 and sorted(r.n_tokens for r in got) == [1, 1, 1, 2, 2, 4, 4, 5, 60_001]
     none = pst.scored(docs, F.lit(False)).collect()
     assert {r.base_score for r in none} == {0.0} and all(r.n_known == 0 and r.score < 0 for r in none)
-    tree, _ = pst.fit(docs.select("text", F.lit(True).alias("train")))
-    # next-symbol probabilities add up to one in whatever state
-    for context in (b"", b"a", b"ab", b"wor", b"zz"):
-        words = [context + bytes([b]) for b in range(256) if b not in (10, 32)]
-        first = tree.score([context])[0] if context else None
-        codes = [pst._codes(tree.classes[np.frombuffer(pst._PAD + context + bytes([b]), np.uint8)], np.array([pst.DEPTH + len(context)])) for b in range(256)]
-        total = 0.0
-        for b, code in enumerate(codes):
-            log, todo = 0.0, True
-            for d in range(pst.DEPTH, 0, -1):
-                seen, p, states, weight = tree.levels[d]
-                part = int(code[0]) & ((pst._MASKS[d] << pst.BITS) | (pst.CLASSES - 1))
-                i, j = np.searchsorted(seen, part), np.searchsorted(states, part >> pst.BITS)
-                if i < len(seen) and seen[i] == part:
-                    log, todo = log + p[i], False
-                    break
-                if j < len(states) and states[j] == part >> pst.BITS:
-                    log += weight[j]
-            if todo:
-                log += tree.root[int(code[0]) & (pst.CLASSES - 1)]
-            total += 10 ** (log + tree.byte_log[b])
-        assert words and (first is None or first < 0) and abs(total - 1) < 0.15
+    lengths = [len(PlainTree.running(t)) - pst.DEPTH for _, t in [*ODD, (11, "abab abab ab")]]
+    assert np.allclose(sorted(r.score for r in none), sorted(-n * math.log10(256) for n in lengths))
     assert pst.scored(docs.limit(0), F.lit(True)).count() == 0
 
 
-def test_scoring_reads_words_in_their_order(spark, docs_of):
+class PlainTree:
+    """Contexts of up to DEPTH bytes by plain counting."""
+
+    def __init__(self, texts):
+        self.seen = {}
+        for t in texts:
+            for at in range(pst.DEPTH, len(t)):
+                for d in range(pst.DEPTH + 1):
+                    self.seen.setdefault(t[at - d : at], Counter())[t[at]] += 1
+        self.held = {}
+
+    @staticmethod
+    def running(text):
+        return b"\n" * pst.DEPTH + b" ".join([*(text or "").encode().lower().split(), b"\n"])
+
+    def p(self, context, symbol):
+        counts = self.seen.get(context, {})
+        total = sum(counts.values())
+        if not context:
+            return (counts.get(symbol, 0) + 0.5) / (total + 128)
+        up = self.p(context[1:], symbol)
+        if context not in self.held:
+            grown = {x: (n + len(counts) * self.p(context[1:], x)) / (total + len(counts)) for x, n in counts.items()}
+            gain = sum(n * math.log(grown[x] / self.p(context[1:], x)) for x, n in counts.items())
+            self.held[context] = total >= pst.LEAST_COUNT and gain >= pst.LEAST_GAIN + 0.5 * math.log(total)
+        return (counts.get(symbol, 0) + len(counts) * up) / (total + len(counts)) if self.held[context] else up
+
+    def score(self, text):
+        t = self.running(text)
+        return sum(math.log10(self.p(t[at - pst.DEPTH : at], t[at])) for at in range(pst.DEPTH, len(t)))
+
+
+def test_scores_are_those_of_a_plain_tree(docs_of, monkeypatch):
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(1, 7))) for _ in range(30)]
+    rows = [(i, " ".join(rnd.choice(words[: 5 + i]) for _ in range(rnd.randrange(0, 25)))) for i in range(40)]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(rows[::4])] + [(120, "unseen Zürich ÿ 漢字 " + words[3]), (121, None), (None, words[0])]
+    plain = PlainTree([PlainTree.running(t) for i, t in rows if i is not None and i < 100])
+    expected = sorted(round(plain.score(t), 4) for _, t in rows)
+    for most in (pst.HEAVY_CODES, 50, 0):  # all in the broadcast table, few, none: the join gives the others
+        monkeypatch.setattr(pst, "HEAVY_CODES", most)
+        monkeypatch.setattr(pst, "HEAVY", most and 10)
+        got = pst.scored(docs_of(rows, "k"), F.col("doc_id") < 100).collect()
+        assert np.allclose(sorted(r.score for r in got), expected, atol=1e-3)
+        assert len({round(r.base_score, 6) for r in got if r.doc_id in (0, 100)}) == 1
+
+
+def test_probabilities_add_up_to_one(docs_of):
+    docs = docs_of([(i, "abc abd xyzzy" if i % 3 else "abc xyzzy abd") for i in range(30)] + [(50, "abd abc xyz")], "k")
+    tree, table = pst.fit(docs.select("text", (F.col("doc_id") < 50).alias("train")))
+    held = {r.k: r.n for r in table.filter("k >= 0").collect()}
+    full = np.array(sorted(c << pst.BITS | x for c in {k >> pst.BITS for k in held} for x in range(256)), np.int64)
+    p = 10 ** pst.climbed(full, np.array([held.get(int(k), 0) for k in full], np.float64), tree)
+    assert np.allclose(p.reshape(-1, 256).sum(1), 1, atol=1e-9)
+    assert tree.levels[-1][2].size  # there are states
+    # the table's own rows get the same, whatever else is given with them
+    got = {r.k: r.log for r in pst.coded(table.filter("k >= 0"), tree).collect()}
+    assert set(got) == set(held) and all(abs(10 ** got[int(k)] - x) < 1e-6 for k, x in zip(full, p) if int(k) in got)
+
+
+def test_scoring_reads_words_in_their_order(docs_of):
     rows = [(i, "red cat sat on green mat") for i in range(40)] + [(100, "red cat sat on green mat"), (101, "mat on cat green sat red")]
     got = {r.doc_id: r for r in pst.scored(docs_of(rows, "k"), F.col("doc_id") < 100).collect()}
     assert got[100].base_score == got[101].base_score and got[100].score > got[101].score + 3
 
 
-def test_long_contexts_against_plain_counts(spark, docs_of):
-    rows = [(i, "abc abd xyzzy" if i % 3 else "abc xyzzy abd") for i in range(30)] + [(50, "abd abc xyz")]
-    docs = docs_of(rows, "k").select("text", (F.col("doc_id") < 50).alias("train"))
-    tree, (_, codes) = pst.fit(docs)
-    # with every symbol after a seen and an unseen context, probabilities add up to one in whatever state
-    held = {r.k: r.n for r in codes.collect()}
-    contexts = {k >> pst.BITS for k in held}
-    full = np.array(sorted(c << pst.BITS | x for c in contexts for x in range(pst.CLASSES)), np.int64)
-    p = 10 ** pst.climbed(full, np.array([held.get(int(k), 0) for k in full], np.float64), tree)
-    assert np.allclose(p.reshape(-1, pst.CLASSES).sum(1), 1)
-    # the table's own rows get the same, whatever else is given with them
-    got = {r.k: r.log for r in pst.coded(codes, tree).collect()}
-    assert set(got) == set(held) and all(abs(10 ** got[int(k)] - x) < 1e-9 for k, x in zip(full, p) if int(k) in got)
-
-
 # ---- tokens ----
 
 
