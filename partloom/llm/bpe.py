@@ -123,12 +123,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
     short = docs.filter(F.length(body) <= chunk_chars).withColumn(out, whole(body))
 
-    row, number, start, piece, n = (free_name(docs, x) for x in ("bpe_row", "bpe_number", "bpe_start", "bpe_text", "bpe_chunks"))
+    row, number, start, piece, begins, lengths, packed = (free_name(docs, x) for x in ("bpe_row", "bpe_number", "bpe_start", "bpe_text", "bpe_begins", "bpe_lengths", "bpe_packed"))
     long = docs.filter(F.length(body) > chunk_chars).withColumn(row, F.monotonically_increasing_id())
     cut_up = long.select("*", F.posexplode(F.sequence(F.lit(0), F.length(body) - 1, F.lit(chunk_chars))).alias(number, start))
     rest = [c for c in docs.columns if c != text]
     cut_up = cut_up.select(row, number, start, F.expr(f"substring(`{text}`, `{start}` + 1, {chunk_chars + overlap_chars})").alias(piece), *[F.when(F.col(number) == 0, F.col(c)).alias(c) for c in rest])
-    schema = T.StructType([*cut_up.schema.fields, T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([*cut_up.schema.fields, T.StructField(begins, T.ArrayType(T.IntegerType())), T.StructField(lengths, T.ArrayType(T.IntegerType())), T.StructField(packed, T.BinaryType())])
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, cut = _encoder(shared, pattern)
@@ -139,15 +139,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 starts.append(array("i", [p for p, _ in found]).tobytes())
                 sizes.append(array("i", [len(x) // 4 for _, x in found]).tobytes())
                 ids.append(b"".join([x for _, x in found]))
-            yield pa.RecordBatch.from_arrays([*b.columns, _lists(starts), _lists(sizes), pa.array(ids, pa.binary())], names=[*b.schema.names, "starts", "sizes", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(starts), _lists(sizes), pa.array(ids, pa.binary())], names=[*b.schema.names, begins, lengths, packed])
 
     joined_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def join(group: pa.Table) -> pa.Table:
         """One long text: its chunks, which together hold no more than that text and its overlaps."""
         encoder, cut = _encoder(shared, pattern)
-        rows = sorted(group.select([number, start, piece, "starts", "sizes", "ids"]).to_pylist(), key=lambda r: r[number])
-        chunks = [{"start": r[start], "text": r[piece], "starts": r["starts"], "sizes": r["sizes"], "ids": r["ids"]} for r in rows]
+        rows = sorted(group.select([number, start, piece, begins, lengths, packed]).to_pylist(), key=lambda r: r[number])
+        chunks = [{"start": r[start], "text": r[piece], "starts": r[begins], "sizes": r[lengths], "ids": r[packed]} for r in rows]
         body = "".join(c["text"][:chunk_chars] for c in chunks)
         first = group.slice(group.column(number).to_pylist().index(0), 1)
         made = {text: pa.array([body], type=pa.string()), out: _lists([stitch(chunks, encoder, cut)])}

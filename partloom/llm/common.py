@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from partloom.session import ship, written  # noqa: F401  written is for the operators
 
 #: Rows and bytes of one Arrow batch handed to a Python task, so that a batch of long texts stays small.
-ARROW_ROWS, ARROW_BYTES = 2000, "16m"
+ARROW_ROWS, ARROW_BYTES = 2000, "4m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -36,15 +36,29 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
-#: Lookup tables of at most so many rows are broadcast after a count; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Tables are broadcast up to so many rows and bytes (of their JSON text), after both are counted; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
+#: Rows from which a key counts as hot, and hot keys at most: the most frequent ones.
+HOT_ROWS, HOT_KEYS = 100_000, 1_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a table may be broadcast."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    rows, held = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 32) -> DataFrame:
-    """Join a big table with a table of unique keys: broadcast behind a count, else salted so that a hot key spreads."""
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    """Join a big table with a table of unique keys: broadcast behind a check of its size, else by a shuffle in which hot keys alone are salted."""
+    if is_small(small):
         return big.join(F.broadcast(small), keys, how)
+    hashed = F.xxhash64(*keys)
+    top = big.groupBy(hashed.alias("h")).count().filter(F.col("count") >= HOT_ROWS).orderBy(F.desc("count"), "h").limit(HOT_KEYS)
+    hot = [r.h for r in top.select("h").collect()]  # at most HOT_KEYS
+    if not hot:
+        return big.join(small, keys, how)
     salt = free_name(big, "salt")
-    wide = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = big.withColumn(salt, (F.monotonically_increasing_id() % salts).cast("int"))
+    wide = small.withColumn(salt, F.explode(F.when(hashed.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    spread = big.withColumn(salt, F.when(hashed.isin(hot), (F.monotonically_increasing_id() % salts).cast("int")).otherwise(0))
     return spread.join(wide, [*keys, salt], how).drop(salt)

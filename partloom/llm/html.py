@@ -6,7 +6,10 @@ bidirectional LSTM in numpy reads the page's blocks in order, so that every bloc
 around it; blocks labelled as content are the page's text. The network is trained here on generated pages.
 
 Defined results: null, empty or markup-only pages give an empty text; text outside any tag is a block like any other;
-tags never closed end with their parent or the page; repeated rows give repeated results; pages are read whole.
+tags never closed end with their parent or the page; an svg, iframe, select or the like that closes itself or is never
+closed hides nothing; formulas stay in their
+block; a block's path holds all its open elements, however deep; repeated rows give repeated results; other columns
+are kept, but for one named as the result; pages are read whole.
 """
 
 from __future__ import annotations
@@ -27,17 +30,16 @@ from .common import prepare, without
 
 PATH_SLOTS, WORD_SLOTS, EMBED, WORDS, HIDDEN = 1024, 512, 20, 8, 16
 NUMBERS = 7
-#: Elements of a block's path that its vector covers: the innermost and the outermost.
-INNER, OUTER = 12, 6
 #: Pages read by the network at once.
 BATCH = 128
 CACHE = 400_000
 
-# Inline elements, elements without content, elements whose content is not markup, and what a start tag closes.
+# Inline elements, elements without content, elements whose content is not markup, elements that show nothing, and what a start tag closes.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr br".split())
+FORMULA = frozenset("math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select xmp noembed noframes".split())
-SILENT = frozenset("script style noscript iframe template svg math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noembed noframes xmp".split())
+SILENT = frozenset("script style noscript iframe template svg annotation annotation-xml select datalist noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table td th tr body html article section div main aside nav header footer form".split())
@@ -45,37 +47,69 @@ SCOPE = frozenset("ul ol dl table td th tr body html article section div main as
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
+_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
 class Block:
-    __slots__ = ("path", "text", "links")
+    __slots__ = ("node", "text", "links")
 
-    def __init__(self, path: tuple[str, ...], text: str, links: int):
-        self.path, self.text, self.links = path, text, links
+    def __init__(self, node: int, text: str, links: int):
+        self.node, self.text, self.links = node, text, links
 
 
-def leaves(page: str | None) -> list[Block]:
-    """The page's blocks: path of its open elements (name and attributes), text with its white space made one space, letters in links."""
+class Leaves(list):
+    """A page's blocks in order; nodes: of each block-level element that was open, the one around it (-1: none) and what its path holds for it."""
+
+    def __init__(self) -> None:
+        self.nodes: list[tuple[int, str]] = []
+
+    def path(self, block: Block) -> tuple[str, ...]:
+        out, at = [], block.node
+        while at >= 0:
+            at, label = self.nodes[at]
+            out.append(label)
+        return tuple(out[::-1])
+
+
+def leaves(page: str | None) -> Leaves:
+    """The page's blocks: the innermost open element, text with its white space made one space, letters in links."""
     page = page or ""
-    out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # name, what the path holds for it
+    out = Leaves()
+    stack: list[tuple[str, int]] = []  # name, and the innermost node from it on
     counts: dict[str, int] = {}
     buffer: list[str] = []
-    links = 0
-    at = 0
+    last: dict[str, int] = {}
+    links = silent = at = 0
+
+    def ends(name: str) -> int:
+        """Where the last end tag of that name stands: an element without one hides nothing."""
+        if name not in last:
+            last[name] = max((m.start() for m in re.finditer(f"</{name}", page, re.I)), default=-1)
+        return last[name]
 
     def flush() -> None:
         nonlocal links
         if buffer:
             if text := " ".join("".join(buffer).split()):
-                own = [s[1] for s in stack if s[0] not in INLINE] if len(stack) <= INNER + OUTER else [s[1] for s in stack[:OUTER] + stack[-INNER:] if s[0] not in INLINE]
-                out.append(Block(tuple(own), text, links))
+                out.append(Block(stack[-1][1] if stack else -1, text, links))
             buffer.clear()
         links = 0
 
+    def push(name: str, label: str | None) -> None:
+        nonlocal silent
+        node = stack[-1][1] if stack else -1
+        if label is not None:
+            out.nodes.append((node, label))
+            node = len(out.nodes) - 1
+        stack.append((name, node))
+        counts[name] = counts.get(name, 0) + 1
+        silent += name in SILENT
+
     def pop_to(i: int) -> None:
+        nonlocal silent
         for name, _ in stack[i:]:
             counts[name] -= 1
+            silent -= name in SILENT
         del stack[i:]
 
     def close(names, scope=frozenset()) -> None:
@@ -88,7 +122,7 @@ def leaves(page: str | None) -> list[Block]:
 
     def say(piece: str) -> None:
         nonlocal links
-        if piece:
+        if piece and not silent:
             held = entities.unescape(piece) if "&" in piece else piece
             buffer.append(held)
             if counts.get("a"):
@@ -101,18 +135,31 @@ def leaves(page: str | None) -> list[Block]:
         if not name:
             continue
         name, ending, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+        if ending and silent:
+            first = next(i for i, (x, _) in enumerate(stack) if x in SILENT)
+            if any(x == name for x, _ in stack[first:]):
+                close({name})
+                continue
+            if not counts.get(name):
+                continue
+            pop_to(first)  # never closed: it ends with its parent
         if ending:
-            if name not in INLINE:
+            if name not in INLINE and name not in FORMULA and name not in SILENT:
                 flush()
             if counts.get(name):
                 close({name})
             continue
-        if name in INLINE:
+        if name in INLINE or name in FORMULA or name in SILENT and name not in RAW:
             if name == "br":
                 buffer.append(" ")
-            elif name not in VOID:
-                stack.append((name, name))
-                counts[name] = counts.get(name, 0) + 1
+            elif name not in VOID and not (attributes.endswith("/") and (name in SILENT or name in FORMULA)) and (name not in SILENT or ends(name) > at):
+                push(name, None)
+            continue
+        if silent:  # nothing in it makes a block
+            if name in RAW:
+                at = end.start() if (end := _END[name].search(page, at)) else len(page) if name in ("script", "style") else at
+            elif name not in VOID and not attributes.endswith("/"):
+                push(name, None)
             continue
         flush()
         if name in CLOSES_P and counts.get("p"):
@@ -123,19 +170,18 @@ def leaves(page: str | None) -> list[Block]:
             continue
         label = name + "".join(f" {name}.{p.lower()} .{p.lower()}" for a in _NAMES.finditer(attributes) for p in _PARTS.findall(a[2] or a[3] or a[4] or ""))
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            end = _END[name].search(page, at)
+            if end is None and name not in ("script", "style"):  # never closed: its content is markup like any other
+                continue
             inside = page[at : end.start() if end else len(page)]
             at = end.start() if end else len(page)
             if name not in SILENT:
-                stack.append((name, label))
-                counts[name] = counts.get(name, 0) + 1
-                say(re.sub(r"<[^>]*>", " ", inside) if name == "select" else inside)
+                push(name, label)
+                say(inside)
                 flush()
                 pop_to(len(stack) - 1)
             continue
-        if not attributes.rstrip().endswith("/") or name not in VOID:
-            stack.append((name, label))
-            counts[name] = counts.get(name, 0) + 1
+        push(name, label)
     say(page[at:])
     flush()
     return out
@@ -158,32 +204,72 @@ class _Slots(dict):
 _paths, _word_slots = _Slots(PATH_SLOTS, b"p", True), _Slots(WORD_SLOTS, b"w", False)
 
 
-def read(blocks: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """Of each block: path slots, word slots and measures."""
-    paths, words, numbers = [], [], np.zeros((len(blocks), NUMBERS), np.float32)
-    for i, b in enumerate(blocks):
-        paths.append([s for x in b.path for s in _paths[x]] or [0])
-        own = b.text.lower().split()
-        words.append([_word_slots[w][0] for w in own])
-        n = len(b.text)
-        numbers[i] = (np.log1p(n) / 5, np.log1p(len(own)) / 4, min(1.0, b.links / n), b.text[-1] in ".!?:;\"”", i / (len(blocks) + 1), 1.0 if i == 0 else 0.0, len(b.path) / 10)
-    return paths, words, numbers
-
-
-def _means(slots: list[list[int]], table: np.ndarray) -> np.ndarray:
+class Read:
+    """A page for the network: of each node, the one around it and its slots; of each block, its node, word slots and measures."""
+
+    def __init__(self, blocks: Leaves):
+        self.around = np.array([n for n, _ in blocks.nodes], np.int64)
+        self.slots = [_paths[label] for _, label in blocks.nodes]
+        self.depth = np.zeros(len(blocks.nodes), np.int64)
+        for i, n in enumerate(self.around.tolist()):
+            if n >= 0:
+                self.depth[i] = self.depth[n] + 1
+        self.node = np.array([b.node for b in blocks], np.int64)
+        self.words, self.numbers = [], np.zeros((len(blocks), NUMBERS), np.float32)
+        for i, b in enumerate(blocks):
+            own = b.text.lower().split()
+            self.words.append([_word_slots[w][0] for w in own])
+            n = len(b.text)
+            deep = self.depth[b.node] + 1 if b.node >= 0 else 0
+            self.numbers[i] = (np.log1p(n) / 5, np.log1p(len(own)) / 4, min(1.0, b.links / n), b.text[-1] in ".!?:;\"”", i / (len(blocks) + 1), 1.0 if i == 0 else 0.0, min(int(deep), 100) / 10)
+
+    def path_slots(self) -> list[list[int]]:
+        """Of each block the slots of its whole path."""
+        held: list[list[int]] = []
+        for n, own in zip(self.around.tolist(), self.slots):
+            held.append((held[n] if n >= 0 else []) + own)
+        return [held[n] if n >= 0 and held[n] else [0] for n in self.node.tolist()]
+
+
+def _sums(slots: list[list[int]], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = np.array([s for x in slots for s in x], np.int64)
-    n = np.array([len(x) for x in slots])
+    n = np.array([len(x) for x in slots], np.int64)
     of = np.repeat(np.arange(len(slots)), n)
     if len(flat) > 200_000:  # a very long page: add up slot by slot
         out = np.zeros((len(slots), table.shape[1]), np.float32)
         np.add.at(out, of, table[flat])
     else:
         out = np.stack([np.bincount(of, table[flat, d], len(slots)) for d in range(table.shape[1])], 1) if len(flat) else np.zeros((len(slots), table.shape[1]))
+    return out, n
+
+
+def _means(slots: list[list[int]], table: np.ndarray) -> np.ndarray:
+    out, n = _sums(slots, table)
     return (out / np.maximum(n, 1)[:, None]).astype(np.float32)
 
 
-def _vectors(p: dict, paths, words, numbers) -> np.ndarray:
-    return np.hstack([_means(paths, p["paths"]), _means(words, p["words"]), numbers])
+def _path_means(pages: list[Read], table: np.ndarray) -> np.ndarray:
+    """Means over whole paths: sums go from each node to those within it, so that deep pages cost no more than their nodes."""
+    starts = np.cumsum([0, *(len(r.around) for r in pages)])
+    around = np.concatenate([np.where(r.around < 0, -1, r.around + s) for r, s in zip(pages, starts)])
+    depth = np.concatenate([r.depth for r in pages])
+    sums, n = _sums([x for r in pages for x in r.slots], table)
+    order = np.argsort(depth, kind="stable")
+    ends = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
+    for a, b in zip(ends, ends[1:]):  # one step for each depth
+        at = order[a:b]
+        sums[at] += sums[around[at]]
+        n[at] += n[around[at]]
+    node = np.concatenate([np.where(r.node < 0, -1, r.node + s) for r, s in zip(pages, starts)])
+    bare = (node < 0) if not len(n) else (node < 0) | (n[node] == 0)
+    out = np.tile(table[0].astype(np.float32), (len(node), 1))
+    out[~bare] = (sums[node[~bare]] / n[node[~bare], None]).astype(np.float32)
+    return out
+
+
+def _vectors(p: dict, pages: list[Read]) -> np.ndarray:
+    """Of all the pages' blocks, one after another."""
+    return np.hstack([_path_means(pages, p["paths"]), _means([x for r in pages for x in r.words], p["words"]), np.concatenate([r.numbers for r in pages])])
 
 
 def _run(p: dict, vectors: list[np.ndarray], keep: bool = False):
@@ -360,7 +446,7 @@ def trained(pages: int = 1500, epochs: int = 5, seed: int = 11) -> dict[str, np.
         page, marks = example(rng)
         blocks = leaves(page)
         if len(blocks) == len(marks):  # an empty block that was generated is not a leaf
-            data.append((read(blocks), np.array(marks, np.float32)))
+            data.append((Read(blocks), np.array(marks, np.float32)))
     width = EMBED + WORDS + NUMBERS
     p = {f"f_{n}": v for n, v in lstm.init(rng, width, HIDDEN).items()} | {f"r_{n}": v for n, v in lstm.init(rng, width, HIDDEN).items()}
     p |= {"paths": rng.normal(0, 1.0, (PATH_SLOTS, EMBED)), "words": rng.normal(0, 0.3, (WORD_SLOTS, WORDS)), "out": rng.normal(0, 0.2, 2 * HIDDEN), "skip": np.zeros(width), "bias": np.zeros(1)}
@@ -371,7 +457,7 @@ def trained(pages: int = 1500, epochs: int = 5, seed: int = 11) -> dict[str, np.
         order = rng.permutation(len(data))
         for i in range(0, len(order), 32):
             part = [data[j] for j in order[i : i + 32]]
-            z, x, mask, states, held = _run(p, [_vectors(p, *r) for r, _ in part], keep=True)
+            z, x, mask, states, held = _run(p, [_vectors(p, [r]) for r, _ in part], keep=True)
             y = np.zeros_like(mask)
             for j, (_, marks) in enumerate(part):
                 y[: len(marks), j] = marks
@@ -380,8 +466,8 @@ def trained(pages: int = 1500, epochs: int = 5, seed: int = 11) -> dict[str, np.
             dx = in_f @ p["f_x"].T + in_r @ p["r_x"].T + d[:, :, None] * p["skip"]
             flat = x.reshape(-1, width)
             grads |= {"f_x": flat.T @ in_f.reshape(-1, 4 * HIDDEN), "r_x": flat.T @ in_r.reshape(-1, 4 * HIDDEN), "out": np.tensordot(states, d, ((0, 1), (0, 1))), "skip": flat.T @ d.ravel(), "bias": d.sum()[None], "paths": np.zeros_like(p["paths"]), "words": np.zeros_like(p["words"])}
-            for j, ((paths, words, _), _) in enumerate(part):
-                for name, slots, cut in (("paths", paths, slice(0, EMBED)), ("words", words, slice(EMBED, EMBED + WORDS))):
+            for j, (r, _) in enumerate(part):
+                for name, slots, cut in (("paths", r.path_slots(), slice(0, EMBED)), ("words", r.words, slice(EMBED, EMBED + WORDS))):
                     n = np.array([len(s) for s in slots])
                     of = np.repeat(np.arange(len(slots)), n)
                     np.add.at(grads[name], [s for q in slots for s in q], (dx[: len(slots), j, cut] / np.maximum(n, 1)[:, None])[of])
@@ -398,9 +484,8 @@ def extract(pages: list[str | None], p: dict) -> list[str]:
     while at < len(order):
         part = order[at : at + max(1, min(BATCH, 20_000 // len(found[order[min(at + BATCH, len(order)) - 1]])))]
         at += len(part)
-        read_all = [read(found[i]) for i in part]
         ends = np.cumsum([len(found[i]) for i in part])[:-1]
-        vectors = np.split(_vectors(p, [s for r in read_all for s in r[0]], [s for r in read_all for s in r[1]], np.concatenate([r[2] for r in read_all])), ends)
+        vectors = np.split(_vectors(p, [Read(found[i]) for i in part]), ends)
         z = _run(p, vectors)[0]
         for j, i in enumerate(part):
             out[i] = "\n\n".join(b.text for b, s in zip(found[i], z[:, j]) if s > 0)

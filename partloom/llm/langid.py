@@ -7,7 +7,7 @@ parameters and broadcast.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is everything if no labelled row has
 a letter; ties go to the first language in alphabetical order; repeated rows give repeated results; texts are read
-whole.
+whole; other columns are kept, but for those named as the results.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, without
+from .common import free_name, prepare, without
 
 #: The model's bounds: labelled documents for each language, words and n-grams (of each length) for each language.
 DOCS_PER_LANG, WORDS_PER_LANG, GRAMS_PER_LANG, LONGEST = 400, 20_000, 5_000, 5
@@ -170,5 +170,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["lang", "score"])
 
     docs = without(docs, lang_out, score_out)
-    held = "_judged"
+    held = free_name(docs, "judged")
     return docs.withColumn(held, judged(F.col(text))).withColumn(lang_out, F.col(f"{held}.lang")).withColumn(score_out, F.col(f"{held}.score")).drop(held)

@@ -36,7 +36,8 @@ from .common import lookup_join, prepare, written
 SHINGLE, BINS, BANDS, ROWS = 5, 256, 36, 7
 #: Standard deviations by which equal bins of two signatures may stay under the threshold.
 DEVIATIONS = 5
-CACHE_WORDS = 400_000
+#: Words whose hashes a worker keeps (some 20 MB); emptied when full, which changes nothing but time.
+CACHE_WORDS = 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _odd = np.random.default_rng(20240501).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -108,12 +109,17 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(words_of(t), size) for t in b.column("text").to_pylist()]
-            sigs = np.array([signature(s) if len(s) else np.zeros(BINS, np.uint64) for s in sets]).reshape(-1, BINS)
+            sizes, prints, sigs = [], [], np.zeros((b.num_rows, BINS), np.uint64)
+            for i, t in enumerate(b.column("text")):  # one set at a time
+                held = shingles(words_of(t.as_py()), size)
+                sizes.append(len(held))
+                prints.append(fingerprint(held))
+                if len(held):
+                    sigs[i] = signature(held)
             keys = band_keys(sigs)
-            offsets = pa.array(np.arange(0, (len(sets) + 1) * BANDS, BANDS, dtype=np.int32))
+            offsets = pa.array(np.arange(0, (len(sizes) + 1) * BANDS, BANDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([bytes(x) for x in sigs.astype(np.uint8)], pa.binary())],
+                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([bytes(x) for x in sigs.astype(np.uint8)], pa.binary())],
                 names=["doc_id", "n_shingles", "fp", "bands", "sig"],
             )
 
@@ -158,16 +164,12 @@ def counted(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     @F.arrow_udf(T.LongType())
     def shared(left: pa.Array, right: pa.Array) -> pa.Array:
-        out, held = [], {}
-        for pair in zip(left.to_pylist(), right.to_pylist()):
-            both = []
-            for t in pair:
-                if t not in held:
-                    if len(held) >= 64:
-                        held.clear()
-                    held[t] = shingles(words_of(t), size)
-                both.append(held[t])
-            out.append(len(np.intersect1d(*both, assume_unique=True)))
+        out, before, own = [], None, np.zeros(0, np.uint64)
+        for x, y in zip(left, right):
+            x = x.as_py()
+            if x != before:  # pairs of one star often follow each other
+                before, own = x, shingles(words_of(x), size)
+            out.append(len(np.intersect1d(own, shingles(words_of(y.as_py()), size), assume_unique=True)))
         return pa.array(out, pa.int64())
 
     both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")

@@ -44,7 +44,7 @@ HEAVY, HEAVY_CODES = 100_000, 2_000_000
 #: Counts that a context needs to be looked at, and the likelihood gain (nats) it needs besides the BIC term.
 LEAST_COUNT, LEAST_GAIN = 4, 1.0
 #: Sums that a task merges at, and those of them that it keeps on holding rather than sends.
-MERGE_AT, HOLD = 4_000_000, 3_000_000
+MERGE_AT, HOLD = 3_000_000, 2_000_000
 PIECE = 1_000_000  # bytes of texts, or rows of the table, that a task reads at once
 
 _PAD = b"\n" * DEPTH
@@ -144,13 +144,14 @@ def counts(docs: DataFrame) -> DataFrame:
                     if not held:
                         continue
                     raw, at, _ = running(held)
-                    found = [word_keys([w for t in held for w in (*t, b"\n")]), *(codes_at(raw, at[i : i + 2 * PIECE]) for i in range(0, len(at), 2 * PIECE))]
+                    found = [word_keys([w for t in held for w in (*t, b"\n")]), *(codes_at(raw, at[i : i + PIECE]) for i in range(0, len(at), PIECE))]
                     for keys in found:
                         k, n = _counted(keys)
                         yield from sums.add(k, n if learns else np.zeros(len(n), np.int64))
         yield from sums.send()
 
-    return docs.select("text", "train").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    # the tasks' sums are few: dealt out before Spark adds them up, so that no second table of them is held
+    return docs.select("text", "train").mapInArrow(count, "k long, n long").repartition("k").groupBy("k").agg(F.sum("n").alias("n"))
 
 
 def states(context: np.ndarray, n: np.ndarray, up: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -320,8 +321,8 @@ def scored(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "do
         s, known, k, of, tf = looked_up(True, word_keys([w for t in texts for w in (*t, b"\n")]), np.repeat(np.arange(size), sizes), size)
         raw, places, text_of = running(texts)
         score, light = np.zeros(size), [(k, of, tf)]
-        for i in range(0, len(places), 2 * PIECE):
-            found = looked_up(False, codes_at(raw, places[i : i + 2 * PIECE]), text_of[i : i + 2 * PIECE], size)
+        for i in range(0, len(places), PIECE):
+            found = looked_up(False, codes_at(raw, places[i : i + PIECE]), text_of[i : i + PIECE], size)
             score += found[0]
             light.append(found[2:])
         k, of, tf = (np.concatenate(x) for x in zip(*light))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lookup_join, prepare, without, written
+from .common import free_name, lookup_join, prepare, without, written
 
 #: The classifier is fitted on at most so many labelled rows of each class, those first by a hash of their id.
 LABELS_PER_CLASS = 2_000
@@ -151,7 +151,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, tex
     odds = evidence(F.col(text), model, spark)
     group = [F.coalesce(host.cast("string"), F.lit("\0")).alias("host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("path")]
     sites = posteriors(docs.select(*group, odds.alias("o")).select("host", "path", (1 / (1 + F.exp(-F.col("o")))).alias("p")))
-    site = "quality_site"
+    site = free_name(docs, "quality_site")
     held = docs.withColumn(site, F.struct(*group)).withColumn("doc_logit", odds)
     held = lookup_join(held, sites.select(F.struct("host", "path").alias(site), "site_p"), [site]).drop(site)
     shift = _logit(F.col("site_p")) - F.lit(0.0 if model is None else model["prior"])

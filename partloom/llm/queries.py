@@ -83,9 +83,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-#: Rules of op10 (action, host, path) and the hosts that its list blocks.
+#: Rules of op10 (action, host, path), and the hosts that its list blocks: labels of spam sites under each domain of the pages' kind.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-LISTED_URLS = [("ads-track.example.org", "/"), ("casino-win.example.org", "/"), ("cheap-pills.example.com", "/"), ("spam-farm.example.org", "/")]
+SPAM_LABELS, SPAM_DOMAINS = "ads-track casino-win cheap-pills spam-farm".split(), "example.com example.net example.org".split()
+LISTED_URLS = [(f"{label}.{domain}", "/") for label in SPAM_LABELS for domain in SPAM_DOMAINS]
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +132,12 @@ best AS (
   SELECT host, path, rhost || rpath AS rule, action,
          row_number() OVER (PARTITION BY host, path ORDER BY length(rhost || rpath) DESC, length(rhost) DESC, action DESC) AS n
   FROM d JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
+c AS (
+  SELECT host, path, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS chost,
+         CASE WHEN path = '' THEN '/' ELSE path END AS cpath
+  FROM d),
 hit AS (
-  SELECT DISTINCT host, path FROM d JOIN listed ON (host = lhost OR ends_with(host, '.' || lhost)) AND starts_with(path, lpath))
+  SELECT DISTINCT host, path FROM c JOIN listed ON (chost = lhost OR ends_with(chost, '.' || lhost)) AND starts_with(cpath, lpath))
 SELECT p.page_id, p.host, p.path, best.rule,
        coalesce(best.action, CASE WHEN hit.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM p
@@ -144,7 +149,7 @@ ORACLES["op1_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS vec
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.vec, d.vec) AS BIGINT) AS score

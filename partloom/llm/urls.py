@@ -1,23 +1,30 @@
 """URL filters: host and path rules, and a list of canonical URLs behind a blocked Bloom filter.
 
-An entry (of the rules or of the list) is a host and a path prefix. It fits a URL if the URL's host is that host or a
-subdomain of it and the URL's path starts with that path. A URL is turned into its candidate keys (host suffixes x
-path prefixes of the lengths that entries have), the keys are tried against a blocked Bloom filter, and only possible
-hits go on to an exact hash join, which removes the false positives. DataFrame functions only.
+An entry (of the rules or of the list) is a host and a path prefix. A rule fits a URL if the URL's host is the rule's
+or a subdomain of it and the URL's path starts with the rule's. A listed entry fits in the same way, after both have
+been made canonical: no user, port or dot at the end of the host, upper-case escapes, dot segments resolved.
+
+1. A URL's host suffixes are tried against a blocked Bloom filter of the entries' hosts. Few pass; an exact hash join
+   with the hosts leaves those that have entries, with the lengths of their paths.
+2. Prefixes of those lengths, with their host, are tried against the filter of whole entries, and an exact hash join
+   removes its false positives.
+
+Distinct URLs are judged once. DataFrame functions only.
 
 Defined results: a null URL, or one without "://", has an empty host and path, fits nothing and is allowed; repeated
-rows are judged alike; of several fitting entries the longest (host and path) wins, then the longer host, then block
-before allow; columns of the input other than those added are kept.
+rows are judged alike; of several fitting rules the longest (host and path) wins, then the longer host, then block
+before allow; rules and entries without a host or path are ignored; columns of the input other than those added are
+kept, whatever their names.
 """
 
 from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, free_name, lookup_join, prepare, without
+from .common import free_name, lookup_join, prepare, without
 
 #: Bits of a block (one 64-bit word), bits set per key, and keys per block on average.
 BLOCK_BITS, BITS_PER_KEY, KEYS_PER_BLOCK = 64, 4, 4
@@ -60,12 +67,44 @@ def bloom(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
     return keys.groupBy(_block(F.col(column), blocks).alias("block")).agg(F.bit_or(_mask(F.col(column))).alias("bits")), blocks
 
 
-def _few(numbers: DataFrame, what: str, most: int = 4096) -> list[int]:
-    """The distinct values of a column of small numbers; an error beyond `most`, which no sensible list reaches."""
-    found = sorted(r[0] for r in numbers.distinct().limit(most + 1).collect())
-    if len(found) > most:
-        raise ValueError(f"entries have more than {most} different {what}")
-    return found
+def canonical_host(host: Column) -> Column:
+    """A host without user, port and dots at the end, lower-cased."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), r"\.+$", ""))
+
+
+def canonical_path(path: Column) -> Column:
+    """A path with upper-case escapes and without dot segments; an empty one is /."""
+    parts = F.split(path, "%", -1)
+    raised = F.array_join(F.transform(parts, lambda x, i: F.when(i > 0, F.concat(F.upper(F.substring(x, 1, 2)), F.substring(x, 3, 1 << 30))).otherwise(x)), "%")
+    whole = F.when(raised == "", "/").otherwise(raised)
+    segments = F.split(whole, "/", -1)
+    up = lambda held: F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(1)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda held, x: F.when(x == "..", up(held)).when(x == ".", held).otherwise(F.array_append(held, x)))
+    last = F.element_at(segments, -1)
+    made = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+    return F.when(F.contains(whole, F.lit("/.")), made).otherwise(whole)
+
+
+def might_hold(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key a blocked Bloom filter of keys (key) may hold."""
+    held, blocks = bloom(keys, "key")
+    block, bits = free_name(rows, "block"), free_name(rows, "bits")
+    mask = _mask(F.col(key))
+    # the filter has at most MOST_BLOCKS rows, whatever the number of keys
+    tried = rows.withColumn(block, _block(F.col(key), blocks)).join(F.broadcast(held.withColumnsRenamed({"block": block, "bits": bits})), block)
+    return tried.filter(F.col(bits).bitwiseAND(mask) == mask).drop(block, bits)
+
+
+def fitting(distinct: DataFrame, entries: DataFrame) -> DataFrame:
+    """(host, path, key) of the entries (host, path, key) that fit each of (host, path)."""
+    hosts = entries.groupBy("host").agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))  # as many as its longest path has characters, at most
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    tried = might_hold(distinct.select("host", "path", F.explode(suffixes).alias("suffix")), "suffix", hosts.select(F.col("host").alias("key")))
+    known = lookup_join(tried, hosts.withColumnRenamed("host", "suffix"), ["suffix"], "inner")
+    lengths = F.filter("lengths", lambda n: n <= F.length("path"))
+    keys = known.select("host", "path", "suffix", F.explode(lengths).alias("length")).select("host", "path", entry_key(F.col("suffix"), F.expr("substring(path, 1, length)")).alias("key"))
+    return lookup_join(might_hold(keys, "key", entries.select("key")), entries.drop("host", "path"), ["key"], "inner")
 
 
 def entry_key(host: Column, path: Column) -> Column:
@@ -78,40 +117,22 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     rules: action (allow or block), host, path. listed: host, path of URLs to block. The longest fitting rule gives
     rule and verdict; where none fits, a listed entry blocks and anything else is allowed.
     """
-    spark = prepare(pages.sparkSession)
-    pages = without(pages, "host", "path", "rule", "verdict").withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    entries = (
-        rules.select("action", "host", "path", F.lit(True).alias("is_rule"))
-        .unionByName(listed.select(F.lit("block").alias("action"), "host", "path", F.lit(False).alias("is_rule")))
-        .filter("host is not null and path is not null")
-        .withColumn("key", entry_key(F.lower("host"), F.col("path")))
-        .groupBy("key")
-        # one row per key: block before allow among rules, and whether the list has it
-        .agg(F.max(F.when(F.col("is_rule"), F.col("action"))).alias("rule_action"), F.max(~F.col("is_rule")).alias("on_list"))
-    )
-    lengths = _few(entries.select(F.length("key") - F.instr("key", " ")), "path lengths")
-    depths = _few(entries.select(F.size(F.split(F.substring_index("key", " ", 1), r"\."))), "host depths")
-    filter_rows, blocks = bloom(entries, "key")
-
-    row = free_name(pages, "url_row")
-    pages = pages.withColumn(row, F.struct("host", "path"))
+    prepare(pages.sparkSession)
+    address = F.col(f"`{url}`")
+    host, path, row, best, on_list = (free_name(pages, x) for x in ("url_host", "url_path", "url_row", "url_best", "url_listed"))
+    pages = pages.withColumn(host, host_of(address)).withColumn(path, path_of(address))
+    pages = without(pages, "host", "path", "rule", "verdict").withColumnsRenamed({host: "host", path: "path"})
+    given = lambda df: df.filter("host is not null and path is not null")
+    # one row per rule: block before allow
+    ruled = given(rules).select(F.lower("host").alias("host"), "path", "action").groupBy("host", "path").agg(F.max("action").alias("action")).withColumn("key", entry_key(F.col("host"), F.col("path")))
+    entries = given(listed).select(canonical_host(F.col("host")).alias("host"), canonical_path(F.col("path")).alias("path")).distinct().withColumn("key", entry_key(F.col("host"), F.col("path")))
+
     distinct = pages.filter("host <> ''").select("host", "path").distinct()  # a hot URL is judged once
-    labels = F.split("host", r"\.")
-    deep = F.filter(F.array(*[F.lit(n) for n in depths]).cast("array<int>"), lambda n: n <= F.size(labels))
-    suffixes = F.transform(deep, lambda n: F.array_join(F.slice(labels, -n, n), "."))
-    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
-    keys = distinct.select("host", "path", F.explode(suffixes).alias("suffix")).select("host", "path", "suffix", F.explode(fitting).alias("length"))
-    keys = keys.select("host", "path", entry_key(F.col("suffix"), F.expr("substring(path, 1, length)")).alias("key"))
-    # the filter has at most MOST_BLOCKS rows, whatever the size of the list
-    possible = keys.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(filter_rows), "block").filter(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).drop("block", "bits")
-    exact = F.broadcast(entries) if entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else entries
-    hits = possible.join(exact, "key")
-    order = F.struct(F.length("key").alias("n"), F.instr("key", " ").alias("h"), F.col("rule_action").alias("a"), F.replace(F.col("key"), F.lit(" "), F.lit("")).alias("rule"))
-    judged = hits.groupBy("host", "path").agg(F.max(F.when(F.col("rule_action").isNotNull(), order)).alias("best"), F.max("on_list").alias("on_list"))
-    judged = judged.select(F.struct("host", "path").alias(row), "best", "on_list")
-    out = lookup_join(pages, judged, [row]).drop(row)
-    return out.withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce(F.col("best.a"), F.when(F.col("on_list"), "block"), F.lit("allow"))).drop("best", "on_list")
-
-
-def entries_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    order = F.struct(F.length("key").alias("n"), F.instr("key", " ").alias("h"), F.col("action").alias("a"), F.replace(F.col("key"), F.lit(" "), F.lit("")).alias("rule"))
+    fits = fitting(distinct, ruled).groupBy("host", "path").agg(F.max(order).alias(best))
+    plain = distinct.select("host", "path", canonical_host(F.col("host")).alias("plain_host"), canonical_path(F.col("path")).alias("plain_path"))
+    hits = fitting(plain.select(F.col("plain_host").alias("host"), F.col("plain_path").alias("path")).distinct(), entries).select(F.col("host").alias("plain_host"), F.col("path").alias("plain_path")).distinct()
+    hit = lookup_join(plain, hits, ["plain_host", "plain_path"], "inner").select("host", "path", F.lit(True).alias(on_list))
+    judged = fits.join(hit, ["host", "path"], "full").select(F.struct("host", "path").alias(row), best, on_list)
+    out = lookup_join(pages.withColumn(row, F.struct("host", "path")), judged, [row]).drop(row)
+    return out.withColumn("rule", F.col(f"{best}.rule")).withColumn("verdict", F.coalesce(F.col(f"{best}.a"), F.when(F.col(on_list), "block"), F.lit("allow"))).drop(best, on_list)

@@ -99,12 +99,38 @@ def test_search_follows_brute_force(spark):
 
 def test_search_edges(spark):
     schema = "vec_id long, embedding array<double>"
-    bad = [(1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, []), (20, [0.51, -0.51]), (40, [1.0, 1.0]), (7, [2.0, 0.0])]
-    rows = spark.createDataFrame(bad, schema).filter(topk.usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), topk.whole_numbers(F.col("embedding")).alias("vec"))
+    bad = [(1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, []), (20, [0.51, -0.51]), (40, [1.0, 1.0]), (7, [2.0, 0.0]), (None, [9.0, 9.0])]
+    rows = spark.createDataFrame(bad, schema).filter(topk.usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), topk.whole_numbers(F.col("embedding")).alias("vec"), F.lit(1).alias("cell"))
     assert {r.id: r.vec for r in rows.collect()}[20] == [32, -33]
     got = topk.search(rows.filter("id % 20 = 0"), rows, 20).collect()
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == {(20, 1, 7, 32 * 128), (20, 2, 40, -64), (40, 1, 7, 64 * 128), (40, 2, 20, -64)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == {(20, 1, 7, 32 * 128), (20, 2, 5, 0), (20, 3, 40, -64), (40, 1, 7, 64 * 128), (40, 2, 5, 0), (40, 3, 20, -64)}
     assert topk.search(rows.filter("id < 0"), rows, 20).count() == 0 == topk.search(rows.filter("id < 0"), rows.filter("id < 0"), 20).count()
+    # large numbers, repeated rows of one id, which are candidates each for others and none for itself
+    big = spark.createDataFrame([(20, [3_000_000_000, 1]), (1, [3_000_000_000, 2]), (2, [-5, 7])] + [(40, [1, 1])] * 30, "id long, vec array<long>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(big.filter("id % 20 = 0"), big, 3).orderBy("query_id", "rank").collect()]
+    assert got == [(20, 1, 1, 9 * 10**18 + 2), (20, 2, 40, 3_000_000_001), (20, 3, 40, 3_000_000_001), (40, 1, 1, 3_000_000_002), (40, 2, 20, 3_000_000_001), (40, 3, 2, 2)]
+
+
+def test_clustered_vectors_are_sent_to_few_groups(spark, monkeypatch):
+    """Bounds keep most vectors from most groups, and the result is that of brute force."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(topk, "DATA_BLOCK", 400)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 16)) * 300
+    vecs = np.round(centres[np.arange(3000) % 20] + rng.normal(size=(3000, 16)) * 8).astype(int)
+    vecs[1000:2000] = vecs[1000]  # a third of all rows is one vector
+    data = spark.createDataFrame([(i, v) for i, v in enumerate(vecs.tolist())], "id long, vec array<long>")
+    queries = data.filter("id % 3 = 0 and id < 1000")
+    asked, sent, _ = topk.routed(queries, data, 5)
+    groups = asked.select("group").distinct().count()
+    assert groups > 4 and sent.count() < 0.5 * groups * 3000
+    got = {}
+    for r in topk.search(queries, data, 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 1000, 3):
+        scores = vecs @ vecs[q]
+        order = [i for i in np.lexsort((np.arange(3000), -scores)) if i != q][:5]
+        assert sorted(got[q]) == [(k + 1, i, scores[i]) for k, i in enumerate(order)]
 
 
 BENCH = [(1, "A train travels 120 miles in 3 hours at a steady pace and then stops for 120 minutes before going on"), (2, "What is the capital of the country that lies north of the river and east of the hills"), (3, "short item"), (4, None)]

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from partloom.llm import bpe, html, langid, lstm, pii, pst, quality, queries, urls
+from partloom.llm import bpe, common, html, langid, lstm, pii, pst, quality, queries, urls
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "word " * 60_000), (5, "é漢字 ﷺ \u00a0 x"), (6, "same"), (6, "same"), (None, "no id here")]
@@ -40,6 +41,33 @@ def test_leaves_of_odd_markup():
     assert [b.text for b in html.leaves("x < y &lt; z <img alt='>'> w")] == ["x < y < z w"]
     assert html.leaves("<script>a") == [] and [b.text for b in html.leaves("<div" * 50_000)] == []
     assert len(html.leaves("<div>" * 20_000 + "t" + "</div>" * 20_000)) == 1
+    assert [b.text for b in html.leaves("<p>a</p><svg/><p>b</p><iframe /><p>c</p><math/><p>d</p>")] == ["a", "b", "c", "d"]
+    assert [b.text for b in html.leaves("<div><p>a</p><svg><text>x</text></div><p>b</p><noscript>n<p>c</p><svg></svg>")] == ["a", "b", "n", "c"]
+    assert [b.text for b in html.leaves("<div><p>a</p><template><p>t</p></div><p>b <svg><title>q</title></svg>c</p><select><option>1</div><p>d")] == ["a", "b c", "d"]
+    assert [b.text for b in html.leaves("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p><xmp><b></xmp>")] == ["so x=2 holds", "<b>"]
+    assert [b.text for b in html.leaves("a<textarea>b<p>c")] == ["a", "b", "c"]
+
+
+def test_paths_hold_all_open_elements():
+    deep = html.leaves("<nav class='menu'>" + "<div id=a>" * 40 + "<section>" * 3 + "t<p>u" + "</div>" * 9 + "v")
+    assert [len(deep.path(b)) for b in deep] == [44, 45, 32] and deep.path(deep[2])[0] == "nav nav.menu .menu"
+    other = html.leaves("x<p class='q r'>y")
+    table = np.random.default_rng(1).normal(size=(html.PATH_SLOTS, 3))
+    pages = [html.Read(deep), html.Read(other)]
+    plain = [table[[s for label in page.path(b) for s in html._paths[label]] or [0]].mean(0) for page in (deep, other) for b in page]
+    assert np.allclose(html._path_means(pages, table), plain, atol=1e-5)
+    assert [len(x) for x in pages[0].path_slots()] == [3 + 40 * 3 + 3, 3 + 40 * 3 + 4, 3 + 31 * 3]
+    very = html.Read(html.leaves("<div>" * 100_000 + "t" + "</div>t" * 100_000))
+    assert html._path_means([very], table).shape == (100_001, 3)
+
+
+def test_main_text_is_that_of_the_article_blocks(spark):
+    """On the given pages the article's blocks, read by plain splitting, are the text; repeats and order kept."""
+    for r in queries.op3_main_text(spark, SMALL).join(spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inside = re.search(r"<article[^>]*>(.*)</article>", r.html, re.S)
+        inside = re.sub(r"<(section|div|aside|nav|form)\b[^>]*(?:comment|share|related|advert|ad-|promo|newsletter)[^>]*>.*?</\1>|<(aside|nav|form|footer|header|script|style)\b.*?</\2>", "<p>", inside[1], flags=re.S)
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h\d|li|ul|ol|div|section|blockquote|pre|article|table|tr|td|br)\b[^>]*>", inside)]
+        assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
 def test_labeller_on_pages_it_has_not_seen():
@@ -49,7 +77,7 @@ def test_labeller_on_pages_it_has_not_seen():
         page, marks = html.example(rng)
         blocks = html.leaves(page)
         if blocks and len(blocks) == len(marks):
-            z = html._run(p, [html._vectors(p, *html.read(blocks))])[0][:, 0] > 0
+            z = html._run(p, [html._vectors(p, [html.Read(blocks)])])[0][:, 0] > 0
             right, total = right + int((z == np.array(marks)).sum()), total + len(marks)
     assert right / total > 0.98
 
@@ -287,10 +315,33 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit(9)), rules, listed).collect()}
     assert got[1] == ("a.example.org", "/es/9", "example.org/es/", "block") and got[2][2:] == ("example.org/en/1", "block") and got[3][2:] == ("org/", "allow")
     assert [got[k][3] for k in (4, 5, 6, 7)] == ["block", "allow", "block", "allow"]
-    assert got[8] == got[9] == got[11] == ("", "", None, "allow") and got[10] == ("bad.com", "", None, "allow") == got[12]
+    assert got[8] == got[9] == got[11] == ("", "", None, "allow") and got[10] == ("bad.com", "", None, "block") == got[12]
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), rules, listed).count() == 0
 
 
+def test_urls_are_made_canonical(spark):
+    rules = spark.createDataFrame([("allow", "good.org", "/A")], "action string, host string, path string")
+    listed = spark.createDataFrame([("Bad.com.", "/x/%3a"), ("u@shop.net:8080", "/a/./b/../c"), (None, "/"), ("x", None)], "host string, path string")
+    urls_of = {"http://bad.com:80/x/%3A1": "block", "http://me:pw@sub.BAD.com./x/%3ay": "block", "http://bad.com/y/../x/%3a": "block", "http://bad.com/x/%3b": "allow", "http://shop.net/a/c/d": "block", "http://shop.net/a/b/c": "allow", "http://shop.net/a/b/..": "allow", "http://shop.net/../../a/c": "block", "http://good.org/A": "allow", "http://x.": "allow", "http://...": "allow", "http://bad.com/x/%3" + "a" * 50_000: "block"}
+    pages = spark.createDataFrame(list(enumerate(urls_of)), "page_id long, url string")
+    got = {r.url: (r.verdict, r.rule) for r in urls.judge(pages, rules, listed).collect()}
+    assert {u: v for u, (v, _) in got.items()} == urls_of and got["http://good.org/A"][1] == "good.org/A"
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_a_long_list_of_many_lengths(spark, monkeypatch, broadcast):
+    """20,000 listed URLs of 5,000 path lengths, by the broadcast and by the shuffle with hot keys salted, follow plain matching."""
+    if not broadcast:
+        for name, value in (("BROADCAST_ROWS", 10), ("HOT_ROWS", 50)):
+            monkeypatch.setattr(common, name, value)
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("url").unionByName(spark.createDataFrame([("http://hot.net/" + "p" * 70,)] * 300, "url string"))
+    held = [(f"h{i}.net", "/" + "p" * (i % 5000)) for i in range(20_000)] + [("hot.net", "/" + "p" * 70), ("example.com", "/en/4")]
+    listed = spark.createDataFrame(held, "host string, path string")
+    got = urls.judge(pages, spark.createDataFrame([], "action string, host string, path string"), listed).collect()
+    fits = lambda h, p: any((h == a or h.endswith("." + a)) and p.startswith(b) for a, b in held[-2:])
+    assert len(got) == 350 and all((r.verdict == "block") == fits(r.host, r.path) for r in got) and sum(r.verdict == "block" for r in got) >= 300
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     rows, blocks = urls.bloom(keys, "key")
@@ -298,3 +349,31 @@ def test_bloom_has_no_false_negatives(spark):
     probe = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key")).select("key", urls._block(F.col("key"), blocks).alias("b"), urls._mask(F.col("key")).alias("m")).collect()
     hit = [bits.get(r.b, 0) & r.m == r.m for r in probe]
     assert all(hit[:5000]) and sum(hit[5000:]) < 0.25 * 15_000
+
+
+# ---- columns of clashing names ----
+
+OWN = "best on_list url_best url_listed url_host url_row block bits ids starts sizes bpe_row bpe_begins judged _judged quality_site spans row key n h k x salt fp bands words hash at cell far vec host path rule verdict kept score lang_pred".split()
+
+
+@pytest.mark.parametrize("operator", ["urls", "bpe", "langid", "quality", "pii", "html"])
+def test_columns_of_clashing_names_are_kept(spark, ranks, operator):
+    text = "My mail is ann@example.com and the cat sat on the mat"
+    rows = spark.createDataFrame([(1, text, "http://a.b/c", "src", "en"), (2, "x " * 40_000, None, None, None)], "doc_id long, text string, url string, source string, lang string")
+    rows = rows.select("*", *[F.lit(f"own {c}").alias(c) for c in OWN])
+    if operator == "urls":
+        got = urls.judge(rows, spark.createDataFrame([("block", "b", "/")], "action string, host string, path string"), spark.createDataFrame([("b", "/")], "host string, path string"))
+    elif operator == "bpe":
+        got = bpe.decode(bpe.encode(rows, ranks, public_tokenizers.PATTERN), ranks)
+    elif operator == "langid":
+        got = langid.predict(rows, langid.fit(rows.select("text", "lang", "doc_id")))
+    elif operator == "quality":
+        got = quality.classify(rows, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), F.col("source"), F.col("lang"))
+    elif operator == "pii":
+        got = pii.detect(rows)
+    else:
+        got = html.main_text(rows, html="text", out="main")
+    replaced = {"urls": {"host", "path", "rule", "verdict"}, "langid": {"lang_pred", "score"}, "quality": {"kept"}}.get(operator, set())
+    found = got.collect()
+    assert len(found) == 2 and all(r[c] == f"own {c}" for r in found for c in OWN if c not in replaced)
+    assert len({c.lower() for c in got.columns}) == len(got.columns)
