@@ -13,8 +13,8 @@ def blank_to_null(x: Column) -> Column:
 
 def number(x: Column) -> Column:
     """A decimal number, or null for anything else (not-a-number included)."""
-    d = x.try_cast("double")
-    return F.when(~F.isnan(d), d)
+    # a cast alone would take suffixes of literals such as 16d or 3F
+    return F.when(x.cast("string").rlike(r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"), F.trim(x.cast("string")).try_cast("double"))
 
 
 def whole(x: Column) -> Column:
@@ -105,10 +105,16 @@ def weighted_score(parts: list[tuple[Column, float]]) -> tuple[Column, Column]:
     return F.when(known > 0, total / known), F.bround(100 * known / sum(w for _, w in parts), 0).cast("int")
 
 
+#: Accented letters of Latin scripts, and the letters that they sort as.
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśşšţťūůűźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorssssttuuuzzz"
+
+
 def natural_key(x: Column) -> Column:
-    """A sort key by which digits compare as numbers and case does not matter."""
-    parts = F.regexp_extract_all(F.lower(x), F.lit(r"(\d+|\D+)"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda t: F.when(t.rlike(r"^\d"), F.lpad(t, 12, "0")).otherwise(t)), "")
+    """A sort key by which digits compare as numbers, of any length, and case and accents do not matter."""
+    parts = F.regexp_extract_all(F.translate(F.lower(x), ACCENTED, PLAIN), F.lit(r"(\d+|\D+)"), F.lit(0))
+    # a number is preceded by its length without leading zeros
+    digits = lambda t: F.regexp_replace(t, "^0+", "")
+    return F.array_join(F.transform(parts, lambda t: F.when(t.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(t)).cast("string"), 6, "0"), digits(t))).otherwise(t)), "")
 
 
 def common_prefix_length(a: Column, b: Column) -> Column:
@@ -120,9 +126,32 @@ def common_prefix_length(a: Column, b: Column) -> Column:
 
 
 def glob_regex(pattern: Column) -> Column:
-    """A shell pattern (* and ?) as an anchored regular expression, case aside."""
-    plain = F.regexp_replace(pattern, r"([\\.^$|()\[\]{}+])", r"\\$1")
-    return F.concat(F.lit("(?i)^"), F.replace(F.replace(plain, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    """A shell pattern (*, ?, [..] and [!..]) as an anchored regular expression; case matters."""
+    parts = F.regexp_extract_all(pattern, F.lit(r"(?s)\[!?\]?[^\]]*\]|."), F.lit(0))
+    inside = lambda t: F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), r"([\\\[\]^&])", r"\\$1")
+    several = lambda t: F.concat(F.lit("["), F.regexp_replace(inside(t), "^!", "^"), F.lit("]"))
+    one = lambda t: F.when(t == "*", ".*").when(t == "?", ".").otherwise(F.regexp_replace(t, r"([\\.^$|()\[\]{}+])", r"\\$1"))
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(parts, lambda t: F.when(F.length(t) > 1, several(t)).otherwise(one(t))), ""), F.lit("\\z"))
+
+
+def compact_number(x: Column) -> Column:
+    """A number as text without a needless fraction; blank for an unknown one."""
+    return F.when(x.isNull(), "").when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(x.cast("string"))
+
+
+def numeric_text(x: Column) -> Column:
+    """A number in a text, cut to a whole one; blank for anything else."""
+    return F.coalesce(whole(x).cast("string"), F.lit(""))
+
+
+def scaled_text(x: Column, factor: float) -> Column:
+    """As numeric_text, of the number times a factor (MHz to Hz, KB to bytes)."""
+    return F.coalesce((number(x) * factor).cast("bigint").cast("string"), F.lit(""))
+
+
+def canonical_map(x: Column) -> Column:
+    """A map with its keys in order, so that its JSON text is always the same."""
+    return F.map_from_entries(F.array_sort(F.map_entries(x)))
 
 
 def clock_text(hz: Column) -> Column:

@@ -36,11 +36,16 @@ def upsert(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def longest_prefix(rows: DataFrame, templates: DataFrame, family: str, name: str, template: str, position: str, row_id: str) -> DataFrame:
-    """For each row the template of its family with the longest common prefix; ties to the first. templates is a small dimension."""
-    both = rows.join(F.broadcast(templates), family, "left")
-    n = common_prefix_length(F.col(name), F.col(template))
-    best = F.row_number().over(Window.partitionBy(row_id).orderBy(F.desc("prefix"), position))
-    return both.withColumn("prefix", n).withColumn("_n", best).filter("_n = 1").drop("_n")
+    """For each row the template of its family with the longest common prefix; ties to the first.
+
+    A family's templates are one array, so that the best is found inside the row: the rows are neither multiplied nor
+    shuffled for it. The join is by family; Spark broadcasts the templates if their size allows it.
+    """
+    held = templates.groupBy(family).agg(F.collect_list(F.struct((-F.col(position)).alias("p"), F.col(template).alias("t"))).alias("_templates"))
+    both = rows.join(held, family, "left")
+    each = F.transform("_templates", lambda x: F.struct(F.coalesce(common_prefix_length(F.col(name), x["t"]), F.lit(-1)).alias("n"), x["p"].alias("p"), x["t"].alias("t")))
+    best = both.withColumn("_best", F.array_max(each)).drop("_templates")
+    return best.withColumn("prefix", F.when(F.col("_best.n") >= 0, F.col("_best.n"))).withColumn(template, F.col("_best.t")).withColumn(position, -F.col("_best.p")).drop("_best")
 
 
 def exploded_first(rows: DataFrame, row_id: str, items: Column, known: DataFrame, item: str, accept: Column) -> DataFrame:
@@ -50,8 +55,8 @@ def exploded_first(rows: DataFrame, row_id: str, items: Column, known: DataFrame
 
 
 def rule_hits(kind: Column, value: Column, name: Column, line: Column, series: Column) -> Column:
-    """Whether an override rule applies: glob or prefix on the name, or equality with the line or series."""
-    return F.when(kind == "glob", F.call_function("rlike", name, glob_regex(value))).when(kind == "prefix", F.startswith(F.lower(name), F.lower(value))).when(kind == "line", line == value).when(kind == "series", series == value).otherwise(False)
+    """Whether an override rule applies: glob or prefix on the name (case matters), or equality with the line or series."""
+    return F.when(kind == "glob", F.call_function("rlike", name, glob_regex(value))).when(kind == "prefix", F.startswith(name, value)).when(kind == "line", line == value).when(kind == "series", series == value).otherwise(False)
 
 
 def last_enclosing(parents: DataFrame, children: DataFrame, key: str, value: str, order: str) -> DataFrame:

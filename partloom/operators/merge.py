@@ -11,19 +11,23 @@ def merge_unique(rows: DataFrame, key: str, source: str, position: str, value: s
     """(key, value, origin, collisions) for rows of several sources, source 0 being the base.
 
     In order of source and position: a first or an identical row sets value and origin; a differing row replaces one
-    whose origin is the base, and is a collision otherwise. Blank keys are skipped. The fold runs over one key's rows,
-    which are as many as there are sources and repeats of that key.
+    whose origin is the base, and is a collision otherwise. Blank keys are skipped. Equal rows of a source are counted
+    first (the base's last and another source's first place is what matters), so that the fold over a key has a row for
+    each source and value, however often a key is repeated.
     """
-    held = rows.filter(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(source).alias("s"), F.col(position).alias("p"), F.col(value).alias("v")))).alias("rows"))
+    given = rows.filter(F.coalesce(F.col(key), F.lit("")) != "")
+    counted = given.groupBy(key, source, value).agg(F.count("*").alias("_n"), F.min(position).alias("_first"), F.max(position).alias("_last"))
+    at = F.when(F.col(source) == 0, F.col("_last")).otherwise(F.col("_first"))
+    held = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(source).alias("s"), at.alias("p"), F.col(value).alias("v"), F.col("_n").alias("n")))).alias("rows"))
     kind = rows.schema[value].dataType.simpleString()
-    start = F.struct(F.lit(None).cast(kind).alias("v"), F.lit(-1).alias("o"), F.lit(0).alias("c"))
+    start = F.struct(F.lit(None).cast(kind).alias("v"), F.lit(-1).alias("o"), F.lit(0).cast("bigint").alias("c"))
 
     def step(a: Column, r: Column) -> Column:
         take = (a["o"] == -1) | a["v"].eqNullSafe(r["v"]) | (a["o"] == 0)
-        return F.struct(F.when(take, r["v"]).otherwise(a["v"]).alias("v"), F.when(take, r["s"].cast("int")).otherwise(a["o"]).alias("o"), F.when(take, a["c"]).otherwise(a["c"] + 1).alias("c"))
+        return F.struct(F.when(take, r["v"]).otherwise(a["v"]).alias("v"), F.when(take, r["s"].cast("int")).otherwise(a["o"]).alias("o"), F.when(take, a["c"]).otherwise(a["c"] + r["n"]).alias("c"))
 
     out = held.select(key, F.aggregate("rows", start, step).alias("m"))
-    return out.select(key, F.col("m.v").alias(value), F.col("m.o").alias("origin"), F.col("m.c").alias("collisions"))
+    return out.select(key, F.col("m.v").alias(value), F.col("m.o").alias("origin"), F.col("m.c").cast("int").alias("collisions"))
 
 
 def first_wins(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -42,8 +46,9 @@ def lineage(rows: DataFrame, key: list[str], order: str, source: str, attributes
 
 def conflicts(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
     """Of each key: rows equal to the first, and rows that differ from it (errors, which are left out)."""
-    first = F.first(value).over(Window.partitionBy(*key).orderBy(order))
-    return rows.withColumn("_first", first).groupBy(*key).agg(F.count(F.when(F.col(value).eqNullSafe(F.col("_first")), 1)).alias("same"), F.count(F.when(~F.col(value).eqNullSafe(F.col("_first")), 1)).alias("errors"))
+    each = rows.groupBy(*key, value).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))  # a hot key is counted before it meets
+    same = F.min_by("_n", "_first")
+    return each.groupBy(*key).agg(same.alias("same"), (F.sum("_n") - same).alias("errors"))
 
 
 def upsert_values(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:

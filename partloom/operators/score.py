@@ -12,7 +12,7 @@ WEIGHTS = {"compute": 35, "memory": 25, "peripheral": 25, "accelerator": 15}
 CLOCK, FLASH, RAM = (8e6, 800e6), (16.0, 4096.0), (4.0, 1024.0)
 #: Peripheral pieces: points at most and the count that earns them; presence pieces earn their points with one.
 PIECES = {"timer": (25, 12), "adc_channels": (12, 16), "dac": (5, 2), "serial": (20, 12), "can": (10, 1), "usb": (10, 1), "eth": (8, 1), "gpio": (10, 100)}
-ACCELERATORS = [("npu", 100), ("math", 75), ("graphics", 65), ("crypto", 50)]
+ACCELERATORS = [("npu neural", 100), ("cordic fmac tmu math trigonometric", 75), ("chrom-art dma2d graphics jpeg", 65), ("aes hash crypto", 50)]
 
 
 def peripheral_score(counts: dict[str, Column]) -> Column:
@@ -23,12 +23,12 @@ def peripheral_score(counts: dict[str, Column]) -> Column:
 
 
 def accelerator_score(fpu: Column, labels: Column) -> Column:
-    """FPU (yes 60, no 0, unknown left out) and the best accelerator named, 35 to 65."""
+    """FPU (yes 60, no 0, unknown left out) and the best kind of accelerator named (30 for another kind), 35 to 65."""
     own = F.when(fpu == "yes", 60.0).when(fpu == "no", 0.0)
     text = F.lower(F.coalesce(labels, F.lit("")))
     best = F.lit(30.0)
-    for word, points in reversed(ACCELERATORS):
-        best = F.when(F.contains(text, F.lit(word)), float(points)).otherwise(best)
+    for words, points in reversed(ACCELERATORS):
+        best = F.when(text.rlike("|".join(words.split())), float(points)).otherwise(best)
     return weighted_score([(own, 35), (F.when(text != "", best), 65)])[0]
 
 

@@ -121,9 +121,7 @@ def manifest_digest(t):
 
 @query("SELECT l_orderkey, min(l_quantity) AS low, max(l_quantity) AS high, count(*) FILTER (l_tax > 0.04) AS n_taxed FROM lineitem GROUP BY l_orderkey")
 def explode_minmax(t):
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_quantity", "l_tax")).alias("xs"))
-    q = F.transform("xs", lambda x: x["l_quantity"])
-    return rows.select("l_orderkey", F.array_min(q).alias("low"), F.array_max(q).alias("high"), F.size(F.filter("xs", lambda x: x["l_tax"] > 0.04)).cast("bigint").alias("n_taxed"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.count_if(F.col("l_tax") > 0.04).alias("n_taxed"))
 
 
 @query("SELECT event_type, min(event_id) AS first_seen, count(*) AS n FROM events GROUP BY event_type")

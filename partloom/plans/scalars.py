@@ -6,13 +6,13 @@ from partloom.functions import exprs as X
 
 from .catalog import query
 
-TEXTS = ["42", " 7 ", "3.9", "-2", "0x20", "0b101", "0o17", "(1U)", "(0x40UL)", "64K", "1.5 MB", "512", "2*16", "abc", "", "nan", "12 channels", "N/A"]
+TEXTS = ["42", " 7 ", "3.9", "-2", "0x20", "0b101", "0o17", "(1U)", "(0x40UL)", "64K", "1.5 MB", "512", "2*16", "abc", "", "nan", "12 channels", "N/A", "16d", "3F", "1e3", ".5", "5."]
 _texts_sql = ", ".join(f"('{x}')" for x in TEXTS)
 
 
 @query(rf"""
 WITH t(x) AS (VALUES {_texts_sql}),
-n AS (SELECT x, CASE WHEN isnan(try_cast(x AS DOUBLE)) THEN NULL ELSE CASE WHEN regexp_full_match(trim(x), '[+-]?\d+(\.\d+)?') THEN try_cast(x AS DOUBLE) END END AS number,
+n AS (SELECT x, CASE WHEN isnan(try_cast(x AS DOUBLE)) THEN NULL ELSE CASE WHEN regexp_full_match(trim(x), '[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?') THEN try_cast(trim(x) AS DOUBLE) END END AS number,
   regexp_extract(x, '(-?\d+(?:\.\d+)?)', 1) AS f, lower(trim(x)) AS l, regexp_replace(regexp_replace(trim(x), '^\(+\s*|\s*\)+$', '', 'g'), '(?i)([0-9a-f])[ul]+$', '\1') AS c FROM t),
 b AS (SELECT *, list_transform(['0x:16', '0b:2', '0o:8'], lambda p: 1) AS z FROM n)
 SELECT x, number, CAST(trunc(number) AS BIGINT) AS whole, CASE WHEN l NOT IN ('', 'n/a', 'na', 'none', '-', 'no') AND f <> '' THEN CAST(f AS DOUBLE) END AS first,

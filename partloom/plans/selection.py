@@ -8,7 +8,7 @@ from partloom.sources.tables import loaded, sparse
 
 from .catalog import query
 
-NATURAL = "array_to_string(list_transform(regexp_extract_all(lower({0}), '\\d+|\\D+'), lambda t: CASE WHEN regexp_matches(t, '^\\d') THEN lpad(t, 12, '0') ELSE t END), '')"
+NATURAL = "array_to_string(list_transform(regexp_extract_all(lower(strip_accents({0})), '\\d+|\\D+'), lambda t: CASE WHEN regexp_matches(t, '^\\d') THEN lpad(CAST(length(ltrim(t, '0')) AS VARCHAR), 6, '0') || ltrim(t, '0') ELSE t END), '')"
 
 
 @query(r"""
@@ -31,7 +31,7 @@ def filter_min_count_presence(t):
     return per.filter(F.coalesce("n_returned", F.lit(0)) >= 2)
 
 
-RULES = [("glob", "*widg?t", "Brand#12", "confirmed"), ("prefix", "Cold", "", "pending"), ("line", "Brand#21", "", "confirmed"), ("series", "5", "", "proposed"), ("glob", "H*r", "", "verified")]
+RULES = [("glob", "*widg?t", "Brand#12", "confirmed"), ("glob", "*WIDGET", "", "confirmed"), ("glob", "[a-h]*[!t]", "", "pending"), ("prefix", "Cold", "", "pending"), ("prefix", "cold", "", "pending"), ("line", "Brand#21", "", "confirmed"), ("series", "5", "", "proposed"), ("glob", "H*r", "", "verified")]
 _rules_sql = ", ".join(f"('{k}', '{v}', '{b}', '{s}')" for k, v, b, s in RULES)
 
 
@@ -39,8 +39,8 @@ _rules_sql = ", ".join(f"('{k}', '{v}', '{b}', '{s}')" for k, v, b, s in RULES)
 WITH rules(kind, value, vendor, status) AS (VALUES {_rules_sql})
 SELECT p_partkey, count(*) FILTER (status IN ('confirmed', 'verified')) AS n_confirmed, count(*) FILTER (status NOT IN ('confirmed', 'verified')) AS n_pending
 FROM part JOIN rules ON (vendor = '' OR vendor = p_brand) AND CASE kind
-  WHEN 'glob' THEN regexp_full_match(lower(p_name), lower(replace(replace(value, '*', '.*'), '?', '.')))
-  WHEN 'prefix' THEN starts_with(lower(p_name), lower(value)) WHEN 'line' THEN p_brand = value ELSE CAST(p_size AS VARCHAR) = value END
+  WHEN 'glob' THEN p_name GLOB value
+  WHEN 'prefix' THEN starts_with(p_name, value) WHEN 'line' THEN p_brand = value ELSE CAST(p_size AS VARCHAR) = value END
 GROUP BY p_partkey""")
 def filter_override_rules(t):
     rules = t.spark.createDataFrame(RULES, "kind string, value string, vendor string, status string")
@@ -148,9 +148,13 @@ def compare_best(t):
     return search.compare(chosen, "p_partkey", ["p_size", "p_retailprice", "total"])
 
 
-@query("SELECT n_name, CAST(row_number() OVER (ORDER BY " + NATURAL.format("n_name") + ") AS BIGINT) AS rank FROM nation")
+_NAMES = "CASE n_nationkey % 5 WHEN 0 THEN n_name WHEN 1 THEN 'nátion_' || CAST(n_nationkey AS VARCHAR) WHEN 2 THEN 'Nation_0' || CAST(n_nationkey AS VARCHAR) || '1234567890123' WHEN 3 THEN 'NATION_' || CAST(n_nationkey AS VARCHAR) || '1234567890122x' ELSE 'Zürich ' || n_name END"
+
+
+@query(f"WITH n AS (SELECT {_NAMES} AS name FROM nation) SELECT name, CAST(row_number() OVER (ORDER BY " + NATURAL.format("name") + ") AS BIGINT) AS rank FROM n")
 def natural_sort_rank(t):
-    return order.numbered(t.nation.select("n_name"), [natural_key(F.col("n_name"))]).select("n_name", F.col("rank").cast("bigint"))
+    names = t.nation.select(F.expr(_NAMES.replace("VARCHAR", "string")).alias("name"))
+    return order.numbered(names, [natural_key(F.col("name"))]).select("name", F.col("rank").cast("bigint"))
 
 
 @query("""
@@ -216,10 +220,12 @@ def detail_record(t):
 
 
 @query("""
-SELECT p_partkey, '{"n":"' || p_name || '","s":' || CAST(p_size AS VARCHAR) || CASE WHEN p_size > 25 THEN ',"z":0' ELSE '' END || '}' AS record FROM part""")
+SELECT p_partkey, '{' || array_to_string(list_filter(['"n":"' || p_name || '"', '"s":' || CAST(p_size AS VARCHAR), CASE WHEN p_size > 25 THEN '"z":0' END,
+  CASE WHEN p_size % 3 = 0 THEN '"b":"' || p_brand || '"' END, CASE WHEN p_size % 2 = 0 THEN '"l":["' || p_type || '"]' END], lambda x: x IS NOT NULL), ',') || '}' AS record FROM part""")
 def publish_sparse(t):
-    big = F.when(F.col("p_size") > 25, F.lit(0))
-    return t.part.select("p_partkey", sparse({"n": F.col("p_name"), "s": F.col("p_size"), "z": big}).alias("record"))
+    third, even = F.col("p_size") % 3 == 0, F.col("p_size") % 2 == 0
+    columns = {"n": F.col("p_name"), "s": F.col("p_size"), "z": F.when(F.col("p_size") > 25, F.lit(0)), "b": F.when(third, F.col("p_brand")).otherwise(""), "l": F.when(even, F.array("p_type")).otherwise(F.array().cast("array<string>"))}
+    return sparse(t.part, columns, "record").select("p_partkey", "record")
 
 
 @query("SELECT c_custkey, CASE WHEN c_name LIKE '%1' THEN 'ends_in_1' WHEN c_name LIKE '%0%' THEN 'has_0' ELSE 'other' END AS kind FROM customer")
