@@ -32,4 +32,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from . import aggregates, enrich, ingest, matching, merging, scalars, selection  # noqa: E402, F401  they register their queries
+from . import aggregates, enrich, ingest, matching, merging, scalars, selection, validation  # noqa: E402, F401  they register their queries
