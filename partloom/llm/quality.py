@@ -2,11 +2,13 @@
 
 A logistic classifier over a text's character, word and line statistics gives each document's evidence. Grouped
 aggregation of the classifier's probabilities gives each host a posterior that is shrunk toward the global rate, and
-each path of a host one that is shrunk toward its host's; how strongly follows from the spread between groups (method
-of moments). The final log odds replace the classifier's global prior by the posterior of the document's path.
+each path of a host one that is shrunk toward its host's; how strongly follows, for each of the two levels, from the
+spread between its groups (method of moments). The final log odds replace the classifier's global prior by the posterior of the document's path.
 
 Defined results: a null text counts as empty; a null host or path is a group of its own; without labels of both
-classes every document is kept at probability 0.5; repeated rows get equal results; texts are read whole.
+classes every document is kept at probability 0.5; repeated rows get equal results; a labelled id that stands for
+several texts teaches with the first of them in order; an id that is labelled twice has its mean label; texts are read
+whole; other columns are kept, but for those named as the results.
 """
 
 from __future__ import annotations
@@ -90,8 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = LABELS_PER_CLASS) -
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t).tolist() for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], names=["x", "good"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "good")
-    rows = texts.mapInArrow(read, "x array<double>, good boolean").limit(8 * per_class).toArrow()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good"))
+    rows = texts.select("text", "good").mapInArrow(read, "x array<double>, good boolean").toArrow()  # at most 2 * per_class rows
     y = np.array(rows["good"].to_pylist(), dtype=float)
     if not len(y) or y.min() == y.max():
         return None
@@ -124,20 +126,26 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
+def strength(variance: float, between: float, chance: float) -> float:
+    """Weight m of a beta prior, in rows: spread between groups beyond chance = variance / (m + 1)."""
+    return min(max(variance / max(between - chance, 1e-6) - 1, 1.0), 1e4)
+
+
 def posteriors(scored: DataFrame) -> DataFrame:
     """(host, path, site_p) from (host, path, p): grouped sums, shrunk path -> host -> global."""
     paths = written(scored.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n")))
-    hosts = paths.groupBy("host").agg(F.sum("s").alias("host_s"), F.sum("n").alias("host_n"))
-    whole = hosts.agg(F.sum("host_s").alias("s"), F.sum("host_n").alias("n"), F.sum(F.pow(F.col("host_s"), 2) / F.col("host_n")).alias("q"), F.count("*").alias("k")).first()
+    hosts = paths.groupBy("host").agg(F.sum("s").alias("host_s"), F.sum("n").alias("host_n"), F.count("*").alias("paths"), F.sum(F.pow(F.col("s"), 2) / F.col("n")).alias("path_q"))
+    p = F.col("host_s") / F.col("host_n")
+    unlike = F.col("host_n") * p * (1 - p)  # host_n times the variance within a host of one rate
+    whole = hosts.agg(F.sum("host_s").alias("s"), F.sum("host_n").alias("n"), F.sum(F.pow(F.col("host_s"), 2) / F.col("host_n")).alias("q"), F.count("*").alias("k"), F.sum(unlike).alias("v"), F.sum(unlike / F.col("host_n") * (F.col("paths") - 1)).alias("chance"), F.sum("path_q").alias("path_q")).first()
     if not whole["n"]:
         return paths.select("host", "path", F.lit(0.5).alias("site_p"))
     rate = min(max(whole["s"] / whole["n"], 1e-6), 1 - 1e-6)
-    # strength m of the beta prior: spread between hosts = rate * (1 - rate) / (m + 1)
-    spread = max(whole["q"] / whole["n"] - rate**2 - rate * (1 - rate) * (whole["k"] - 1) / whole["n"], 1e-6)
-    m = min(max(rate * (1 - rate) / spread - 1, 1.0), 1e4)
-    by_host = hosts.select("host", ((F.col("host_s") + m * rate) / (F.col("host_n") + m)).alias("host_p"))
+    at_hosts = strength(rate * (1 - rate), whole["q"] / whole["n"] - rate**2, rate * (1 - rate) * (whole["k"] - 1) / whole["n"])
+    at_paths = strength(whole["v"] / whole["n"], (whole["path_q"] - whole["q"]) / whole["n"], whole["chance"] / whole["n"])
+    by_host = hosts.select("host", ((F.col("host_s") + at_hosts * rate) / (F.col("host_n") + at_hosts)).alias("host_p"))
     both = lookup_join(paths, by_host, ["host"])
-    return both.select("host", "path", ((F.col("s") + m * F.col("host_p")) / (F.col("n") + m)).alias("site_p"))
+    return both.select("host", "path", ((F.col("s") + at_paths * F.col("host_p")) / (F.col("n") + at_paths)).alias("site_p"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text: str = "text", keep: float = KEEP) -> DataFrame:

@@ -174,12 +174,39 @@ def test_quality_edges(spark):
     assert quality.classify(docs.limit(0), labels, F.col("host"), F.col("path")).count() == 0
 
 
+def test_quality_of_labels_that_were_held_out(spark):
+    """Fitted without every third label, the classifier and the sites give these labels again."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    got = {r.doc_id: r.kept for r in quality.classify(docs, labels.filter("doc_id % 3 <> 0"), F.col("source"), F.col("lang")).select("doc_id", "kept").collect()}
+    held = [(got[r.doc_id], r.quality == 1) for r in labels.filter("doc_id % 3 = 0").collect()]
+    assert len(held) > 80 and sum(a == b for a, b in held) / len(held) > 0.95
+
+
 def test_sites_shrink_toward_their_parents(spark):
     rows = [("a", "x", 0.9)] * 50 + [("a", "y", 0.1)] + [("b", "z", 0.2)] * 50
     got = {(r.host, r.path): r.site_p for r in quality.posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
     assert 0.8 < got["a", "x"] <= 0.9 and 0.1 < got["a", "y"] < got["a", "x"] and 0.2 <= got["b", "z"] < 0.3
 
 
+def test_site_posteriors_follow_plain_sums(spark):
+    rnd = random.Random(6)
+    rows = [(h, p, min(1.0, max(0.0, rnd.gauss(0.3 + 0.1 * "abcd".index(h), 0.2)))) for h, p in ((rnd.choice("abcd"), rnd.choice("xyz")) for _ in range(400))] + [("e", "x", 0.5)]
+    paths, hosts = {}, {}
+    for h, p, v in rows:
+        paths.setdefault((h, p), []).append(v)
+        hosts.setdefault(h, []).append(v)
+    n, rate = len(rows), sum(v for *_, v in rows) / len(rows)
+    mean = lambda x: sum(x) / len(x)
+    m_h = quality.strength(rate * (1 - rate), sum(len(x) * mean(x) ** 2 for x in hosts.values()) / n - rate**2, rate * (1 - rate) * (len(hosts) - 1) / n)
+    var = {h: mean(x) * (1 - mean(x)) for h, x in hosts.items()}
+    between = sum(len(x) * mean(x) ** 2 for x in paths.values()) - sum(len(x) * mean(x) ** 2 for x in hosts.values())
+    m_p = quality.strength(sum(len(x) * var[h] for h, x in hosts.items()) / n, between / n, sum(var[h] * (sum(k[0] == h for k in paths) - 1) for h in hosts) / n)
+    host_p = {h: (sum(x) + m_h * rate) / (len(x) + m_h) for h, x in hosts.items()}
+    got = {(r.host, r.path): r.site_p for r in quality.posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
+    assert set(got) == set(paths) and all(abs(got[k] - (sum(x) + m_p * host_p[k[0]]) / (len(x) + m_p)) < 1e-9 for k, x in paths.items())
+
+
 # ---- scoring ----
 
 
