@@ -75,11 +75,13 @@ PROCESSORS = [("a", '[{"Dcore":"Cortex-M4","Dfpu":"SP_FPU","DcoreCount":"2"}]'),
 
 
 @query("""
-SELECT * FROM (VALUES ('a', 'yes', 'yes', 2, 40), ('b', 'unknown', 'no', 1, 10), ('c', 'no', 'no', 2, 90), ('d', 'unknown', 'unknown', 0, NULL), ('e', 'unknown', 'unknown', 0, NULL), ('f', 'unknown', 'unknown', 1, 90)) AS t(id, flag, fpu, n_cores, best)""")
+WITH e(i, flag, fpu, n_cores, best) AS (VALUES (0, 'yes', 'yes', 2, 40), (1, 'unknown', 'no', 1, 10), (2, 'no', 'no', 2, 90), (3, 'unknown', 'unknown', 0, NULL), (4, 'unknown', 'unknown', 0, NULL), (5, 'unknown', 'unknown', 1, 90))
+SELECT c_custkey, flag, fpu, n_cores, best FROM customer JOIN e ON i = c_custkey % 6""")
 def ranked_max_and_counts(t):
-    p = t.spark.createDataFrame(PROCESSORS, "id string, cell string").withColumn("p", features.decoded(F.col("cell")))
+    cell = F.element_at(F.array(*[F.lit(c) for _, c in PROCESSORS]), (F.col("c_custkey") % 6 + 1).cast("int"))
+    p = t.customer.select("c_custkey", features.decoded(cell).alias("p"))
     ranks = {"cortex-m0": 10, "cortex-m4": 40, "cortex-m33": 70, "cortex-m7": 90}
-    return p.select("id", features.flag(F.col("p"), "Dfpu").alias("flag"), features.fpu(F.col("p"), ["Cortex-M0"]).alias("fpu"), features.core_count(F.col("p")).alias("n_cores"), features.best_rank(F.transform("p", lambda x: x["Dcore"]), ranks).alias("best"))
+    return p.select("c_custkey", features.flag(F.col("p"), "Dfpu").alias("flag"), features.fpu(F.col("p"), ["Cortex-M0"]).alias("fpu"), features.core_count(F.col("p")).alias("n_cores"), features.best_rank(F.transform("p", lambda x: x["Dcore"]), ranks).alias("best"))
 
 
 @query("SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ';') AS priorities FROM orders GROUP BY o_custkey")

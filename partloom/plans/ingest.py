@@ -5,6 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from partloom.operators import order
 from partloom.session import shared_dir
 from partloom.sources import tables, text, xml
 
@@ -40,25 +41,65 @@ def html_codes(t):
     return t.pages.select("page_id", F.size(codes).alias("n_codes"), F.array_join(codes, ";").alias("codes"))
 
 
-HEADER = ["// caps", "#define SOC_UART_NUM (3U)", "#define SOC_ADC_SUPPORTED", "#define SOC_UART_NUM (2U) // later", "#define SOC_TIMER 0x4 /* timers */", "#define OTHER 9", "#define TIM1 ((TIM_TypeDef *) TIM1_BASE)"]
-
-
-@query("SELECT * FROM (VALUES ('SOC_UART_NUM', '(2U)', 2), ('SOC_ADC_SUPPORTED', '1', 1), ('SOC_TIMER', '0x4', 4)) AS t(name, value, number)")
+@query("""
+SELECT 'SOC_P' || CAST(p_partkey % 50 AS VARCHAR) AS name, arg_max('(' || CAST(p_size AS VARCHAR) || 'U)', p_partkey) AS value, arg_max(p_size, p_partkey) AS number FROM part GROUP BY p_partkey % 50
+UNION ALL SELECT DISTINCT 'SOC_FLAG' || CAST(p_partkey % 7 AS VARCHAR), '1', 1 FROM part""")
 def macro_scan(t):
     from partloom.functions.exprs import c_integer
 
-    lines = t.spark.createDataFrame(list(enumerate(HEADER)), "n int, line string")
+    key = F.col("p_partkey")
+    text_of = lambda *xs: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in xs])
+    each = F.array(text_of("#define SOC_P", (key % 50).cast("string"), " (", F.col("p_size").cast("string"), "U) // ", F.col("p_name")), text_of("# define SOC_FLAG", (key % 7).cast("string"), " /* flag */"), F.lit("#define OTHER 9"), F.lit("// #define SOC_X 1"))
+    lines = t.part.select(key.alias("n"), F.explode(each).alias("line"))
     return text.macros(lines, "line", "n").withColumn("number", c_integer(F.col("value")).cast("int"))
 
 
-SOURCES = [("a", "name: 'CH32'\nfamily: V2\n_raw:\n  uart: 3\n  adc: 2*16\n", "Includes 3 x UART and two SPIs."), ("b", "name: X\n", "One UART; no more.")]
-
-
-@query("SELECT * FROM (VALUES ('a', 'CH32', 'V2', '3', '2*16', 3, 2), ('b', 'X', NULL, NULL, NULL, 1, NULL)) AS t(id, name, family, raw_uart, raw_adc, uart, spi)")
+@query("""
+SELECT p_partkey, 'N' || CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS family, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR) END AS raw_uart, CASE WHEN p_partkey % 3 = 0 THEN '2*16' END AS raw_adc, p_size AS uart, CASE WHEN p_partkey % 5 = 0 THEN 2 END AS spi FROM part""")
 def text_tables_scan(t):
-    rows = t.spark.createDataFrame(SOURCES, "id string, yaml string, prose string")
+    k = F.col("p_partkey")
+    yaml = F.concat(F.lit("name: 'N"), k.cast("string"), F.lit("'\n"), F.when(k % 2 == 0, F.concat(F.lit("family: "), F.col("p_brand"), F.lit("\n"))).otherwise(""), F.when(k % 3 == 0, F.concat(F.lit("_raw:\n  uart: "), F.col("p_size").cast("string"), F.lit("\n  adc: 2*16\n"))).otherwise(""))
+    prose = F.concat(F.lit("Includes "), F.col("p_size").cast("string"), F.lit(" x UART"), F.when(k % 5 == 0, " and two SPIs.").otherwise("; no more."))
+    rows = t.part.select("p_partkey", yaml.alias("yaml"), prose.alias("prose"))
     raw = text.yaml_map(F.col("yaml"), "_raw")
-    return rows.select("id", text.yaml_scalar(F.col("yaml"), "name").alias("name"), text.yaml_scalar(F.col("yaml"), "family").alias("family"), F.try_element_at(raw, F.lit("uart")).alias("raw_uart"), F.try_element_at(raw, F.lit("adc")).alias("raw_adc"), *text.described_features(F.col("prose"), ["UART", "SPI"]))
+    return rows.select("p_partkey", text.yaml_scalar(F.col("yaml"), "name").alias("name"), text.yaml_scalar(F.col("yaml"), "family").alias("family"), F.try_element_at(raw, F.lit("uart")).alias("raw_uart"), F.try_element_at(raw, F.lit("adc")).alias("raw_adc"), *text.described_features(F.col("prose"), ["UART", "SPI"]))
+
+
+@query("SELECT p_partkey, (p_partkey % 3) * (1 + p_partkey % 2) AS timers, p_partkey % 3 <> 0 AND (p_partkey % 3) * (1 + p_partkey % 2) = 2 AS agrees FROM part")
+def timer_crosscheck(t):
+    k = F.col("p_partkey")
+    header = F.concat(F.when(k % 3 != 0, "hw_timer [").otherwise("timer["), (k % 3).cast("string"), F.lit("]; extern timg_dev_t TIMERG0; extern timg_dev_t TIMERG0;"), F.when(k % 2 == 1, " extern  timg_dev_t TIMERG1;").otherwise(""))
+    n = text.timer_instances(header).cast("bigint")
+    return t.part.select("p_partkey", n.alias("timers"), (n == 2).alias("agrees"))
+
+
+@query("SELECT page_id, contains(upper(html), upper(CASE WHEN page_id % 2 = 0 THEN 'Article' ELSE 'stc32g' END)) AS named FROM pages")
+def page_names_model(t):
+    model = F.when(F.col("page_id") % 2 == 0, "Article").otherwise("stc32g")
+    return t.pages.select("page_id", text.names_model(F.col("html"), model).alias("named"))
+
+
+@query("""
+WITH n AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) AS r FROM part)
+SELECT p_partkey, p_name, lpad(CAST((r - 1) // 300 AS VARCHAR), 3, '0') AS shard FROM n""")
+def shards_roundtrip(t):
+    """Shards of 300 rows written, indexed and read again; a second write leaves nothing of the first."""
+    import uuid
+
+    path = f"{shared_dir(t.spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    rows = order.shards(t.part.select("p_partkey", "p_name"), [F.col("p_partkey")])
+    tables.write_shards(rows.withColumn("shard", F.col("shard") + 7), path)
+    tables.write_shards(rows, path)
+    return tables.read_shards(t.spark, path, "p_partkey bigint, p_name string")
+
+
+@query("SELECT count(*) AS devices, sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END) AS large, NULL::BIGINT AS nothing FROM part")
+def report_roundtrip(t):
+    import uuid
+
+    path = f"{shared_dir(t.spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    tables.write_json_report(t.part.agg(F.count("*").alias("devices"), F.count_if(F.col("p_size") > 25).alias("large"), F.lit(None).cast("bigint").alias("nothing")), path)
+    return tables.read_json_document(t.spark, path, "devices bigint, large bigint, nothing bigint")
 
 
 FAMILY_XML = """<family Dfamily="F1" Dvendor="V:1"><processor Pname="c0" Dcore="Cortex-M4" Dclock="100"/><memory id="R1" size="0x100"/>

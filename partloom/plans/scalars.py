@@ -86,3 +86,21 @@ def text_helpers(t):
     picked = F.coalesce(F.try_element_at(F.filter(codes, lambda c: F.startswith(c, F.lit("A"))), F.lit(1)), F.element_at(codes, -1))
     alias = F.coalesce(X.lookup(seg, {"MACHINERY": "tools", "BUILDING": "house"}), seg)
     return t.customer.select("c_custkey", X.joined_once(seg, F.lit("BUILDING")).alias("listed"), alias.alias("alias"), picked.alias("picked"), F.btrim(F.concat(F.lit('"'), "c_name", F.lit('"')), F.lit('"')).alias("scalar"))
+
+
+@query("""
+WITH v AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(p_size AS DOUBLE) WHEN 2 THEN p_size + 0.5 ELSE -0.25 END AS x, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) || '.75' WHEN 1 THEN '' ELSE 'n/a' END AS s FROM part)
+SELECT p_partkey, CASE WHEN x IS NULL THEN '' WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE CAST(x AS VARCHAR) END AS compact,
+  coalesce(CAST(CAST(trunc(try_cast(nullif(s, '') AS DOUBLE)) AS BIGINT) AS VARCHAR), '') AS numeric, coalesce(CAST(CAST(trunc(try_cast(nullif(s, '') AS DOUBLE) * 1000) AS BIGINT) AS VARCHAR), '') AS scaled FROM v""")
+def number_texts(t):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    x = F.when(k % 4 == 1, size.cast("double")).when(k % 4 == 2, size + 0.5).when(k % 4 == 3, -0.25)
+    s = F.when(k % 3 == 0, F.concat(size.cast("string"), F.lit(".75"))).when(k % 3 == 1, "").otherwise("n/a")
+    return t.part.select("p_partkey", X.compact_number(x).alias("compact"), X.numeric_text(s).alias("numeric"), X.scaled_text(s, 1000).alias("scaled"))
+
+
+@query("""
+SELECT p_partkey, '{"a":"' || p_brand || '","m":"' || CAST(p_size AS VARCHAR) || '","z":"' || p_name || '"}' AS record FROM part""")
+def canonical_json(t):
+    held = F.create_map(F.lit("z"), F.col("p_name"), F.lit("a"), F.col("p_brand"), F.lit("m"), F.col("p_size").cast("string"))
+    return t.part.select("p_partkey", F.to_json(X.canonical_map(held)).alias("record"))

@@ -32,6 +32,17 @@ def instances_by_base(header: Column, prefer: str = "USART") -> Column:
     return F.transform(firsts, lambda p: p["name"])
 
 
+def timer_instances(header: Column) -> Column:
+    """Hardware timers of a header: the length of the timer array times its distinct instances; 0 without either."""
+    length = F.regexp_extract(header, r"hw_timer\s*\[(\d+)\]", 1).try_cast("int")
+    return F.coalesce(length * F.size(F.array_distinct(F.regexp_extract_all(header, F.lit(r"extern\s+timg_dev_t\s+(TIMERG\d+)"), F.lit(1)))), F.lit(0))
+
+
+def names_model(page: Column, model: Column) -> Column:
+    """Whether a page names a model, case aside: what a static model must hold before it is taken."""
+    return F.contains(F.upper(F.coalesce(page, F.lit(""))), F.upper(model))
+
+
 def page_codes(html: Column, pattern: str) -> Column:
     """Distinct codes in a page, sorted."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))))

@@ -16,7 +16,7 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("value,expected", [("16;32", None), ("nan", None), ("", None), (None, None), ("0", 0.0), (" 4 ", 4.0)])
+@pytest.mark.parametrize("value,expected", [("16;32", None), ("nan", None), ("", None), (None, None), ("0", 0.0), (" 4 ", 4.0), ("16d", None), ("3F", None), ("1e3", 1000.0), (".5", 0.5), ("0x10", None)])
 def test_number(spark, value, expected):
     assert one(spark, X.number(F.lit(value).cast("string"))) == expected
 
@@ -52,10 +52,39 @@ def test_scores(spark):
     assert one(spark, value) is None and one(spark, coverage) == 0
 
 
+@pytest.mark.parametrize("labels,points", [("Neural unit", 100), ("CORDIC CRC", 75), ("DMA2D", 65), ("AES engine", 50), ("CRC", 30)])
+def test_accelerators_score_by_their_kind(spark, labels, points):
+    assert one(spark, score.accelerator_score(F.lit("unknown"), F.lit(labels))) == points
+
+
+@pytest.mark.parametrize("pattern,value,hit", [("stm32*", "STM32F1", False), ("STM32*", "STM32F1", True), ("S[!A-M]*", "STM", True), ("S[A-M]*", "STM", False), ("a?c", "abc", True), ("a.c", "abc", False), ("[]]x", "]x", True), ("a[", "a[", True), ("a*", "a\n", True), ("a", "a\n", False)])
+def test_globs(spark, pattern, value, hit):
+    assert one(spark, F.call_function("rlike", F.lit(value), X.glob_regex(F.lit(pattern)))) == hit
+
+
+def test_natural_order_of_long_numbers_and_accents(spark):
+    names = ["a1234567890123", "a1234567890122", "a99", "a0100", "Ä1", "b"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r.n for r in df.orderBy(X.natural_key(F.col("n"))).collect()] == ["Ä1", "a99", "a0100", "a1234567890122", "a1234567890123", "b"]
+
+
+def test_sparse_leaves_blanks_and_empty_arrays_out(spark):
+    columns = {"a": F.lit(""), "b": F.array().cast("array<string>"), "c": F.lit(0), "d": F.lit(None).cast("int"), "e": F.lit("x")}
+    assert tables.sparse(spark.range(1), columns, "r").first().r == '{"c":0,"e":"x"}'
+
+
+def test_a_csv_file_that_is_there_but_broken_is_no_empty_table(spark, tmp_path):
+    assert tables.read_csv(spark, str(tmp_path / "none.csv"), ["a"]).columns == ["a"]
+    (tmp_path / "one.csv").write_text('a,b\n1,"x ""y"""\n')
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "one.csv"), spans_lines=False).collect()] == [("1", 'x "y"')]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.read_csv(spark, str(tmp_path / "none.csv"), ["a"], missing_ok=False)
+
+
 def test_selection_score_of_unknowns(spark):
     unknown = F.lit(None).cast("double")
     row = score.scores(spark.range(1), unknown, unknown, unknown, unknown, {"timer": unknown}, F.lit("no"), F.lit(None).cast("string")).first()
-    assert (row.selection_index, row.score_coverage, row.compute_score, row.accelerator_score) == (0, 15, None, 0)
+    assert (row.selection_index, row.score_coverage_percent, row.compute_score, row.accelerator_score) == (0, 15, None, 0)
 
 
 def test_features(spark):
