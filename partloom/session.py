@@ -26,18 +26,35 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset on a local master (tests)."""
     sc = spark.sparkContext
     if (named := sc.getConf().get("spark.checkpoint.dir")) is not None:
         return named
     if (held := sc.getCheckpointDir()) is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-partloom-", dir="/tmp"))
         held = sc.getCheckpointDir()
     return held
 
 
+_written: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and is computed once."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/partloom-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/partloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Remove what `written` wrote for this application, once the results that read it are stored: the number of tables."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        held = jvm.org.apache.hadoop.fs.Path(path)
+        held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)
+    return len(paths)

@@ -200,3 +200,13 @@ def test_archive_siblings(spark, tmp_path):
             z.writestr(name, "<a/>")
     found = text.members(spark.read.format("binaryFile").load(path), [".xml"])
     assert {(r.dir, r.error) for r in text.siblings(found, "/studio_5.0/view.xml", "/base/view.xml").collect()} == {("d/x", None), ("d/y", "no sibling")}
+
+
+def test_what_was_written_can_be_cleared(spark):
+    from pathlib import Path
+
+    from partloom import session
+
+    held = session.written(spark.range(3))
+    path = Path(held.inputFiles()[0].removeprefix("file://")).parent
+    assert held.count() == 3 and path.exists() and session.clear_written(spark) > 0 and not path.exists() and session.clear_written(spark) == 0
