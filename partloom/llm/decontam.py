@@ -12,8 +12,9 @@ Names are capitalised words wherever they stand, runs of them one name whose val
 than a window, where a placeholder for the first word would leave little, only those after a lower-case word are.
 
 Defined results: null or empty texts hold no windows; documents without an id take part and are reported with a null
-id; repeated rows and rows that share an id give one row for each (id, item); an item shorter than a window is one
-window of its own length; windows of placeholders alone are no evidence; an empty benchmark finds nothing.
+id; each text of an id that is repeated is judged on its own, and the id gets one row for each item, of the text that
+holds most of it; an item shorter than a window is one window of its own length; windows of placeholders alone are no
+evidence; an empty benchmark finds nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def solid(words: Column, at: Column, length: int) -> Column:
 
 
 def window_hashes(words: Column, length: int) -> Column:
-    """One hash for each window of `length` words, null for a window of placeholders alone."""
+    """One hash for each window of `length` words."""
     at = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - length + 1)).otherwise(F.array().cast("array<int>"))
 
     def one(i: Column) -> Column:
@@ -78,6 +79,12 @@ def window_hashes(words: Column, length: int) -> Column:
     return F.transform(at, one)
 
 
+def one_row(found: DataFrame) -> DataFrame:
+    """Of each (doc_id, item_id) the row with most of the item, then with fewest changes."""
+    best = F.max(F.struct("coverage", (-F.col("n_changed")).alias("c"), "n_windows", "n_hits", "n_slots", "n_changed"))
+    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_windows", "b.n_hits", "b.coverage", "b.n_slots", "b.n_changed")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, n_hits, coverage, n_slots, n_changed) for each document that holds an item.
 
@@ -114,7 +121,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     by_hash = windows.groupBy("reading", "len", "hash").agg(F.collect_set("item_id").alias("items"))
     small = by_hash.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    raw = d.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    raw = d.withColumn("key", F.xxhash64("doc_id", "text"))
     found = None
     for kind, n in kinds:
         hits = raw.select("key", "doc_id", readings[kind](F.col("text")).alias("words")).select("key", "doc_id", F.explode(window_hashes(F.col("words"), n)).alias("hash"))
@@ -134,7 +141,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     theirs = items.filter(F.exists("words", lambda w: w.isin(NUM, NAMED))).withColumn("len", F.least(F.size("words"), F.lit(window)))
     columns = ["doc_id", "item_id", "n_windows", "n_hits", "coverage"]
     if theirs.isEmpty():
-        return held.select(*columns, F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed")).distinct()
+        return one_row(held.select(*columns, F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed")))
     held = written(held)
     slotted = theirs.select("item_id")
     checked = held.filter("by_template").join(F.broadcast(slotted) if small else slotted, "item_id", "left_semi").select("key", "item_id").distinct()
@@ -152,7 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             here = meet.select("key", "item_id", "aligned", "hash")
             occurs = here if occurs is None else occurs.unionByName(here)
             # the texts come back once a pair, so that no window carries them through a shuffle
-            full = meet.select("key", "item_id", "aligned", "doc_at", "item_at").join(mine.hint("shuffle_hash"), ["key", "item_id"])
+            full = meet.select("key", "item_id", "aligned", "doc_at", "item_at").join(mine, ["key", "item_id"])
             for kind, mark in (("n", NUM), ("p", NAMED)):
                 ahead = lambda words, at: F.size(F.filter(F.slice(words, 1, at), lambda w: w == mark))  # noqa: E731, B023
                 inside = F.size(F.filter(F.slice("words", F.col("doc_at") + 1, n), lambda w: w == mark))  # noqa: B023
@@ -171,4 +178,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     out = held.join(verdict, ["key", "item_id"], "left").join(one, ["key", "item_id"], "left")
     out = out.filter("whole or not by_template or pairs is null or pairs = n_slots or least is not null")
     changed = F.when(F.col("whole") | ~F.col("by_template"), 0).otherwise(F.coalesce("least", "n_changed", F.lit(0)))
-    return out.select(*columns, F.coalesce("n_slots", F.lit(0)).alias("n_slots"), changed.cast("long").alias("n_changed")).distinct()
+    return one_row(out.select(*columns, F.coalesce("n_slots", F.lit(0)).alias("n_slots"), changed.cast("long").alias("n_changed")))

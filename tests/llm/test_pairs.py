@@ -151,9 +151,14 @@ def test_decontamination(spark, docs_of):
         (9, " ".join(BENCH[1][1].split()[:8])),  # one window of eleven
         (None, BENCH[1][1]),
         (1, pad + BENCH[0][1]),
+        (1, pad),
+        (11, pad + BENCH[0][1].replace("120 miles", "75 miles") + pad),  # one text of two is a match
+        (11, pad + BENCH[0][1].replace("120", "75").replace("3 hours", "9 hours")),
+        (12, "see " + "Abcd " * 20_000),
+        (13, "7" * 40_000 + " " + "1,2/" * 20_000),
     ]
     got = {(r.doc_id, r.item_id): r.n_changed for r in decontam.contaminated(docs_of(rows), bench).collect()}
-    assert got == {(1, 1): 0, (2, 1): 2, (5, 2): 0, (8, 3): 0, (None, 2): 0}
+    assert got == {(1, 1): 0, (2, 1): 2, (5, 2): 0, (8, 3): 0, (11, 1): 2, (None, 2): 0}
     assert decontam.contaminated(docs_of(rows), bench.filter("item_id < 0")).count() == 0
     assert decontam.contaminated(docs_of([]), bench).count() == 0
 
@@ -194,3 +199,89 @@ def test_decontamination_follows_a_plain_scan(spark):
         mine = {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
         expected |= {(d, i) for i, s in items.items() if len(s & mine) >= 0.5 * len(s)}
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == expected and expected
+
+
+def plain_template(text, before):
+    """Words of a text with placeholders, and the values behind them, by plain Python."""
+    import regex
+
+    upper = r"\p{Lu}[\p{L}'’-]*+"
+    held = regex.sub(rf"{before}{upper} (?=\p{{Lu}})", "", text or "")
+    values = {decontam.NAMED: [x.lower() for x in regex.findall(before + upper, held)]}
+    held = regex.sub(before + upper, decontam.NAMED, held)
+    values[decontam.NUM] = regex.findall(decontam.NUMBER, held)
+    held = regex.sub(decontam.NUMBER, f" {decontam.NUM} ", held)
+    units = "|".join(sorted((u.replace("%", "%(?!%)") for u in decontam.UNITS), key=len, reverse=True))
+    held = regex.sub(rf"(?i){decontam.NUM} +(?:{units})(?![\p{{L}}\p{{N}}])", f"{decontam.NUM} {decontam.UNIT} ", held)
+    return [w for w in regex.split(r"[^\p{L}\p{N}<>]+", held.lower()) if w], values
+
+
+def plain_matches(docs, bench, window=8, coverage=0.5):
+    """(doc, item) by trying every document against every item: half of the template windows and slots that agree in an occurrence or throughout, or half of the folded words if the template misses, or all of them."""
+    import regex
+
+    marks = (decontam.NUM, decontam.NAMED, decontam.UNIT)
+    folded = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w]
+    windows = lambda w, n: {}.fromkeys(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+    def slots(words, values, at, n):
+        """Mark, place within the window and value of the slots of a window."""
+        for i in range(at, at + n):
+            if words[i] in values:
+                yield words[i], values[words[i]][words[:i].count(words[i])].lower()
+
+    out = set()
+    for item, question in bench:
+        before = decontam.ANYWHERE
+        words, values = plain_template(question, before)
+        if len(words) < window:
+            before = decontam.INSIDE
+            words, values = plain_template(question, before)
+        if not words:
+            continue
+        n = min(window, len(words))
+        own = {w for w in windows(words, n) if any(x not in marks for x in w)}
+        own_words = folded(question) if any(w in marks for w in words) else []
+        m = min(window, len(own_words))
+        plain = set(windows(own_words, m)) if own_words else set()
+        for doc, text in docs:
+            theirs, their_values = plain_template(text, before)
+            met = [(i, j) for i in range(len(theirs) - n + 1) for j in range(len(words) - n + 1) if theirs[i : i + n] == words[j : j + n] and tuple(words[j : j + n]) in own]
+            hits = {tuple(words[j : j + n]) for _, j in met}
+            said = plain & set(windows(folded(text), m)) if plain else set()
+            whole = bool(plain) and said == plain
+            if own and len(hits) >= coverage * len(own):
+                pairs = {}
+                for i, j in met:
+                    pairs.setdefault(i - j, set()).update((k[0], k[1], d[1]) for k, d in zip(slots(words, values, j, n), slots(theirs, their_values, i, n)))
+                fine = lambda found: len({(a, b) for a, b, _ in found}) == len(found)
+                one = any(fine(found) and len({tuple(words[j : j + n]) for i, j in met if i - j == at}) >= coverage * len(own) for at, found in pairs.items())
+                if whole or one or fine(set().union(*pairs.values())):
+                    out.add((doc, item))
+            elif plain and len(said) >= coverage * len(plain):
+                out.add((doc, item))
+    return out
+
+
+def test_decontamination_follows_brute_force(spark, docs_of):
+    rnd = random.Random(12)
+    names, word = ["Tom", "Anna", "Mary Ann", "Bob"], lambda: "".join(rnd.choice("abcdef") for _ in range(4))
+    question = lambda: " ".join(rnd.choice([word(), word(), word(), rnd.choice(names), str(rnd.randrange(2, 40)), f"{rnd.randrange(2, 9)} km"]) for _ in range(rnd.randrange(4, 26)))
+    bench = [(i, question()) for i in range(12)] + [(20, ""), (21, "add 1 2 3 4 5 6 7 8 9 10 11")]
+    docs = []
+    for k in range(120):
+        text = rnd.choice(bench)[1]
+        parts = text.split()
+        for _ in range(rnd.randrange(0, 4)):  # other numbers and names, or other words
+            if parts:
+                at = rnd.randrange(len(parts))
+                parts[at] = str(rnd.randrange(2, 40)) if parts[at].isdigit() else rnd.choice(names) if parts[at][0].isupper() else word()
+        text = " ".join(parts)
+        if k % 5 == 0:
+            text = text.upper() if k % 10 else text.lower()
+        if k % 7 == 0:
+            text += ". " + rnd.choice(bench)[1]
+        docs.append((k, f"{word()} {word()} {text} {word()}"))
+    found = decontam.contaminated(docs_of(docs), spark.createDataFrame(bench, "item_id long, text string"))
+    expected = plain_matches(docs, bench)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == expected and 40 < len(expected) < 120 * 14
