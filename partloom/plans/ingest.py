@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from partloom.operators import order
 from partloom.session import shared_dir
 from partloom.sources import tables, text, xml
+from partloom.streaming.refresh import latest, refresh
 
 from .catalog import query
 
@@ -102,6 +103,21 @@ def report_roundtrip(t):
     return tables.read_json_document(t.spark, path, "devices bigint, large bigint, nothing bigint")
 
 
+@query("""
+SELECT c_custkey AS id, c_mktsegment AS source, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'new' ELSE 'old' END AS state FROM customer WHERE c_mktsegment <> 'MACHINERY' OR c_custkey % 2 = 0""")
+def streamed_refresh(t):
+    """Vendor files land twice; the second landing of a source replaces its first."""
+    import uuid
+
+    path = f"{shared_dir(t.spark).rstrip('/')}/landing-{uuid.uuid4().hex}"
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("source"))
+    again = rows.filter("source = 'MACHINERY' and id % 2 = 0").withColumn("state", F.lit("new"))
+    for landed in (rows.withColumn("state", F.lit("old")), again):
+        landed.write.mode("append").csv(f"{path}/files", header=True)
+        refresh(t.spark, f"{path}/files", "id bigint, source string, state string", f"{path}/catalog", "source", f"{path}/progress").awaitTermination()
+    return latest(t.spark, f"{path}/catalog")
+
+
 FAMILY_XML = """<family Dfamily="F1" Dvendor="V:1"><processor Pname="c0" Dcore="Cortex-M4" Dclock="100"/><memory id="R1" size="0x100"/>
 <subFamily DsubFamily="S1"><processor Pname="c0" Dclock="120"/><device Dname="D1"><memory id="R1" size="0x200"/><variant Dvariant="D1A"><processor Pname="c0" Dfpu="1"/></variant><variant Dvariant="D1B"/></device></subFamily>
 <device Dname="D2"/></family>"""

@@ -1 +0,0 @@
-"""Nothing streams: a catalog is refreshed by running the whole batch again, which every sink here takes (overwrite, or replace by source)."""
