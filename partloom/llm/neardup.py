@@ -105,7 +105,7 @@ def fingerprint(held: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, fp, bands, sig) for each row of (doc_id, text)."""
+    """(doc_id, text_hash, n_shingles, fp, bands, sig) for each row of (doc_id, text, text_hash)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,11 +119,11 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
             keys = band_keys(sigs)
             offsets = pa.array(np.arange(0, (len(sizes) + 1) * BANDS, BANDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([bytes(x) for x in sigs.astype(np.uint8)], pa.binary())],
-                names=["doc_id", "n_shingles", "fp", "bands", "sig"],
+                [b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([bytes(x) for x in sigs.astype(np.uint8)], pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "fp", "bands", "sig"],
             )
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, fp binary, bands array<long>, sig binary")
+    return docs.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, fp binary, bands array<long>, sig binary")
 
 
 def texts_of(needed: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -195,10 +195,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row: links have 100 * intersection >= percent * union."""
+    """(doc_id, text_hash, n_shingles, component_id, kept) for each row: links have 100 * intersection >= percent * union.
+
+    text_hash is xxhash64 of the text: it tells rows of one id with different texts apart.
+    """
     prepare(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = written(signed(docs, size))
+    rows = written(signed(docs.withColumn("text_hash", F.xxhash64("text")), size))
     nodes = written(
         rows.filter("doc_id is not null and n_shingles > 0")
         .groupBy("fp")
@@ -248,6 +251,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked = nodes.select("fp", "id", "copies").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     smallest = linked.filter("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
     named = linked.join(smallest, "root", "left").filter("copies > 1 or root is not null").select("fp", F.coalesce("component_id", "id").alias("component_id"))
-    out = lookup_join(rows.select("doc_id", "n_shingles", "fp"), named, ["fp"])
+    out = lookup_join(rows.select("doc_id", "text_hash", "n_shingles", "fp"), named, ["fp"])
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
