@@ -195,9 +195,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, kept) for each row: links have 100 * intersection >= percent * union.
+    """(doc_id, text_hash, n_shingles, component_id, component_key, kept) for each row: links have 100 * intersection >= percent * union.
 
-    text_hash is xxhash64 of the text: it tells rows of one id with different texts apart.
+    text_hash is xxhash64 of the text, component_key a hash of the component: they tell an id's different texts apart.
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     linked = nodes.select("fp", "id", "copies").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     smallest = linked.filter("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
-    named = linked.join(smallest, "root", "left").filter("copies > 1 or root is not null").select("fp", F.coalesce("component_id", "id").alias("component_id"))
+    named = linked.join(smallest, "root", "left").filter("copies > 1 or root is not null").select("fp", F.coalesce("component_id", "id").alias("component_id"), F.xxhash64(F.coalesce("root", "fp")).alias("component_key"))
     out = lookup_join(rows.select("doc_id", "text_hash", "n_shingles", "fp"), named, ["fp"])
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id"), F.coalesce("component_key", F.xxhash64("fp")).alias("component_key"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

@@ -21,7 +21,7 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
-    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85).drop("text_hash")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85).drop("text_hash", "component_key")
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

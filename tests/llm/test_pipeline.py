@@ -41,14 +41,20 @@ def test_stages(spark):
     assert all(r.token_ids == encoding.encode_ordinary(masked[d].text) for d, r in tokens.items())
 
 
-def test_odd_rows_and_empty_tables(spark):
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "plain words here and there", None, "s", 26), (3, "the same text twice over again", "en", "s", 30), (3, "the same text twice over again", "en", "s", 30), (4, "The same text twice over again", "en", "s", 30)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("extra"))
-    for name, stage in corpus_pipeline.STAGES[1:]:
-        docs = written(stage(spark, docs, FOLDER))
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls, repeats, ids with several texts, extra columns and very long texts go through all stages."""
+    same = "the same text twice over again"
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "plain words here and there", None, "s", 26), (3, same, "en", "s", 30), (3, same, "en", "s", 30), (4, same.title(), "en", "s", 30), (3, "another text of the same id", "en", "s", 27), (7, "word " * 60_000, None, None, 300_000), (8, "x" * 200_000 + " " + "9" * 50_000 + " Abc" * 20_000, "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("extra")).withColumn("stays", F.lit("own")).withColumn("text_hash", F.lit(1))
+    spark.createDataFrame([(1, None), (None, 1), (2, 1), (2, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, str(tmp_path)))
         if name == "near_duplicates":
-            assert sorted((r.doc_id for r in docs.collect()), key=str) == [1, 2, 3, None]
-    assert docs.count() == 4
+            assert sorted(((r.doc_id, len(r.text or "")) for r in docs.collect()), key=str) == sorted([(1, 0), (2, 0), (None, 26), (3, 27), (3, 30), (7, 300_000), (8, 330_001)], key=str)
+        if name != "tokens":
+            assert {(r.kept, r.stays, r.text_hash) for r in docs.collect()} == {("extra", "own", 1)}
+    assert docs.count() == 7
     empty = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = written(stage(spark, empty, FOLDER))
