@@ -38,8 +38,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = neardup.near_duplicates(docs.select("doc_id", "text"))
     key = ["doc_id", (own := free_name(docs, "text_hash"))]
     stays = free_name(docs, "stays")  # null for a text that stands once and is kept
-    texts = found.filter("doc_id is not null").groupBy("doc_id", "component_id", "n_shingles", "kept", F.col("text_hash").alias(own)).agg(F.count("*").alias("n"))
-    first = F.when(F.col("n_shingles") == 0, F.col(own)).otherwise(F.min(F.when(F.col("n_shingles") > 0, F.col(own))).over(Window.partitionBy("doc_id", "component_id")))
+    texts = found.filter("doc_id is not null").groupBy("doc_id", "component_key", "n_shingles", "kept", F.col("text_hash").alias(own)).agg(F.count("*").alias("n"))
+    first = F.when(F.col("n_shingles") == 0, F.col(own)).otherwise(F.min(F.when(F.col("n_shingles") > 0, F.col(own))).over(Window.partitionBy("doc_id", "component_key")))
     ids = written(texts.withColumn(stays, F.col("kept") & (F.col(own) == first)).filter(~F.col(stays) | (F.col("n") > 1)).select(*key, stays))
     kept = lookup_join(docs.withColumn(own, F.xxhash64("text")), ids, key).filter(F.col(stays).isNull() | F.col(stays))
     if ids.filter(stays).isEmpty():
