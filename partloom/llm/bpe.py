@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from .common import free_name, prepare, without
 
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 1_024
-#: Pieces kept per Python worker; the cache is emptied when full, which changes nothing but time.
-CACHE_PIECES = 300_000
+#: Pieces kept per Python worker (some 25 MB); the cache is emptied when full, which changes nothing but time.
+CACHE_PIECES = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -89,25 +89,26 @@ def stitch(chunks: list[dict], encoder: PieceEncoder, cut: Cutter) -> bytes:
     parts: list[bytes] = []
     left, at = chunks[0], 0  # from piece number `at` of `left` on, the scan is the whole text's
     for k, right in enumerate(chunks[1:], 1):
-        own = left["starts"][at:]
-        theirs = {right["start"] + p: i for i, p in enumerate(right["starts"])}
-        met = next((i for i, p in enumerate(own) if left["start"] + p in theirs), None)
-        base = 4 * sum(left["sizes"][:at])
-        if met is None:  # no common boundary: scan the rest in one go
-            begin = left["start"] + (own[0] if own else 0)
+        own, theirs = left["start"] + left["starts"][at:], right["start"] + right["starts"]
+        place = np.searchsorted(theirs, own)
+        agree = np.flatnonzero(theirs[np.minimum(place, len(theirs) - 1)] == own) if len(theirs) else place[:0]
+        base = 4 * int(left["sizes"][:at].sum())
+        if not len(agree):  # no common boundary: scan the rest in one go
+            begin = int(own[0]) if len(own) else left["start"]
             rest = left["text"][begin - left["start"] :]
             done = left["start"] + len(left["text"])
             for c in chunks[k:]:
                 rest += c["text"][max(0, done - c["start"]) :]
                 done = max(done, c["start"] + len(c["text"]))
             return b"".join([*parts, *map(encoder.__getitem__, cut(rest).findall(rest))])
-        parts.append(left["ids"][base : base + 4 * sum(left["sizes"][at : at + met])])
-        left, at = right, theirs[left["start"] + own[met]]
-    return b"".join([*parts, left["ids"][4 * sum(left["sizes"][:at]) :]])
+        met = int(agree[0])
+        parts.append(left["ids"][base : base + 4 * int(left["sizes"][at : at + met].sum())])
+        left, at = right, int(place[met])
+    return b"".join([*parts, left["ids"][4 * int(left["sizes"][:at].sum()) :]])
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "token_ids", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """docs with the array of token ids of each text in `out` (a column of that name is replaced).
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "token_ids", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, keep_text: bool = True) -> DataFrame:
+    """docs with the array of token ids of each text in `out` (a column of that name is replaced); keep_text: the texts as well.
 
     ranks is the bounded vocabulary, read from a rank file; it is broadcast to the tasks.
     """
@@ -141,21 +142,24 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 ids.append(b"".join([x for _, x in found]))
             yield pa.RecordBatch.from_arrays([*b.columns, _lists(starts), _lists(sizes), pa.array(ids, pa.binary())], names=[*b.schema.names, begins, lengths, packed])
 
-    joined_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    held = [f for f in docs.schema.fields if keep_text or f.name != text]
+    joined_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in held] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def join(group: pa.Table) -> pa.Table:
         """One long text: its chunks, which together hold no more than that text and its overlaps."""
         encoder, cut = _encoder(shared, pattern)
-        rows = sorted(group.select([number, start, piece, begins, lengths, packed]).to_pylist(), key=lambda r: r[number])
-        chunks = [{"start": r[start], "text": r[piece], "starts": r[begins], "sizes": r[lengths], "ids": r[packed]} for r in rows]
-        body = "".join(c["text"][:chunk_chars] for c in chunks)
-        first = group.slice(group.column(number).to_pylist().index(0), 1)
-        made = {text: pa.array([body], type=pa.string()), out: _lists([stitch(chunks, encoder, cut)])}
+        numbers = lambda c, i: c[i].values.to_numpy().astype(np.int64)
+        at = {n: i for i, n in enumerate(group[number].to_pylist())}
+        chunks = [{"start": group[start][i].as_py(), "text": group[piece][i].as_py(), "starts": numbers(group[begins], i), "sizes": numbers(group[lengths], i), "ids": group[packed][i].as_py()} for _, i in sorted(at.items())]
+        first = group.slice(at[0], 1)
+        made = {out: _lists([stitch(chunks, encoder, cut)])}
+        if keep_text:
+            made[text] = pa.array(["".join(c["text"][:chunk_chars] for c in chunks)], type=pa.string())
         return pa.table({f.name: made[f.name] if f.name in made else first.column(f.name) for f in joined_schema.fields})
 
     spread = cut_up.repartition(F.col(row), F.col(number))
     stitched = spread.mapInArrow(chunk, schema).groupBy(row).applyInArrow(join, joined_schema)
-    return short.unionByName(stitched)
+    return (short if keep_text else short.drop(text)).unionByName(stitched)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", out: str = "decoded") -> DataFrame:
