@@ -74,7 +74,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text and what they decode to: doc_id, token_ids, n_tokens, ids_sha256, decoded_sha256. A null text has no tokens."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     # written between, so that a task has one Python worker at a time and not one for each direction
-    encoded = written(bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "token_ids"))
+    encoded = written(bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False))
     both = bpe.decode(encoded, ranks)
     return both.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
