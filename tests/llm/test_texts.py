@@ -44,7 +44,7 @@ def test_leaves_of_odd_markup():
     assert len(html.leaves("<div>" * 20_000 + "t" + "</div>" * 20_000)) == 1
     assert [b.text for b in html.leaves("<p>a</p><svg/><p>b</p><iframe /><p>c</p><math/><p>d</p>")] == ["a", "b", "c", "d"]
     assert [b.text for b in html.leaves("<div><p>a</p><svg><text>x</text></div><p>b</p><noscript>n<p>c</p><svg></svg>")] == ["a", "b", "n", "c"]
-    assert [b.text for b in html.leaves("<div><p>a</p><template><p>t</p></div><p>b <svg><title>q</title></svg>c</p><select><option>1</div><p>d")] == ["a", "b c", "d"]
+    assert [b.text for b in html.leaves("<div><p>a</p><template><p>t</p></div><p>b <svg><title>q</title></svg>c</p><select><option>1</div><p>d")] == ["a", "t", "b c", "1", "d"]
     assert [b.text for b in html.leaves("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p><xmp><b></xmp>")] == ["so x=2 holds", "<b>"]
     assert [b.text for b in html.leaves("a<textarea>b<p>c")] == ["a", "b", "c"]
 
