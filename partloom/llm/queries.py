@@ -114,6 +114,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annuli.hard_negatives(rows, F.col("id") % 50 == 0)
 
 
+def op13_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import partitions, topk
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").filter(topk.usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
+    rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
+    return partitions.neighbours(rows.filter("id % 100 = 0"), rows, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_near_duplicates": op2_near_duplicates,
@@ -127,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
     "op11_filter_audit": op11_filter_audit,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_learned_partitions": op13_learned_partitions,
 }
 
 ORACLES: dict[str, str] = {}
