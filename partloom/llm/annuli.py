@@ -219,4 +219,5 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
 
 def _whole_share(score: Column, percent: int, up: int) -> Column:
     """percent / 100 of a score of 0 or more, rounded down after `up` hundredths are added, in whole numbers."""
-    return F.call_function("div", score * percent + up, F.lit(100).cast("long"))
+    by = F.lit(100).cast("long")
+    return F.call_function("div", score, by) * percent + F.call_function("div", score % by * percent + up, by)
