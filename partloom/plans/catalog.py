@@ -32,4 +32,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from . import aggregates, described, enrich, ingest, matching, merging, ruled, scalars, selection, validation  # noqa: E402, F401  they register their queries
+from . import aggregates, described, enrich, ingest, matching, merging, registers, ruled, scalars, selection, validation  # noqa: E402, F401  they register their queries

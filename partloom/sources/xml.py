@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partloom.session import written
+
 # Attributes of the elements that are read.
 PROCESSOR = "Pname Dcore Dclock DcoreCount Dfpu Dmpu Ddsp Dtz Darchitecture".split()
 MEMORY = "id name start size access default startup".split()
@@ -88,3 +90,57 @@ def pack_index(index: DataFrame, suffix: str, xml: str = "xml") -> DataFrame:
     """(vendor, name, version, url) of an index's packs whose name ends with a suffix."""
     p = index.select(F.explode(F.from_xml(F.col(xml), "pindex struct<pdsc array<struct<_vendor string, _name string, _version string, _url string>>>")["pindex"]["pdsc"]).alias("p"))
     return p.select(F.col("p._vendor").alias("vendor"), F.col("p._name").alias("name"), F.col("p._version").alias("version"), F.col("p._url").alias("url")).filter(F.endswith(F.lower("name"), F.lit(suffix)))
+
+
+REGISTERS = "peripherals struct<peripheral array<struct<_derivedFrom string, name string, groupName string, dim string, dimIndex string>>>"
+
+
+def register_peripherals(files: DataFrame, key: str, xml: str = "xml") -> DataFrame:
+    """(key, at, name, ref, group_name, dim, dim_index) of every peripheral of register descriptions, as written."""
+    each = files.select(key, F.posexplode(F.from_xml(F.col(xml), REGISTERS)["peripherals"]["peripheral"]).alias("at", "p"))
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return each.select(key, "at", blank(F.col("p.name")).alias("name"), blank(F.col("p._derivedFrom")).alias("ref"), blank(F.col("p.groupName")).alias("group_name"), blank(F.col("p.dim")).alias("dim"), blank(F.col("p.dimIndex")).alias("dim_index")).filter("name is not null")
+
+
+def derived(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """rows (key, at, name, ref, values) with what they lack taken from the rows they refer to, nearest first, and an error.
+
+    Pointer jumping: in each round a row takes the values of its target and the target's own reference, so chains of
+    length n end after log2(n) joins. Of rows with one name in a document the first is the target. A reference to no row
+    gives `unknown reference` and the values up to there; rows on a circle, or leading to one, are still open when every
+    chain without a circle has ended: they keep their own values, with `circular reference`.
+    """
+    own = written(rows.select("*", F.lit(None).cast("string").alias("error")))
+    longest = own.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    held = own
+    for _ in range(longest.bit_length() + 1):
+        if held.filter("ref is not null").isEmpty():
+            return held.drop("ref")
+        targets = held.groupBy(key, F.col("name").alias("ref")).agg(F.min_by(F.struct(F.lit(1).alias("there"), F.col("ref").alias("next"), "error", *values), "at").alias("t"))
+        met = held.filter("ref is not null").join(targets, [key, "ref"], "left")
+        error = F.coalesce("error", "t.error", F.when(F.col("t").isNull(), "unknown reference"))
+        moved = met.select(*[c for c in own.columns if c not in (*values, "ref", "error")], F.col("t.next").alias("ref"), *[F.coalesce(v, f"t.{v}").alias(v) for v in values], error.alias("error"))
+        held = written(held.filter("ref is null").unionByName(moved))
+    open_ = held.filter("ref is not null").select(key, "at", F.lit("circular reference").alias("circle"))
+    back = own.drop("ref", "error").join(open_, [key, "at"]).withColumnRenamed("circle", "error")
+    return held.filter("ref is null").drop("ref").unionByName(back)
+
+
+def register_features(peripherals: DataFrame, key: str) -> DataFrame:
+    """(key, type, n, instances) of classified peripherals; %s and %d stand for the entries of dimIndex, or for 0 .. dim - 1."""
+    from partloom.functions.exprs import int_any_base, natural_key
+    from partloom.operators.rules import peripheral_type
+
+    dim = F.greatest(F.coalesce(int_any_base(F.col("dim")), F.lit(1)), F.lit(1))
+    numbers = F.transform(F.sequence(F.lit(0), dim - 1), lambda i: i.cast("string"))
+    listed = F.transform(F.split("dim_index", ","), lambda x: F.trim(x))
+    ends = F.regexp_extract("dim_index", r"^(\d+)-(\d+)$", 1).try_cast("int"), F.regexp_extract("dim_index", r"^(\d+)-(\d+)$", 2).try_cast("int")
+    spanned = F.when(ends[0] <= ends[1], F.transform(F.sequence(ends[0], ends[1]), lambda i: i.cast("string")))
+    given = F.coalesce(spanned, listed)
+    index = F.when(F.size(given) == dim, given).otherwise(numbers)
+    marked = F.col("name").rlike("%[sd]")
+    names = F.when(marked, F.transform(index, lambda i: F.replace(F.replace("name", F.lit("%s"), i), F.lit("%d"), i))).otherwise(F.array("name"))
+    typed = peripherals.select(key, peripheral_type(F.col("name"), F.col("group_name")).alias("type"), names.alias("names")).filter("type is not null")
+    each = typed.select(key, "type", F.explode("names").alias("instance")).groupBy(key, "type", "instance").agg(F.lit(1).alias("_"))
+    ordered = F.array_sort(F.collect_list(F.struct(natural_key(F.col("instance")), "instance")))  # the instances of one document
+    return each.groupBy(key, "type").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda x: x["instance"]), ", ").alias("instances"))
