@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from partloom.functions import features as V
 from partloom.functions.exprs import canonical_map, compact_number, quantity
 
-from .match import rule_hits
+from .overrides import applied
 
 # Of each count its feature types, tokens of names, tokens that exclude, and whether types come before names.
 COUNTS = {
@@ -146,20 +146,23 @@ def inventory(features: Column, status: Column) -> Column:
     return F.transform(shown, lambda f: F.struct(category(f).alias("category"), given(f, "count").alias("count"), given(f, "m").alias("m"), given(f, "n").alias("n"), _text(f, "name").alias("name"), kind(f).alias("type"), status.alias("verification_status")))
 
 
-def overridden(devices: DataFrame, rules: DataFrame, most: int = 10_000) -> DataFrame:
-    """devices with `rule_records`: those of the override rules that apply, in their order. The rules are one array, so no row is multiplied."""
+def overridden(devices: DataFrame, rules: DataFrame) -> DataFrame:
+    """devices with `rule_records`: those of the override rules that apply, in the order of the rules (of their `position`, if they have one).
+
+    Rules are found once for each distinct name, line, series and vendor; a device holds only the rules that apply to it.
+    """
     fields = ["category", "feature_id", "notes", "quantity", "source_url", "unit", "verification_status"]
-    held = rules.limit(most + 1).collect()
-    if len(held) > most:
-        raise ValueError(f"more than {most} override rules")
-    if not held:
-        return devices.withColumn("rule_records", F.array().cast("array<struct<name:string,verification_status:string,record:string>>"))
-    text = lambda v: F.lit("" if v is None else v)
-    given = F.array(*[F.struct(*[text(r[c]).alias(c) for c in ("manufacturer", "match_type", "match_value", "display_name", *fields)]) for r in held])
-    kind = lambda r: F.element_at(F.create_map(*[F.lit(x) for x in ("device", "glob", "device_prefix", "prefix", "product_line", "line", "series", "series")]), r["match_type"])
-    applies = lambda r: ((r["manufacturer"] == "") | (r["manufacturer"] == F.col("manufacturer"))) & rule_hits(kind(r), r["match_value"], F.col("device_name"), F.col("product_line"), F.col("series"))
-    record = lambda r: F.struct(r["display_name"].alias("name"), r["verification_status"].alias("verification_status"), F.to_json(F.struct(*[r[c].alias(c) for c in sorted([*fields[:2]])], r["display_name"].alias("name"), *[r[c].alias(c) for c in fields[2:]])).alias("record"))
-    return devices.withColumn("rule_records", F.transform(F.filter(given, applies), record))
+    keys = ["device_name", "product_line", "series", "manufacturer"]
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("device", "glob", "device_prefix", "prefix", "product_line", "line", "series", "series")]), text("match_type"))
+    record = F.struct(text("display_name").alias("name"), text("verification_status").alias("verification_status"), F.to_json(F.struct(*[text(c).alias(c) for c in fields[:2]], text("display_name").alias("name"), *[text(c).alias(c) for c in fields[2:]])).alias("record"))
+    position = F.col("position") if "position" in rules.columns else F.monotonically_increasing_id()
+    listed = rules.select(position.alias("position"), kind.alias("kind"), text("match_value").alias("value"), text("manufacturer").alias("vendor"), record.alias("record"))
+    subjects = devices.select(*[text(c).alias(c) for c in keys]).distinct()
+    found = applied(subjects, listed).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rule.position", "rule.record"))), lambda r: r["record"]).alias("rule_records"))
+    renamed = found.select(*[F.col(c).alias(f"_{c}") for c in keys], "rule_records")
+    both = devices.join(renamed, [text(c) == F.col(f"_{c}") for c in keys], "left").drop(*[f"_{c}" for c in keys])
+    return both.withColumn("rule_records", F.coalesce("rule_records", F.array().cast("array<struct<name:string,verification_status:string,record:string>>")))
 
 
 def records(devices: DataFrame, rules: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from partloom.functions.exprs import cascade, known_sum, natural_key
-from partloom.operators import match, order, search
+from partloom.operators import order, overrides, search
 from partloom.sources.tables import loaded, sparse
 
 from .catalog import query
@@ -44,13 +44,38 @@ FROM part JOIN rules ON (vendor = '' OR vendor = p_brand) AND CASE kind
 GROUP BY p_partkey""")
 def filter_override_rules(t):
     rules = t.spark.createDataFrame(RULES, "kind string, value string, vendor string, status string")
-    hit = match.rule_hits(F.col("kind"), F.col("value"), F.col("p_name"), F.col("p_brand"), F.col("p_size").cast("string")) & ((F.col("vendor") == "") | (F.col("vendor") == F.col("p_brand")))
-    # a theta join by nature: the rules are a dimension of fixed size
-    both = t.part.join(F.broadcast(rules), hit)
+    parts = t.part.select("p_partkey", "p_name", "p_brand", F.col("p_size").cast("string").alias("size"))
+    both = overrides.applied(parts, rules, "p_name", "p_brand", "size", "p_brand").select("p_partkey", "rule.status")
     known = F.col("status").isin("confirmed", "verified")
     return both.groupBy("p_partkey").agg(F.count_if(known).alias("n_confirmed"), F.count_if(~known).alias("n_pending"))
 
 
+@query("""
+WITH r AS (
+  SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN 'glob' WHEN 1 THEN 'glob' WHEN 2 THEN 'prefix' WHEN 3 THEN 'line' ELSE 'series' END AS kind,
+    CASE p_partkey % 5 WHEN 0 THEN substr(p_name, 1, 4) || '*' || right(p_name, 3) WHEN 1 THEN '*' || right(p_name, 5) WHEN 2 THEN substr(p_name, 1, 1 + p_partkey % 7) WHEN 3 THEN p_brand ELSE CAST(p_size AS VARCHAR) END AS value,
+    CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END AS vendor
+  FROM part WHERE p_partkey % 10 < 5)
+SELECT p_partkey, count(*) AS n_rules, min(kind || ' ' || value) AS first_rule, max(kind || ' ' || value) AS last_rule
+FROM part JOIN r ON (vendor = '' OR vendor = p_brand) AND CASE kind WHEN 'glob' THEN p_name GLOB value WHEN 'prefix' THEN starts_with(p_name, value) WHEN 'line' THEN p_brand = value ELSE CAST(p_size AS VARCHAR) = value END
+GROUP BY p_partkey""")
+def override_rules_of_table(t):
+    """Rules that come from a table of their own size, found by their literal ends."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 5 <= 1, "glob").when(k % 5 == 2, "prefix").when(k % 5 == 3, "line").otherwise("series")
+    value = (
+        F.when(k % 5 == 0, F.concat(F.substring("p_name", 1, 4), F.lit("*"), F.right(F.col("p_name"), F.lit(3))))
+        .when(k % 5 == 1, F.concat(F.lit("*"), F.right(F.col("p_name"), F.lit(5))))
+        .when(k % 5 == 2, F.substring(F.col("p_name"), F.lit(1), (1 + k % 7).cast("int")))
+        .when(k % 5 == 3, F.col("p_brand"))
+        .otherwise(F.col("p_size").cast("string"))
+    )
+    rules = t.part.filter(k % 10 < 5).select(kind.alias("kind"), value.alias("value"), F.when(k % 3 == 0, F.col("p_brand")).otherwise("").alias("vendor")).distinct()
+    parts = t.part.select("p_partkey", "p_name", "p_brand", F.col("p_size").cast("string").alias("size"))
+    said = F.concat_ws(" ", "rule.kind", "rule.value")
+    return overrides.applied(parts, rules, "p_name", "p_brand", "size", "p_brand").groupBy("p_partkey").agg(F.count("*").alias("n_rules"), F.min(said).alias("first_rule"), F.max(said).alias("last_rule"))
+
+
 @query(r"""
 SELECT p_partkey, p_brand, regexp_full_match(p_brand, 'Brand#[1-3]\d') AS in_series,
   NOT regexp_matches(p_brand, '[*?]') AND p_brand <> '' AND NOT contains(p_name, '/') AS orderable
