@@ -1,13 +1,10 @@
 """Sources: CSV, JSON, XML, headers, pages, prose and archives."""
 
-import io
-import zipfile
-
 from pyspark.sql import functions as F
 
 from partloom.operators import order
 from partloom.session import shared_dir
-from partloom.sources import tables, text, xml
+from partloom.sources import archives, tables, text, xml
 from partloom.streaming.refresh import latest, refresh
 
 from .catalog import query
@@ -131,13 +128,56 @@ def xml_inheritance(t):
     return cpu.unionByName(xml.inherited(leaves, "memory", xml.MEMORY, F.coalesce("x._id", "x._name", F.lit(""))).withColumn("kind", F.lit("memory")))
 
 
-@query()
+_ARCHIVES = """
+WITH p AS (
+  SELECT p_partkey AS k, p_partkey // 64 AS a, p_name, p_brand, p_size,
+         'db/devices/' || CASE WHEN p_partkey % 2 = 0 THEN 'MCU' ELSE 'Wireless' END || '/' || replace(p_brand, '#', '') || '/P' || p_partkey AS dir,
+         'pack' || (p_partkey // 64) || CASE WHEN (p_partkey // 64) % 2 = 0 THEN '.tar.gz' ELSE '.zip' END AS archive
+  FROM part)
+"""
+
+
+def _packed(t):
+    """Archives of 64 parts each, zip and tar.gz in turn: a view of each part, mostly with its base, a version, and a file that is no archive."""
+    import uuid
+
+    k = F.col("p_partkey")
+    folder = f"{shared_dir(t.spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    number = F.floor(k / 64).cast("string")
+    name = F.concat(F.lit("pack"), number, F.when(F.floor(k / 64) % 2 == 0, ".tar.gz").otherwise(".zip"))
+    top = F.concat(F.lit("db/devices/"), F.when(k % 2 == 0, "MCU").otherwise("Wireless"), F.lit("/"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("/P"), k.cast("string"))
+    param = lambda n, v: F.concat(F.lit(f'<Param name="{n}" value="'), v, F.lit('"/>'))
+    view = F.concat(F.lit("<view><!-- <Param name='PartNumber' value='no'/> --><group>"), param("Name", F.concat(F.lit("A &amp; "), F.col("p_name"))), param("UART", F.lit("9")), F.lit("</group>"), param("PartNumber", F.concat(F.lit("P"), k.cast("string"))), param("UART", F.col("p_size").cast("string")), F.when(k % 5 == 0, "<type name='board'/>").otherwise("<type name='mcu'/>"), F.lit("<DevCap name='uart'/><DevCap name='adc'/><DevCap name='uart'/>"), F.when(k % 11 == 0, "<open>").otherwise(""), F.lit("</view>"))
+    base = F.concat(F.lit("<base><core>CM"), (k % 4).cast("string"), F.lit("</core><die> "), F.col("p_brand"), F.lit(" </die></base>"))
+    files = F.array(F.struct(F.concat(top, F.lit("/studio_5.0/view.xml")).alias("member"), view.alias("text")), F.when(k % 7 != 0, F.struct(F.concat(top, F.lit("/base/view.xml")).alias("member"), base.alias("text"))), F.struct(F.concat(top, F.lit("/studio_5.0/more/view.xml")).alias("member"), view.alias("text")), F.when(k % 64 == 1, F.struct(F.lit("db/version.dat").alias("member"), F.concat(F.lit("v"), number, F.lit("\n")).alias("text"))), F.when(k % 64 == 2, F.struct(F.lit("db/readme.txt").alias("member"), F.lit("no").alias("text"))))
+    each = t.part.select(name.alias("archive"), F.explode(F.array_compact(files)).alias("f")).select("archive", "f.member", F.encode("f.text", "UTF-8").alias("bytes"))
+    archives.write_archives(each, folder).agg(F.sum("n")).collect()
+    return folder
+
+
+@query(
+    _ARCHIVES
+    + """
+, m AS (
+  SELECT archive, dir || '/studio_5.0/view.xml' AS member FROM p UNION ALL SELECT archive, dir || '/studio_5.0/more/view.xml' FROM p UNION ALL SELECT archive, dir || '/base/view.xml' FROM p WHERE k % 7 <> 0)
+SELECT archive, count(*) AS n_members, min(member) AS first_member, max(member) AS last_member FROM m GROUP BY archive"""
+)
 def archive_members(t):
-    """XML members of archives, and an error row for a broken one."""
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
-        z.writestr("devices/a/base/view.xml", "<a/>")
-        z.writestr("devices/a/studio_5.0/view.xml", "<b/>")
-        z.writestr("readme.txt", "no")
-    rows = [("good.zip", bytearray(held.getvalue())), ("bad.zip", bytearray(b"nothing"))]
-    return text.members(t.spark.createDataFrame(rows, "path string, content binary"), [".xml"])
+    """XML members of archives that were written from the parts, read as a source in runs of members."""
+    read = archives.read_archives(t.spark, _packed(t), [".XML"], run_bytes=2048)
+    return read.groupBy(F.regexp_extract("path", "([^/]+)$", 1).alias("archive")).agg(F.count_if(F.col("bytes").isNotNull()).alias("n_members"), F.min("member").alias("first_member"), F.max("member").alias("last_member"))
+
+
+@query(
+    _ARCHIVES
+    + """
+SELECT archive, CASE WHEN EXISTS (SELECT 1 FROM p q WHERE q.a = p.a AND q.k % 64 = 1) THEN 'v' || a END AS version, CASE WHEN good THEN 'P' || k END AS part_number, CASE WHEN k % 2 = 0 THEN 'MCU' ELSE 'Wireless' END AS domain, replace(p_brand, '#', '') AS database_family,
+       CASE WHEN good THEN 'Name=A & ' || p_name || ';PartNumber=P' || k || ';UART=' || p_size END AS parameters, CASE WHEN good THEN 'adc;uart' END AS capabilities,
+       CASE WHEN k % 7 <> 0 THEN 'core=CM' || (k % 4) || ';die=' || p_brand END AS base, CASE WHEN k % 11 = 0 THEN 'not well-formed' WHEN k % 7 = 0 THEN 'missing exact part base/view.xml' END AS error
+FROM (SELECT *, k % 11 <> 0 AND k % 7 <> 0 AS good FROM p WHERE k % 11 = 0 OR k % 5 <> 0) p"""
+)
+def device_database(t):
+    """Records of a device database held in archives, each view with its sibling, errors told."""
+    r = archives.device_database(archives.read_archives(t.spark, _packed(t), [".xml", ".dat"]))
+    said = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return r.select(F.regexp_extract("path", "([^/]+)$", 1).alias("archive"), "version", "part_number", "domain", "database_family", said("parameters").alias("parameters"), F.array_join("capabilities", ";").alias("capabilities"), said("base").alias("base"), "error")
