@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import html as entities
+import random
 import re
 import zlib
 
@@ -28,8 +29,10 @@ from pyspark.sql import types as T
 from . import lstm
 from .common import prepare, without
 
-PATH_SLOTS, WORD_SLOTS, EMBED, WORDS, HIDDEN = 1024, 512, 20, 8, 16
+PATH_SLOTS, WORD_SLOTS, EMBED, WORDS, HIDDEN = 8192, 512, 20, 8, 16
 NUMBERS = 7
+#: Of the sum over a path's slots.
+PATH_SCALE = np.float32(0.25)
 #: Pages read by the network at once.
 BATCH = 128
 CACHE = 400_000
@@ -204,12 +207,27 @@ class _Slots(dict):
 _paths, _word_slots = _Slots(PATH_SLOTS, b"p", True), _Slots(WORD_SLOTS, b"w", False)
 
 
+def _new_on_path(nodes: list[tuple[int, str]]) -> list[list[int]]:
+    """Of each node the slots that none of the nodes around it has: what repeats along a path counts once."""
+    out: list[list[int]] = []
+    stack: list[int] = []
+    there: set[int] = set()
+    for i, (around, label) in enumerate(nodes):
+        while stack and stack[-1] != around:  # nodes come in the order of their start tags
+            there.difference_update(out[stack.pop()])
+        own = [s for s in dict.fromkeys(_paths[label]) if s not in there]
+        out.append(own)
+        there.update(own)
+        stack.append(i)
+    return out
+
+
 class Read:
     """A page for the network: of each node, the one around it and its slots; of each block, its node, word slots and measures."""
 
     def __init__(self, blocks: Leaves):
         self.around = np.array([n for n, _ in blocks.nodes], np.int64)
-        self.slots = [_paths[label] for _, label in blocks.nodes]
+        self.slots = _new_on_path(blocks.nodes)
         self.depth = np.zeros(len(blocks.nodes), np.int64)
         for i, n in enumerate(self.around.tolist()):
             if n >= 0:
@@ -221,14 +239,14 @@ class Read:
             self.words.append([_word_slots[w][0] for w in own])
             n = len(b.text)
             deep = self.depth[b.node] + 1 if b.node >= 0 else 0
-            self.numbers[i] = (np.log1p(n) / 5, np.log1p(len(own)) / 4, min(1.0, b.links / n), b.text[-1] in ".!?:;\"”", i / (len(blocks) + 1), 1.0 if i == 0 else 0.0, min(int(deep), 100) / 10)
+            self.numbers[i] = (np.log1p(n) / 5, np.log1p(len(own)) / 4, min(1.0, b.links / n), b.text[-1] in ".!?:;\"”", i / (len(blocks) + 1), 1.0 if i == 0 else 0.0, min(int(deep), 12) / 10)
 
     def path_slots(self) -> list[list[int]]:
         """Of each block the slots of its whole path."""
         held: list[list[int]] = []
         for n, own in zip(self.around.tolist(), self.slots):
             held.append((held[n] if n >= 0 else []) + own)
-        return [held[n] if n >= 0 and held[n] else [0] for n in self.node.tolist()]
+        return [held[n] if n >= 0 else [0] for n in self.node.tolist()]
 
 
 def _sums(slots: list[list[int]], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,28 +266,29 @@ def _means(slots: list[list[int]], table: np.ndarray) -> np.ndarray:
     return (out / np.maximum(n, 1)[:, None]).astype(np.float32)
 
 
-def _path_means(pages: list[Read], table: np.ndarray) -> np.ndarray:
-    """Means over whole paths: sums go from each node to those within it, so that deep pages cost no more than their nodes."""
+def _path_sums(pages: list[Read], table: np.ndarray) -> np.ndarray:
+    """Sums over the distinct slots of whole paths, so that neutral wrappers add little and take nothing away.
+
+    Sums go from each node to those within it: deep pages cost no more than their nodes.
+    """
     starts = np.cumsum([0, *(len(r.around) for r in pages)])
     around = np.concatenate([np.where(r.around < 0, -1, r.around + s) for r, s in zip(pages, starts)])
     depth = np.concatenate([r.depth for r in pages])
-    sums, n = _sums([x for r in pages for x in r.slots], table)
+    sums, _ = _sums([x for r in pages for x in r.slots], table)
     order = np.argsort(depth, kind="stable")
     ends = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
     for a, b in zip(ends, ends[1:]):  # one step for each depth
         at = order[a:b]
         sums[at] += sums[around[at]]
-        n[at] += n[around[at]]
     node = np.concatenate([np.where(r.node < 0, -1, r.node + s) for r, s in zip(pages, starts)])
-    bare = (node < 0) if not len(n) else (node < 0) | (n[node] == 0)
     out = np.tile(table[0].astype(np.float32), (len(node), 1))
-    out[~bare] = (sums[node[~bare]] / n[node[~bare], None]).astype(np.float32)
-    return out
+    out[node >= 0] = sums[node[node >= 0]]
+    return out * PATH_SCALE
 
 
 def _vectors(p: dict, pages: list[Read]) -> np.ndarray:
     """Of all the pages' blocks, one after another."""
-    return np.hstack([_path_means(pages, p["paths"]), _means([x for r in pages for x in r.words], p["words"]), np.concatenate([r.numbers for r in pages])])
+    return np.hstack([_path_sums(pages, p["paths"]), _means([x for r in pages for x in r.words], p["words"]), np.concatenate([r.numbers for r in pages])])
 
 
 def _run(p: dict, vectors: list[np.ndarray], keep: bool = False):
@@ -297,23 +316,25 @@ BAD_NAMES = {
     "comments": "comments comment comment-list replies responses discussion disqus reader-comments user-comments thread".split(),
     "share": "share social social-links sharing share-buttons author-bio byline-links tags tag-list meta-links".split(),
 }
+NEUTRAL_NAMES = "wrap wrapper container inner outer row col column grid box layout page site section block group cell region flex area holder root app".split()
 GOOD_NAMES = "content article post entry story main body text article-body post-content entry-content main-content page-content blog-post single prose".split()
 
 
-def example(rng: np.random.Generator) -> tuple[str, list[bool]]:
+def example(seeds: np.random.Generator) -> tuple[str, list[bool]]:
     """A page and, for each of its blocks in order, whether it is content."""
-    pick = lambda *x: x[rng.integers(len(x))]
-    any_of = lambda x: x[rng.integers(len(x))]
+    rng = random.Random(int(seeds.integers(2**62)))
+    any_of, between = rng.choice, rng.randrange
+    pick = lambda *x: rng.choice(x)
     chance = lambda p: rng.random() < p
     syllables = "an er the on in re ti es or ly wh ou nd st qu ai eau ment en sch ung keit lich ción ado mente los der et de la".split()
     made: list[str] = []
     marks: list[bool] = []
 
     def word() -> str:
-        return "".join(syllables[i] for i in rng.integers(0, len(syllables), rng.integers(1, 5)))
+        return "".join(rng.choices(syllables, k=between(1, 5)))
 
     def words(lo: int, hi: int, chrome: float = 0.0) -> str:
-        return " ".join(any_of(CHROME) if chance(chrome) else word() + pick("", "", "", "", ",", ".", "&amp;", "%%%") for _ in range(rng.integers(lo, hi))).capitalize()
+        return " ".join(any_of(CHROME) if chance(chrome) else word() + pick("", "", "", "", ",", ".", "&amp;", "%%%") for _ in range(between(lo, hi))).capitalize()
 
     def sentence(lo: int = 3, hi: int = 40) -> str:
         return words(lo, hi) + pick(".", ".", ".", "")
@@ -330,6 +351,19 @@ def example(rng: np.random.Generator) -> tuple[str, list[bool]]:
     def closed(tag: str) -> None:
         made.append(f"</{tag}>")
 
+    def wrapped() -> list[str]:
+        """Elements that say nothing, mostly none or a few, one in another: plain, neutrally named, or named by chance."""
+        n = pick(0, 0, 0, 1, 1, 2, 3, between(3, 13))
+        out = []
+        for _ in range(n):
+            name = any_of([None, any_of(NEUTRAL_NAMES), any_of(NEUTRAL_NAMES), any_of(NEUTRAL_NAMES) + "-" + any_of(NEUTRAL_NAMES), word() + word()])
+            out.append(opened(pick("div", "div", "div", "div", "section"), [name] if name else None, 1.0))
+        return out
+
+    def unwrapped(tags: list[str]) -> None:
+        for tag in reversed(tags):
+            closed(tag)
+
     def list_of_links(n: int) -> None:
         made.append("<ul>")
         for _ in range(n):
@@ -338,46 +372,51 @@ def example(rng: np.random.Generator) -> tuple[str, list[bool]]:
         made.append("</ul>")
 
     def clutter(kind: str) -> None:
+        around = wrapped() if chance(0.3) else []
         bare = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind)
         semantic = bare is not None and chance(0.65)
         tag = opened(bare if semantic else pick("div", "section", "div"), BAD_NAMES[kind], 0.4 if semantic else 1.0)
         chrome = pick(0.0, 0.2, 0.6)
+        within = wrapped() if chance(0.3) else []
         if kind == "nav":
-            list_of_links(rng.integers(2, 8))
+            list_of_links(between(2, 8))
         elif kind == "comments":
             if chance(0.6):
                 block(pick("h2", "h3"), words(1, 4, 0.6), False)
-            for _ in range(rng.integers(1, 5)):
+            for _ in range(between(1, 5)):
                 inner = opened(pick("div", "li", "article"), ["comment", "reply", "comment-body"], 0.8)
                 if chance(0.5):
                     block("div", words(1, 3), False, ' class="author"')
-                for _ in range(rng.integers(1, 3)):
+                for _ in range(between(1, 3)):
                     block("p", sentence(3, 40), False)
                 closed(inner)
         elif kind == "form":
-            for _ in range(rng.integers(1, 3)):
+            for _ in range(between(1, 3)):
                 block(pick("p", "button", "div", "legend"), words(1, 5, 0.6), False)
             made.append('<input type="text">')
         elif kind == "aside":
             if chance(0.6):
                 block(pick("h2", "h3", "h4"), words(1, 4, 0.4), False)
             if chance(0.5):
-                list_of_links(rng.integers(2, 6))
+                list_of_links(between(2, 6))
             else:
-                for _ in range(rng.integers(1, 4)):
+                for _ in range(between(1, 4)):
                     block("p", sentence(3, 25), False)
         elif chance(0.5):
             made.append(("&copy; " if kind == "footer" else "") + words(2, 20, chrome))
             marks.append(False)
         else:
-            for _ in range(rng.integers(1, 4)):
+            for _ in range(between(1, 4)):
                 block(pick("p", "div", "p"), words(2, 25, chrome) if chance(0.6) else sentence(3, 25), False)
+        unwrapped(within)
         closed(tag)
+        unwrapped(around)
 
     made.append("<!DOCTYPE html><html><head>")
     if chance(0.9):
         block("title", words(2, 10), False)
     made.append("<style>p{margin:0}</style><script>var t='</p>';</script></head><body>")
+    site = wrapped()
     if chance(0.25):
         clutter("notice")
     for kind in ("header", "nav", "ad", "notice", "form"):
@@ -386,12 +425,17 @@ def example(rng: np.random.Generator) -> tuple[str, list[bool]]:
     outer = opened(pick("div", "main", "section"), ["page", "container", "wrapper", "main", "layout"], 0.8) if chance(0.5) else None
     if outer and chance(0.25):
         clutter(pick("aside", "nav", "ad"))
+    around = wrapped()
     body = opened(pick("article", "article", "article", "main", "div"), GOOD_NAMES, 0.5) if chance(0.75) else opened("div", GOOD_NAMES, 1.0)
     inner = opened(pick("div", "section"), GOOD_NAMES, 1.0) if chance(0.25) else None
     if chance(0.85):
         block(pick("h1", "h1", "h2"), sentence(2, 14), True)
+    within = wrapped()
     for _ in range(pick(0, 1, 2, 3, 4, 6, 9, 14, 25)):
         r = rng.random()
+        if chance(0.05):  # wrappers end and others begin amid the article
+            unwrapped(within)
+            within = wrapped()
         if r < 0.6:
             block("p", sentence(1, 60), True, end=chance(0.9))
         elif r < 0.7:
@@ -400,7 +444,7 @@ def example(rng: np.random.Generator) -> tuple[str, list[bool]]:
             block(pick("h2", "h3"), sentence(1, 8), True)
         elif r < 0.83:
             made.append(tag := pick("<ul>", "<ol>"))
-            for _ in range(rng.integers(1, 5)):
+            for _ in range(between(1, 5)):
                 block("li", sentence(1, 15), True)
             made.append(tag.replace("<", "</"))
         elif r < 0.88:
@@ -418,6 +462,7 @@ def example(rng: np.random.Generator) -> tuple[str, list[bool]]:
             block("p", f'{words(2, 10)} <a href="#">{words(1, 4)}</a> {sentence(2, 10)}', True)
         else:
             clutter(pick("ad", "share", "notice", "aside", "form"))
+    unwrapped(within)
     if chance(0.15):
         clutter("comments")
     if inner:
@@ -425,6 +470,7 @@ def example(rng: np.random.Generator) -> tuple[str, list[bool]]:
     if chance(0.15):
         clutter(pick("share", "aside", "comments", "form"))
     closed(body)
+    unwrapped(around)
     for kind in ("comments", "aside", "ad", "share", "form", "footer", "notice"):
         if chance(0.3 if kind != "footer" else 0.75):
             clutter(kind)
@@ -432,13 +478,14 @@ def example(rng: np.random.Generator) -> tuple[str, list[bool]]:
         closed(outer)
     if chance(0.3):
         clutter("footer")
+    unwrapped(site)
     if chance(0.7):
         made.append("</body></html>")
     return "".join(made), marks
 
 
 @functools.lru_cache(2)
-def trained(pages: int = 1500, epochs: int = 5, seed: int = 11) -> dict[str, np.ndarray]:
+def trained(pages: int = 2500, epochs: int = 7, seed: int = 12) -> dict[str, np.ndarray]:
     """The labeller's parameters, fitted on so many generated pages; deterministic."""
     rng = np.random.default_rng(seed)
     data = []
@@ -449,7 +496,7 @@ def trained(pages: int = 1500, epochs: int = 5, seed: int = 11) -> dict[str, np.
             data.append((Read(blocks), np.array(marks, np.float32)))
     width = EMBED + WORDS + NUMBERS
     p = {f"f_{n}": v for n, v in lstm.init(rng, width, HIDDEN).items()} | {f"r_{n}": v for n, v in lstm.init(rng, width, HIDDEN).items()}
-    p |= {"paths": rng.normal(0, 1.0, (PATH_SLOTS, EMBED)), "words": rng.normal(0, 0.3, (WORD_SLOTS, WORDS)), "out": rng.normal(0, 0.2, 2 * HIDDEN), "skip": np.zeros(width), "bias": np.zeros(1)}
+    p |= {"paths": rng.normal(0, 0.3, (PATH_SLOTS, EMBED)), "words": rng.normal(0, 0.3, (WORD_SLOTS, WORDS)), "out": rng.normal(0, 0.2, 2 * HIDDEN), "skip": np.zeros(width), "bias": np.zeros(1)}
     p = {n: v.astype(np.float32) for n, v in p.items()}
     adam = lstm.Adam()
     for epoch in range(epochs):
@@ -457,7 +504,8 @@ def trained(pages: int = 1500, epochs: int = 5, seed: int = 11) -> dict[str, np.
         order = rng.permutation(len(data))
         for i in range(0, len(order), 32):
             part = [data[j] for j in order[i : i + 32]]
-            z, x, mask, states, held = _run(p, [_vectors(p, [r]) for r, _ in part], keep=True)
+            ends = np.cumsum([len(m) for _, m in part])[:-1]
+            z, x, mask, states, held = _run(p, np.split(_vectors(p, [r for r, _ in part]), ends), keep=True)
             y = np.zeros_like(mask)
             for j, (_, marks) in enumerate(part):
                 y[: len(marks), j] = marks
@@ -465,12 +513,14 @@ def trained(pages: int = 1500, epochs: int = 5, seed: int = 11) -> dict[str, np.
             grads, in_f, in_r = lstm.both_back(held, d[:, :, None] * p["out"])
             dx = in_f @ p["f_x"].T + in_r @ p["r_x"].T + d[:, :, None] * p["skip"]
             flat = x.reshape(-1, width)
-            grads |= {"f_x": flat.T @ in_f.reshape(-1, 4 * HIDDEN), "r_x": flat.T @ in_r.reshape(-1, 4 * HIDDEN), "out": np.tensordot(states, d, ((0, 1), (0, 1))), "skip": flat.T @ d.ravel(), "bias": d.sum()[None], "paths": np.zeros_like(p["paths"]), "words": np.zeros_like(p["words"])}
-            for j, (r, _) in enumerate(part):
-                for name, slots, cut in (("paths", r.path_slots(), slice(0, EMBED)), ("words", r.words, slice(EMBED, EMBED + WORDS))):
-                    n = np.array([len(s) for s in slots])
-                    of = np.repeat(np.arange(len(slots)), n)
-                    np.add.at(grads[name], [s for q in slots for s in q], (dx[: len(slots), j, cut] / np.maximum(n, 1)[:, None])[of])
+            grads |= {"f_x": flat.T @ in_f.reshape(-1, 4 * HIDDEN), "r_x": flat.T @ in_r.reshape(-1, 4 * HIDDEN), "out": np.tensordot(states, d, ((0, 1), (0, 1))), "skip": flat.T @ d.ravel(), "bias": d.sum()[None]}
+            flat_d = np.concatenate([dx[: len(m), j] for j, (_, m) in enumerate(part)])
+            for name, slots, cut in (("paths", [q for r, _ in part for q in r.path_slots()], slice(0, EMBED)), ("words", [q for r, _ in part for q in r.words], slice(EMBED, EMBED + WORDS))):
+                n = np.array([len(q) for q in slots])
+                share = np.full(len(n), PATH_SCALE) if name == "paths" else 1 / np.maximum(n, 1)
+                at, size = np.array([v for q in slots for v in q], np.int64), len(p[name])
+                given = np.repeat(flat_d[:, cut] * share[:, None], n, axis=0)
+                grads[name] = np.stack([np.bincount(at, given[:, d], size) for d in range(given.shape[1])], 1).astype(np.float32)
             adam.step(p, grads)
     return p
 

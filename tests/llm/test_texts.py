@@ -55,11 +55,11 @@ def test_paths_hold_all_open_elements():
     other = html.leaves("x<p class='q r'>y")
     table = np.random.default_rng(1).normal(size=(html.PATH_SLOTS, 3))
     pages = [html.Read(deep), html.Read(other)]
-    plain = [table[[s for label in page.path(b) for s in html._paths[label]] or [0]].mean(0) for page in (deep, other) for b in page]
-    assert np.allclose(html._path_means(pages, table), plain, atol=1e-5)
-    assert [len(x) for x in pages[0].path_slots()] == [3 + 40 * 3 + 3, 3 + 40 * 3 + 4, 3 + 31 * 3]
+    plain = [table[list({s for label in page.path(b) for s in html._paths[label]} or {0})].sum(0) * html.PATH_SCALE for page in (deep, other) for b in page]
+    assert np.allclose(html._path_sums(pages, table), plain, atol=1e-5)
+    assert [len(x) for x in pages[0].path_slots()] == [3 + 3 + 1, 3 + 3 + 2, 3 + 3]
     very = html.Read(html.leaves("<div>" * 100_000 + "t" + "</div>t" * 100_000))
-    assert html._path_means([very], table).shape == (100_001, 3)
+    assert html._path_sums([very], table).shape == (100_001, 3)
 
 
 def test_main_text_is_that_of_the_article_blocks(spark):
@@ -71,6 +71,23 @@ def test_main_text_is_that_of_the_article_blocks(spark):
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def test_neutral_wrappers_lose_no_article(spark):
+    """Up to 200 elements that say nothing, around the article, in it, and around its paragraphs; and a page of 5 MB."""
+    title, one, two = "The title of it", "First paragraph says something about the matter at hand, in full.", "Second paragraph goes on and on about the same matter."
+    body, rows = f"<h1>{title}</h1><p>{one}</p><p>{two}</p>", []
+    for n in (0, 1, 2, 3, 4, 5, 8, 12, 20, 50, 200):
+        for open_ in ("<div>" * n, "<div class='wrap'>" * n, "".join(f"<div class='{c}'>" for c in ("site wrap row col inner-box grid xyz area".split() * n)[:n])):
+            end = "</div>" * n
+            rows.append(f"<body>{open_}<article>{body}</article>{end}</body>")
+            rows.append(f"<body><nav><ul><li><a href=x>Home</a></li></ul></nav><article>{open_}{body}{end}</article><footer>&copy; us</footer></body>")
+            rows.append(f"<body><article><h1>{title}</h1>{open_}<p>{one}</p><p>{two}</p>{end}</article></body>")
+    long = "<body><div><nav class=menu><a href=x>Home</a></nav><article><div class=row>" + f"<p>{one}</p>" * 75_000 + "</div></article></div></body>"
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate([*rows, long])], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert all(got[i] == f"{title}\n\n{one}\n\n{two}" for i in range(len(rows)))
+    assert got[len(rows)] == "\n\n".join([one] * 75_000)
+
+
 def test_labeller_on_pages_it_has_not_seen():
     p, rng = html.trained(), np.random.default_rng(77)
     right = total = 0
