@@ -8,14 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from partloom.functions.exprs import count_of
+from partloom.functions.exprs import c_integer, count_of
 
 # Words for a feature that is there, and for a value that is none.
 YES, NONE = "Y YES TRUE 1 PRESENT SUPPORTED".split(), ["", "NA", "N"]
 
 # Of each feature its name and the ways to count it, the first that gives a number wins:
 # first:A,B the first of the parameters that is a count; sum:A,B the sum of those that are; yes:A 1 for a word for yes;
-# flag:A 1 or 0 if the parameter is there at all; given:A 1 for a value other than none; cap:A 1 for a capability.
+# flag:A 1 or 0 if the parameter is there at all; given:A,x,y 1 for a value other than none, x and y; type:A 1 or, for none, 0;
+# absent:A 0 for none; sensed:A,B,c the count B or 1 if A or the capability c says so, else 0; cap:a 1 for a capability;
+# able:a a feature without a count for a capability. In a name, {} is the parameter's value; what follows | is the name for 0.
 PARAMETER_RULES = [
     ("Timer", "Timer/counter/PWM blocks", "first:TimerCounterPWM_Count sum:16Bit_TimerPWM_Count,32Bit_TimerPWM_Count sum:CCU4_Count,CCU8_Count"),
     ("ADCUnits", "ADC converter units", "first:SAR12_Count,ADC_Count"),
@@ -23,6 +25,9 @@ PARAMETER_RULES = [
     ("DAC", "DAC converter blocks", "first:DAC_Count sum:DAC8_Count,DAC12_Count,AudioDAC_Count"),
     ("IOs", "Selectable general-purpose I/O", "first:IO_Count"),
     ("Com", "Configurable serial communication blocks (SCB/USIC)", "first:SCB_Count,USIC_Count"),
+    ("UART", "UART supported by configurable serial blocks; simultaneous block count unknown", "able:uart"),
+    ("I2C", "I2C supported by configurable serial blocks; simultaneous block count unknown", "able:i2c"),
+    ("SPI", "SPI supported by configurable serial blocks; simultaneous block count unknown", "able:spi"),
     ("UART", "Dedicated UART-capable SCB channels", "first:SCB_uart_Count"),
     ("I2C", "Dedicated I2C-capable SCB channels", "first:SCB_I2C_Count"),
     ("SPI", "Dedicated SPI-capable SCB channels", "first:SCB_SPI_Count"),
@@ -37,6 +42,9 @@ PARAMETER_RULES = [
     ("COMP", "Analog comparators", "sum:LPComp_Count,Comp_Count,ACMP_Count"),
     ("OPAMP", "Operational amplifiers", "first:OpAmp_Count"),
     ("DMAChannels", "DMA channels; not DMA controller count", "sum:DMAchannels_count,DMACchannels_count,AXI_DMACchannels_count"),
+    ("USB", "USB {}|No USB controller", "type:USB_Type"),
+    ("USBD", "No USB device controller", "absent:USB_Type"),
+    ("USBH", "No USB host controller", "absent:USB_Type"),
     ("USBD", "USB device capability", "cap:usb_device"),
     ("USBH", "USB host capability", "cap:usb_host"),
     ("RTC", "Real-time clock", "cap:rtc"),
@@ -48,37 +56,43 @@ PARAMETER_RULES = [
     ("ETH", "EtherCAT controllers", "first:ECAT_Count"),
     ("Camera", "Video input interfaces", "first:Video-In_Count"),
     ("GLCD", "Video output interfaces", "first:Video-Out_Count"),
-    ("Crypto", "Hardware cryptography", "flag:Crypto"),
-    ("Security", "Security subsystem", "given:Security"),
-    ("Touch", "Capacitive sensing", "flag:CapSense cap:capsense"),
-    ("GLCD", "Direct-drive LCD", "flag:DirDriveLCD"),
-    ("ExtBus", "Serial memory interface (SMIF)", "flag:SMIF"),
+    ("Crypto", "Hardware cryptography|No hardware cryptography", "flag:Crypto"),
+    ("Security", "Infineon security subsystem: {}", "given:Security,None"),
+    ("Touch", "Infineon CAPSENSE|No CAPSENSE", "flag:CapSense cap:capsense"),
+    ("Touch", "Infineon inductive sensing|No inductive sensing", "sensed:IndSense,IndSense_Sensors,inductive"),
+    ("GLCD", "Direct-drive LCD|No direct-drive LCD", "flag:DirDriveLCD"),
+    ("ExtBus", "Serial memory interface (SMIF)|No SMIF", "flag:SMIF"),
     ("Math", "Hardware math units", "first:MATH_Count yes:MATH_Count"),
     ("CORDIC", "CORDIC accelerator", "first:CORDIC yes:CORDIC"),
     ("JPEG", "JPEG codec blocks", "first:JPEG_Count yes:JPEG_Count"),
     ("CXPI", "CXPI channels", "first:CXPI_Count yes:CXPI_Count"),
     ("MIPI", "MIPI interfaces", "first:MIPI_Count yes:MIPI_Count"),
     ("UDB", "Universal Digital Blocks", "first:UDB_Count yes:UDB_Count"),
-    ("FlexRay", "FlexRay supported", "given:FLEXRAY"),
-    ("Bluetooth", "Bluetooth", "given:Bluetooth"),
+    ("FlexRay", "FlexRay supported", "given:FLEXRAY,0"),
+    ("Bluetooth", "Bluetooth {}", "given:Bluetooth,0"),
 ]
-# Macros of a target's header; on:A 1 for a macro other than 0, mark:A,B a feature without a count.
-MACRO_RULES = [
-    ("GPIOPadCount", "SoC GPIO pad total; not module-exposed usable GPIO", "first:SOC_GPIO_PIN_COUNT"),
-    ("UART", "UART controllers", "first:SOC_UART_NUM"),
-    ("SPIPeripheralTotal", "Internal SPI peripheral total", "first:SOC_SPI_PERIPH_NUM"),
-    ("I2C", "I2C controllers including HP/LP domains", "first:SOC_I2C_NUM"),
-    ("I2S", "I2S controllers including HP/LP domains", "first:SOC_I2S_NUM"),
-    ("CAN", "TWAI/CAN controllers", "first:SOC_TWAI_CONTROLLER_NUM"),
-    ("USBOTG", "USB OTG controllers", "first:SOC_USB_OTG_PERIPH_NUM"),
-    ("ADCUnits", "ADC converter units", "first:SOC_ADC_PERIPH_NUM"),
-    ("LEDPWM", "LEDC PWM timers", "first:SOC_LEDC_TIMER_NUM"),
-    ("MCPWM", "Motor-control PWM groups", "first:SOC_MCPWM_GROUPS"),
-    ("TimerOther", "General-purpose timer supported", "mark:SOC_GPTIMER_SUPPORTED"),
+# Capabilities that the rules know, or that begin so, are no vendor capabilities of their own.
+KNOWN_CAPABILITIES = "adc capsense comp dma i2c i2s i3c lin spi uart can ethernet rtc rng usb_device usb_host sdhc sdio qspi std_crypto npu jpeg opamp lptimer low_power mcu_gp multi_core hal smart_io flash sram".split()
+KNOWN_BEGINNINGS = "flash_|sram_|cat|psoc|xmc"
+# Macros of a target's header; macro:A its value as an integer, on:A 1 for a macro other than 0, mark:A,B a feature without a count.
+MACRO_COUNTS = [
+    ("GPIOPadCount", "SoC GPIO pad total; not module-exposed usable GPIO", "macro:SOC_GPIO_PIN_COUNT"),
+    ("UART", "UART controllers", "macro:SOC_UART_NUM"),
+    ("SPIPeripheralTotal", "Internal SPI peripheral total; Product Selector SPI count uses different semantics", "macro:SOC_SPI_PERIPH_NUM"),
+    ("I2C", "I2C controllers including HP/LP domains", "macro:SOC_I2C_NUM"),
+    ("I2S", "I2S controllers including HP/LP domains", "macro:SOC_I2S_NUM"),
+    ("CAN", "TWAI/CAN controllers", "macro:SOC_TWAI_CONTROLLER_NUM"),
+    ("USBOTG", "USB OTG controllers", "macro:SOC_USB_OTG_PERIPH_NUM"),
+    ("ADCUnits", "ADC converter units", "macro:SOC_ADC_PERIPH_NUM"),
+    ("LEDPWM", "LEDC PWM timers", "macro:SOC_LEDC_TIMER_NUM"),
+    ("MCPWM", "Motor-control PWM groups", "macro:SOC_MCPWM_GROUPS"),
+]
+MACRO_ENGINES = [
     ("SysTimer", "System timer", "on:SOC_SYSTIMER_SUPPORTED"),
-    ("DMA", "DMA engine present", "mark:SOC_GDMA_SUPPORTED,SOC_AHB_GDMA_SUPPORTED,SOC_AXI_GDMA_SUPPORTED,SOC_DW_GDMA_SUPPORTED,SOC_CP_DMA_SUPPORTED"),
+    ("DMA", "DMA engine present; controller/channel count not exposed by soc_caps.h", "mark:SOC_GDMA_SUPPORTED,SOC_AHB_GDMA_SUPPORTED,SOC_AXI_GDMA_SUPPORTED,SOC_DW_GDMA_SUPPORTED,SOC_CP_DMA_SUPPORTED"),
     ("DMA2D", "2D DMA accelerator", "on:SOC_DMA2D_SUPPORTED"),
-    ("Crypto", "Hardware cryptography", "on:SOC_AES_SUPPORTED,SOC_SHA_SUPPORTED,SOC_RSA_SUPPORTED,SOC_HMAC_SUPPORTED,SOC_ECDSA_SUPPORTED,SOC_DS_SUPPORTED"),
+]
+MACRO_BLOCKS = [
     ("RNG", "Hardware random number generator", "on:SOC_RNG_SUPPORTED"),
     ("USB", "USB Serial/JTAG controller", "on:SOC_USB_SERIAL_JTAG_SUPPORTED"),
     ("SDIO", "SD/MMC host", "on:SOC_SDMMC_HOST_SUPPORTED"),
@@ -89,6 +103,12 @@ MACRO_RULES = [
     ("LEDPWM", "LEDC PWM controller", "on:SOC_LEDC_SUPPORTED"),
     ("MCPWM", "Motor-control PWM controller", "on:SOC_MCPWM_SUPPORTED"),
 ]
+# Hardware timers by target, with their source; what stands for them elsewhere; the parts of cryptography.
+TIMER_COUNTS = {"esp32": 4, "esp32c2": 1, "esp32c3": 2, "esp32c5": 2, "esp32c6": 2, "esp32c61": 2, "esp32h2": 2, "esp32h21": 2, "esp32h4": 2, "esp32s2": 4, "esp32s3": 4, "esp32s31": 4}
+TIMERS, TIMER_SOURCE = "General-purpose hardware timers from timer-group register instances", "timer_group_struct.h:instances*hw_timer[]"
+TIMER_MARK = ("TimerOther", "General-purpose timer supported; comparable timer count is not exposed by soc_caps.h", "mark:SOC_GPTIMER_SUPPORTED")
+CRYPTO = [("SOC_AES_SUPPORTED", "AES"), ("SOC_SHA_SUPPORTED", "SHA"), ("SOC_RSA_SUPPORTED", "RSA"), ("SOC_HMAC_SUPPORTED", "HMAC"), ("SOC_ECDSA_SUPPORTED", "ECDSA"), ("SOC_DS_SUPPORTED", "Digital Signature")]
+CRYPTO_SOURCE = "soc_caps crypto support macros"
 NO_FPU_TARGETS = "esp32c2 esp32c3 esp32c5 esp32c6 esp32c61 esp32h2 esp32h21 esp32s2".split()
 # What a description says: count before the label (N x UART), 1 if a pattern is met, or a mark without a count.
 DESCRIPTION_COUNTS = ["UART", "SPI", "I2C", "I2S"]
@@ -132,30 +152,70 @@ def sum_counts(parameters: Column, names: list[str]) -> Column:
 def _way(how: str, parameters: Column, capabilities: Column) -> Column:
     kind, names = how.split(":")[0], how.split(":")[1].split(",")
     value = parameters[names[0]]
-    one = lambda hit, n=1, source=None: F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(n).cast("bigint").alias("n"), (F.lit(names[0]) if source is None else source).alias("source")))
+    none = F.coalesce(value, F.lit("")).isin(*NONE)
+    found = lambda n, source=None: F.struct((n if isinstance(n, Column) else F.lit(n)).cast("bigint").alias("n"), (F.lit(names[0]) if source is None else source).alias("source"))
+    one = lambda hit, n=1, source=None: F.when(F.coalesce(hit, F.lit(False)), found(n, source))
+    capable = lambda c: F.array_contains(capabilities, c)
     if kind == "first":
         return first_count(parameters, names)
     if kind == "sum":
         return sum_counts(parameters, names)
+    if kind == "macro":
+        return one(c_integer(value).isNotNull(), c_integer(value))
     if kind == "yes":
         return one(yes(value))
     if kind == "flag":
         return F.coalesce(one(yes(value)), one(value.isNotNull(), 0))
     if kind == "given":
-        return one(~F.coalesce(value, F.lit("")).isin(*NONE, "0", "None"))
-    if kind == "cap":
-        return one(F.array_contains(capabilities, names[0]), source=F.lit(f"capability:{names[0]}"))
-    on = F.filter(F.array(*map(F.lit, names)), lambda n: ~F.coalesce(parameters[n], F.lit("0")).isin("", "0"))
+        return one(~F.coalesce(value, F.lit("")).isin(*NONE, *names[1:]))
+    if kind == "type":
+        return one(value.isNotNull(), F.when(none, 0).otherwise(1))
+    if kind == "absent":
+        return one(value.isNotNull() & none, 0)
+    if kind == "sensed":
+        held = F.coalesce(F.nullif(count_of(parameters[names[1]]), F.lit(0).cast("bigint")), F.lit(1))
+        return one(value.isNotNull() | capable(names[2]), F.when(yes(value) | capable(names[2]), held).otherwise(0))
+    if kind in ("cap", "able"):
+        return one(capable(names[0]), 1 if kind == "cap" else None, F.lit(f"DeviceCapabilities:{names[0]}"))
+    on = F.filter(F.array(*map(F.lit, names)), lambda n: enabled(parameters[n]))
     return one(F.size(on) > 0, None if kind == "mark" else 1, F.array_join(on, "+"))
 
 
+def enabled(macro: Column) -> Column:
+    return ~F.coalesce(macro, F.lit("0")).isin("", "0")
+
+
+def _feature(kind: Column | str, name: Column, n: Column, source: Column) -> Column:
+    return F.struct((kind if isinstance(kind, Column) else F.lit(kind)).alias("type"), name.alias("name"), n.cast("bigint").alias("count"), source.alias("source_parameter"))
+
+
 def features_of(parameters: Column, capabilities: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The features (type, name, count, source_parameter) that a map of parameters and a list of capabilities give by a rule table."""
-    each = []
-    for kind, name, ways in rules:
-        found = F.coalesce(*[_way(how, parameters, capabilities) for how in ways.split()])
-        each.append(F.when(found.isNotNull(), F.struct(F.lit(kind).alias("type"), F.lit(name).alias("name"), found["n"].alias("count"), found["source"].alias("source_parameter"))))
-    return F.array_compact(F.array(*each))
+    labels = [(name.split("|") + [None])[:2] for _, name, _ in rules]
+    texts = lambda given: F.array(*[F.lit(x).cast("string") for x in given])
+    kinds, some, none = texts([kind for kind, _, _ in rules]), texts([x.removesuffix("{}") for x, _ in labels]), texts([x for _, x in labels])
+    values = F.array(*[parameters[ways.split(":")[1].split(",")[0]] if x.endswith("{}") else F.lit(None).cast("string") for (x, _), (_, _, ways) in zip(labels, rules)])
+    found = F.array(*[F.coalesce(*[_way(how, parameters, capabilities) for how in ways.split()]) for _, _, ways in rules])
+    label = lambda x, i: F.when((x["n"] == 0) & F.get(none, i).isNotNull(), F.get(none, i)).otherwise(F.concat(F.get(some, i), F.coalesce(F.get(values, i), F.lit(""))))
+    return F.array_compact(F.transform(found, lambda x, i: F.when(x.isNotNull(), _feature(F.get(kinds, i), label(x, i), x["n"], x["source"]))))
+
+
+def parameter_features(parameters: Column, capabilities: Column) -> Column:
+    """All features of a device's parameters and capabilities; capabilities that no rule knows follow, sorted."""
+    own = F.filter(F.array_sort(F.array_distinct(capabilities)), lambda c: ~c.isin(*KNOWN_CAPABILITIES) & ~c.rlike(f"^(?:{KNOWN_BEGINNINGS})"))
+    vendor = F.transform(own, lambda c: _feature("VendorCapability", F.concat(F.lit("Infineon capability: "), c), F.lit(1), F.concat(F.lit("DeviceCapabilities:"), c)))
+    return F.concat(features_of(parameters, capabilities, PARAMETER_RULES), vendor)
+
+
+def macro_features(macros: Column, target: Column) -> Column:
+    """All features of a target's header macros: a known timer count of the target excludes the mark for timers."""
+    by_table = lambda rules: features_of(macros, F.array().cast("array<string>"), rules)
+    timers = F.try_element_at(F.create_map(*[F.lit(x) for pair in TIMER_COUNTS.items() for x in pair]), target)
+    timer = F.when(timers.isNotNull(), F.array(_feature("Timer", F.lit(TIMERS), timers, F.lit(TIMER_SOURCE)))).otherwise(by_table([TIMER_MARK]))
+    parts = F.array_compact(F.array(*[F.when(enabled(macros[m]), F.lit(label)) for m, label in CRYPTO]))
+    crypto = F.array_compact(F.array(F.when(F.size(parts) > 0, _feature("Crypto", F.concat(F.lit("Hardware cryptography: "), F.array_join(parts, ", ")), F.lit(1), F.lit(CRYPTO_SOURCE)))))
+    vendor = F.array(_feature("VendorCapability", F.concat(F.lit("ESP-IDF target: "), target), F.lit(1), F.concat(F.lit("IDF_TARGET_"), F.upper(target))))
+    return F.concat(by_table(MACRO_COUNTS), timer, by_table(MACRO_ENGINES), crypto, by_table(MACRO_BLOCKS), vendor)
 
 
 def described(text: Column) -> Column:

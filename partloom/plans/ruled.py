@@ -7,6 +7,7 @@ from partloom.operators import rules
 from .catalog import query
 
 _shown = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws("=", x["type"], F.coalesce(x["count"].cast("string"), F.lit("?")))), ";")
+_whole = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws("|", x["type"], x["name"], F.coalesce(x["count"].cast("string"), F.lit("?")), x["source_parameter"])), ";")
 _PARAMETERS = {
     "IO_Count": "CAST(p_size AS VARCHAR)",
     "SAR12_Count": "CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'NA' WHEN 2 THEN '2.5' ELSE '3' END",
@@ -18,27 +19,51 @@ _PARAMETERS = {
     "CAN_Count": "'9'",
     "Crypto": "CASE p_partkey % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' END",
     "CORDIC": "CASE p_partkey % 4 WHEN 0 THEN 'yes' WHEN 1 THEN '2' WHEN 2 THEN 'no' ELSE '' END",
-    "Bluetooth": "CASE WHEN p_partkey % 6 = 0 THEN 'BLE 5' ELSE 'NA' END",
+    "Bluetooth": "CASE p_partkey % 6 WHEN 0 THEN '5' WHEN 1 THEN '0' WHEN 2 THEN 'None' ELSE 'NA' END",
+    "FLEXRAY": "CASE p_partkey % 4 WHEN 0 THEN 'None' WHEN 1 THEN '0' END",
+    "Security": "CASE p_partkey % 4 WHEN 0 THEN '0' WHEN 1 THEN 'None' WHEN 2 THEN 'SHE' END",
+    "USB_Type": "CASE p_partkey % 3 WHEN 0 THEN 'NA' WHEN 1 THEN 'HS' END",
+    "CapSense": "CASE p_partkey % 4 WHEN 0 THEN 'Y' WHEN 1 THEN '' END",
+    "IndSense": "CASE p_partkey % 5 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' END",
+    "IndSense_Sensors": "CASE WHEN p_partkey % 2 = 0 THEN '0' ELSE '6' END",
+    "SMIF": "'N'",
 }
 _map = lambda given: F.map_filter(F.create_map(*[x for k, sql in given.items() for x in (F.lit(k), F.expr(sql.replace("VARCHAR", "string")))]), lambda k, v: v.isNotNull())
 
 
+_CAPABILITIES = {"rtc": 2, "npu": 7, "uart": 3, "capsense": 6, "inductive": 11, "zeta": 5, "alpha": 4, "cat1a": 2, "sram_64": 2}
+
+
 @query("""
-SELECT p_partkey, concat_ws(';',
-  'Timer=' || CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN '6' WHEN p_partkey % 3 = 0 THEN '4' WHEN p_partkey % 2 = 0 THEN '2' ELSE '7' END,
-  'ADCUnits=' || CASE WHEN p_partkey % 4 = 3 THEN '3' ELSE '1' END, 'IOs=' || CAST(p_size AS VARCHAR), 'CAN=' || CASE WHEN p_partkey % 5 = 0 THEN '2' ELSE '9' END,
-  CASE WHEN p_partkey % 2 = 0 THEN 'RTC=1' END, CASE WHEN p_partkey % 7 = 0 THEN 'NPU=1' END, CASE p_partkey % 3 WHEN 0 THEN 'Crypto=1' WHEN 1 THEN 'Crypto=0' END,
-  CASE p_partkey % 4 WHEN 0 THEN 'CORDIC=1' WHEN 1 THEN 'CORDIC=2' END, CASE WHEN p_partkey % 6 = 0 THEN 'Bluetooth=1' END) AS features,
-  CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN '16Bit_TimerPWM_Count+32Bit_TimerPWM_Count' WHEN p_partkey % 3 = 0 THEN '16Bit_TimerPWM_Count' WHEN p_partkey % 2 = 0 THEN '32Bit_TimerPWM_Count' ELSE 'CCU4_Count' END AS timer_source
-FROM part""")
+WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part)
+SELECT k AS p_partkey, concat_ws(';',
+  CASE WHEN k % 6 = 0 THEN 'Timer|Timer/counter/PWM blocks|6|16Bit_TimerPWM_Count+32Bit_TimerPWM_Count' WHEN k % 3 = 0 THEN 'Timer|Timer/counter/PWM blocks|4|16Bit_TimerPWM_Count' WHEN k % 2 = 0 THEN 'Timer|Timer/counter/PWM blocks|2|32Bit_TimerPWM_Count' ELSE 'Timer|Timer/counter/PWM blocks|7|CCU4_Count' END,
+  'ADCUnits|ADC converter units|' || CASE WHEN k % 4 = 3 THEN '3|SAR12_Count' ELSE '1|ADC_Count' END, 'IOs|Selectable general-purpose I/O|' || s || '|IO_Count',
+  CASE WHEN k % 3 = 0 THEN 'UART|UART supported by configurable serial blocks; simultaneous block count unknown|?|DeviceCapabilities:uart' END,
+  'CAN|CAN/CAN FD channels|' || CASE WHEN k % 5 = 0 THEN '2|CAN20B_Count' ELSE '9|CAN_Count' END,
+  CASE k % 3 WHEN 0 THEN 'USB|No USB controller|0|USB_Type;USBD|No USB device controller|0|USB_Type;USBH|No USB host controller|0|USB_Type' WHEN 1 THEN 'USB|USB HS|1|USB_Type' END,
+  CASE WHEN k % 2 = 0 THEN 'RTC|Real-time clock|1|DeviceCapabilities:rtc' END, CASE WHEN k % 7 = 0 THEN 'NPU|Neural processing unit|1|DeviceCapabilities:npu' END,
+  CASE k % 3 WHEN 0 THEN 'Crypto|Hardware cryptography|1|Crypto' WHEN 1 THEN 'Crypto|No hardware cryptography|0|Crypto' END,
+  CASE k % 4 WHEN 0 THEN 'Security|Infineon security subsystem: 0|1|Security' WHEN 2 THEN 'Security|Infineon security subsystem: SHE|1|Security' END,
+  CASE WHEN k % 4 = 0 THEN 'Touch|Infineon CAPSENSE|1|CapSense' WHEN k % 4 = 1 THEN 'Touch|No CAPSENSE|0|CapSense' WHEN k % 6 = 0 THEN 'Touch|Infineon CAPSENSE|1|DeviceCapabilities:capsense' END,
+  CASE WHEN k % 5 = 0 OR k % 11 = 0 THEN 'Touch|Infineon inductive sensing|' || CASE WHEN k % 2 = 0 THEN '1' ELSE '6' END || '|IndSense' WHEN k % 5 = 1 THEN 'Touch|No inductive sensing|0|IndSense' END,
+  'ExtBus|No SMIF|0|SMIF', CASE k % 4 WHEN 0 THEN 'CORDIC|CORDIC accelerator|1|CORDIC' WHEN 1 THEN 'CORDIC|CORDIC accelerator|2|CORDIC' END,
+  CASE WHEN k % 4 = 0 THEN 'FlexRay|FlexRay supported|1|FLEXRAY' END, CASE k % 6 WHEN 0 THEN 'Bluetooth|Bluetooth 5|1|Bluetooth' WHEN 2 THEN 'Bluetooth|Bluetooth None|1|Bluetooth' END,
+  CASE WHEN k % 4 = 0 THEN 'VendorCapability|Infineon capability: alpha|1|DeviceCapabilities:alpha' END, CASE WHEN k % 11 = 0 THEN 'VendorCapability|Infineon capability: inductive|1|DeviceCapabilities:inductive' END,
+  CASE WHEN k % 5 = 0 THEN 'VendorCapability|Infineon capability: zeta|1|DeviceCapabilities:zeta' END) AS features
+FROM p""")
 def parameter_features(t):
-    capabilities = F.array_compact(F.array(F.when(F.col("p_partkey") % 2 == 0, F.lit("rtc")), F.when(F.col("p_partkey") % 7 == 0, F.lit("npu"))))
-    found = t.part.select("p_partkey", rules.features_of(_map(_PARAMETERS), capabilities, rules.PARAMETER_RULES).alias("f"))
-    return found.select("p_partkey", _shown(F.col("f")).alias("features"), F.get(F.col("f.source_parameter"), 0).alias("timer_source"))
+    capabilities = F.array_compact(F.array(*[F.when(F.col("p_partkey") % n == 0, F.lit(c)) for c, n in _CAPABILITIES.items()]))
+    # out of a generator the map is made once for a row, not once for each rule that reads it
+    given = t.part.select("p_partkey", F.explode(F.array(F.struct(_map(_PARAMETERS).alias("parameters"), capabilities.alias("capabilities")))).alias("g"))
+    found = given.select("p_partkey", rules.parameter_features(F.col("g.parameters"), F.col("g.capabilities")).alias("f"))
+    return found.select("p_partkey", _whole(F.col("f")).alias("features"))
 
 
 _MACROS = {
-    "SOC_UART_NUM": "CAST(p_size % 4 AS VARCHAR)",
+    "SOC_UART_NUM": "CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size % 4 AS VARCHAR) ELSE '(0x3U)' END",
+    "SOC_GPTIMER_SUPPORTED": "'1'",
+    "SOC_DS_SUPPORTED": "CASE WHEN p_partkey % 7 = 0 THEN '1' END",
     "SOC_GDMA_SUPPORTED": "CASE WHEN p_partkey % 2 = 0 THEN '1' ELSE '0' END",
     "SOC_CP_DMA_SUPPORTED": "CASE WHEN p_partkey % 3 = 0 THEN '1' END",
     "SOC_AES_SUPPORTED": "CASE WHEN p_partkey % 5 = 0 THEN '1' END",
@@ -49,12 +74,19 @@ _MACROS = {
 
 
 @query("""
-SELECT p_partkey, concat_ws(';', 'UART=' || CAST(p_size % 4 AS VARCHAR), CASE WHEN p_partkey % 2 = 0 OR p_partkey % 3 = 0 THEN 'DMA=?' END, CASE WHEN p_partkey % 5 = 0 THEN 'Crypto=1' END, 'RMT=1') AS features,
-  CASE WHEN p_partkey % 4 = 0 THEN 'FPU' WHEN p_partkey % 3 <> 1 THEN 'NO_FPU' ELSE '' END AS fpu FROM part""")
+WITH p AS (SELECT p_partkey AS k, p_size AS s, ['esp32c3', 'esp32', 'esp32s2', 'esp32p4'][p_partkey % 4 + 1] AS target FROM part)
+SELECT k AS p_partkey, concat_ws(';', 'UART|UART controllers|' || CASE WHEN k % 2 = 0 THEN s % 4 ELSE 3 END || '|SOC_UART_NUM',
+  CASE WHEN k % 4 = 3 THEN 'TimerOther|General-purpose timer supported; comparable timer count is not exposed by soc_caps.h|?|SOC_GPTIMER_SUPPORTED'
+       ELSE 'Timer|General-purpose hardware timers from timer-group register instances|' || CASE WHEN k % 4 = 0 THEN 2 ELSE 4 END || '|timer_group_struct.h:instances*hw_timer[]' END,
+  CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN 'DMA|DMA engine present; controller/channel count not exposed by soc_caps.h|?|' || CASE WHEN k % 6 = 0 THEN 'SOC_GDMA_SUPPORTED+SOC_CP_DMA_SUPPORTED' WHEN k % 2 = 0 THEN 'SOC_GDMA_SUPPORTED' ELSE 'SOC_CP_DMA_SUPPORTED' END END,
+  CASE WHEN k % 35 = 0 THEN 'Crypto|Hardware cryptography: AES, Digital Signature|1|soc_caps crypto support macros' WHEN k % 5 = 0 THEN 'Crypto|Hardware cryptography: AES|1|soc_caps crypto support macros' WHEN k % 7 = 0 THEN 'Crypto|Hardware cryptography: Digital Signature|1|soc_caps crypto support macros' END,
+  'RMT|Remote control transceiver|1|SOC_RMT_SUPPORTED', 'VendorCapability|ESP-IDF target: ' || target || '|1|IDF_TARGET_' || upper(target)) AS features,
+  CASE WHEN k % 4 = 0 THEN 'FPU' WHEN k % 4 = 2 THEN 'NO_FPU' ELSE '' END AS fpu FROM p""")
 def macro_features(t):
-    target = F.element_at(F.array(*map(F.lit, ("esp32c3", "esp32", "esp32s2"))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    macros = _map(_MACROS)
-    return t.part.select("p_partkey", _shown(rules.features_of(macros, F.array().cast("array<string>"), rules.MACRO_RULES)).alias("features"), rules.fpu_of_target(macros, target).alias("fpu"))
+    target = F.element_at(F.array(*map(F.lit, ("esp32c3", "esp32", "esp32s2", "esp32p4"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    given = t.part.select("p_partkey", F.explode(F.array(F.struct(_map(_MACROS).alias("macros"), target.alias("target")))).alias("g"))
+    macros, target = F.col("g.macros"), F.col("g.target")
+    return given.select("p_partkey", _whole(rules.macro_features(macros, target)).alias("features"), rules.fpu_of_target(macros, target).alias("fpu"))
 
 
 @query("""
