@@ -208,3 +208,19 @@ def device_database(members: DataFrame) -> DataFrame:
     error = F.when(F.col("broken"), "not well-formed").when(F.col("base").isNull(), "missing exact part base/view.xml")
     good = lambda c: F.when(error.isNull(), c)
     return met.select("path", "version", good(number).alias("part_number"), F.get("p", 2).alias("domain"), F.get("p", 3).alias("database_family"), "source_path", "base_path", good(F.col("parameters")).alias("parameters"), good(F.col("capabilities")).alias("capabilities"), "base", error.alias("error"))
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Write (name, text) rows as files of these names into a folder; the number of files. A task that runs again writes the same."""
+    ship(rows.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, where = _opened(folder)
+        system.create_dir(where, recursive=True)
+        for b in batches:
+            for name, text in zip(b.column("name").to_pylist(), b.column("text").to_pylist()):
+                with system.open_output_stream(f"{where}/{name}") as f:
+                    f.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return rows.select("name", "text").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
