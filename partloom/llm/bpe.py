@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, prepare, without
+from .common import alone, free_name, keeps, prepare, without
 
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 1_024
 #: Pieces kept per Python worker (some 25 MB); the cache is emptied when full, which changes nothing but time.
@@ -68,10 +68,12 @@ class Cutter:
 
 
 _held: dict[int, tuple] = {}
+keeps("bpe", _held.clear)
 
 
 def _encoder(ranks, pattern: str) -> tuple:
-    """The worker's encoder for a broadcast rank table; kept while the worker lives."""
+    """The worker's encoder for a broadcast rank table; kept until the worker serves another operator."""
+    alone("bpe")
     if (key := hash((id(ranks.value), pattern))) not in _held:
         _held.clear()
         _held[key] = (PieceEncoder(ranks.value, pattern), Cutter(pattern), ranks)
@@ -172,6 +174,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", out:
 
     @F.arrow_udf(T.BinaryType())
     def together(rows: pa.Array) -> pa.Array:
+        alone("bpe decode")
         at = shared.value.__getitem__
         numbers, ends = rows.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.array(pc.fill_null(pc.list_value_length(rows), 0), np.int64))
         starts, null = np.append(0, ends[:-1]), rows.is_null().to_pylist()

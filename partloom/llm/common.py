@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,26 @@ from partloom.session import ship, written  # noqa: F401  written is for the ope
 ARROW_ROWS, ARROW_BYTES = 2000, "4m"
 
 
+_emptied: dict[str, Callable[[], None]] = {}
+_using = ""
+
+
+def keeps(owner: str, empty: Callable[[], None]) -> None:
+    """Name what an operator keeps in a Python worker beyond a task, and how it is emptied."""
+    _emptied[owner] = empty
+
+
+def alone(owner: str) -> None:
+    """Called in a task before an operator works: workers are used again by later stages, so what others keep is dropped."""
+    global _using
+    if owner != _using:
+        for name, empty in _emptied.items():
+            if name != owner:
+                empty()
+        gc.collect()
+        _using = owner
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches that Python tasks receive, and send them this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lookup_join, prepare, written
+from .common import alone, keeps, lookup_join, prepare, written
 
 #: 36 bands of 7 rows: two sets of similarity 0.8 miss each other in all of them with a chance of 2 in 10,000, of 0.85 one in a million.
 SHINGLE, BINS, BANDS, ROWS = 5, 256, 36, 7
@@ -58,6 +58,7 @@ class _Words(dict):
 
 
 _words = _Words()
+keeps("neardup", _words.clear)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -69,6 +70,7 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; the whole sequence is one if it is shorter."""
     if not words:
         return np.zeros(0, np.uint64)
+    alone("neardup")
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     if len(h) < size:
         return _mix(np.array([(h * _odd[: len(h)]).sum() + np.uint64(len(h))], np.uint64))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lstm
-from .common import prepare, without
+from .common import alone, prepare, without
 
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, STEP, HIDDEN, EMBED = 80, 40, 24, 16
@@ -348,6 +348,7 @@ def detect(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> DataF
     @F.arrow_udf(SPANS)
     def spans(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
+        alone("pii")
         return pa.array(find(texts.to_pylist(), shared.value), type=kind)
 
     return without(docs, out).withColumn(out, spans(F.col(text)))
