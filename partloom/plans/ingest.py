@@ -112,7 +112,7 @@ def streamed_refresh(t):
     for landed in (rows.withColumn("state", F.lit("old")), again):
         landed.write.mode("append").csv(f"{path}/files", header=True)
         refresh(t.spark, f"{path}/files", "id bigint, source string, state string", f"{path}/catalog", "source", f"{path}/progress").awaitTermination()
-    return latest(t.spark, f"{path}/catalog")
+    return latest(t.spark, f"{path}/catalog", "id bigint, source string, state string")
 
 
 FAMILY_XML = """<family Dfamily="F1" Dvendor="V:1"><processor Pname="c0" Dcore="Cortex-M4" Dclock="100"/><memory id="R1" size="0x100"/>
