@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from partloom.functions.exprs import cascade, known_sum, natural_key
-from partloom.operators import order, overrides, search
+from partloom.operators import order, overrides, paging, search, substring
 from partloom.sources.tables import loaded, sparse
 
 from .catalog import query
@@ -23,6 +23,48 @@ def search_ranked(t):
     return order.first_page(found, ranks, 120).select("p_partkey", "p_name", "p_brand", "p_size", "rank")
 
 
+WANTED = [" Widget ", "old", "d w", "#12", "zzz", "GADGET BRAND#3", "e"]
+
+
+@query(f"""
+WITH q(q) AS (VALUES {', '.join(f"('{w}')" for w in WANTED)}), t AS (SELECT p_partkey, lower(p_name || ' ' || p_brand || ' ' || p_type) AS text FROM part)
+SELECT q, p_partkey FROM q JOIN t ON contains(text, lower(trim(q)))""")
+def search_substring(t):
+    """Free-text queries answered by trigram postings; short ones by a scan."""
+    rows = t.part.select("p_partkey", search.search_text("p_name", "p_brand", "p_type").alias("text"))
+    held = substring.index(rows, "p_partkey", "text")
+    each = [substring.find(held, q).select(F.lit(q).alias("q"), "p_partkey") for q in WANTED]
+    out = each[0]
+    for e in each[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+@query(f"""
+WITH r AS (
+  SELECT p_partkey, row_number() OVER (ORDER BY coalesce(p_size, -1) DESC, {NATURAL.format("p_name")}, p_partkey) AS rank, count(*) OVER () AS n FROM part WHERE p_size >= 3)
+SELECT CASE WHEN rank <= 120 THEN 1 WHEN rank <= 320 THEN 2 WHEN rank <= 520 THEN 3 ELSE 9 END AS page, p_partkey, rank,
+       greatest(0, n - CASE WHEN rank <= 120 THEN 120 WHEN rank <= 320 THEN 320 WHEN rank <= 520 THEN 520 ELSE 1720 END) AS remaining
+FROM r WHERE rank <= 520 OR rank BETWEEN 1521 AND 1720""")
+def search_pages(t):
+    """Pages 1, 2, 3 and 9 of a stored search, with what remains after each."""
+    found = search.search(t.part.select("p_partkey", "p_name", "p_size"), F.col("p_name"), at_least=(F.col("p_size"), 3))
+    held = paging.publish(found, search.ranked(F.col("p_size"), F.col("p_name"), F.col("p_partkey")))
+    each = [paging.page(held, *paging.bounds_of(n)).select(F.lit(n).alias("page"), "p_partkey", "rank", "remaining") for n in (1, 2, 3, 9)]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
+@query(f"""
+WITH r AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY coalesce(p_size, -1) DESC, {NATURAL.format("p_name")}, p_partkey) AS rank FROM part)
+SELECT p_partkey, p_size FROM r WHERE rank BETWEEN 121 AND 320""")
+def search_following(t):
+    """The page after the first one of a search, by the keys of the last row that was seen."""
+    keys = t.part.select("p_partkey", "p_size", F.coalesce("p_size", F.lit(-1)).alias("score"), natural_key(F.col("p_name")).alias("natural"))
+    ranked = [(F.col("score"), True), (F.col("natural"), False), (F.col("p_partkey"), False)]
+    last = keys.orderBy(F.desc("score"), "natural", "p_partkey").limit(paging.FIRST).agg(F.max_by(F.struct("score", "natural", "p_partkey"), F.struct(-F.col("score"), "natural", "p_partkey")).alias("m")).first().m
+    return paging.following(keys, ranked, list(last), paging.MORE).select("p_partkey", "p_size")
+
+
 @query("""
 SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS n_returned, bool_or(lower(l_linestatus) = 'o') AS has_open
 FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_returnflag = 'R') >= 2""")

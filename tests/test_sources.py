@@ -180,3 +180,25 @@ def test_a_refresh_is_whole_or_absent(spark, tmp_path, monkeypatch):
     assert R.vacuum(spark, target, keep=1) > 0 and now() == sorted(third, key=str)
     assert not (tmp_path / "t/manifest/version=0").exists() and (tmp_path / "t/data/_batch=0").exists()  # x/y=z lives there
     assert len(list((tmp_path / "t/data/_batch=0").glob("_key=*"))) == 1
+
+
+def test_substrings_by_trigrams_are_those_of_a_scan(spark):
+    from partloom.operators import substring
+
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("abé ") for _ in range(rnd.randrange(0, 12))) for _ in range(200)] + [None, "", "ab", "aaaa", "a" * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key int, text string")
+    held = substring.index(rows, "key", "text")
+    for q in ("", " ", "a", "ab", "aab", "AAA", "é b", "bbbb", "abéa", "zzz"):
+        expected = [i for i, t in enumerate(texts) if not q.strip() or (t is not None and q.strip().lower() in t)]
+        assert sorted(r.key for r in substring.find(held, q).collect()) == expected, q
+
+
+def test_pages_of_nothing_and_past_the_end(spark):
+    from partloom.operators import paging
+
+    held = paging.publish(spark.range(0), [F.col("id")])
+    assert paging.page(held, 0, 5).count() == 0
+    held = paging.publish(spark.range(7), [F.desc("id")])
+    assert [(r.id, r.rank, r.remaining) for r in paging.page(held, 4, 5).orderBy("rank").collect()] == [(2, 5, 0), (1, 6, 0), (0, 7, 0)]
+    assert paging.page(held, 9, 5).count() == 0
