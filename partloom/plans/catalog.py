@@ -32,4 +32,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from . import aggregates, described, enrich, ingest, matching, merging, products, registers, ruled, scalars, selection, tooldb, validation  # noqa: E402, F401  they register their queries
+from . import aggregates, described, enrich, ingest, matching, merging, products, registers, ruled, scalars, selection, tooldb, validation, vendor_tables  # noqa: E402, F401  they register their queries
