@@ -128,6 +128,7 @@ WCH_CORES = [
     ("CH32F103|CH32F20", "Cortex-M3"), ("CH32H41", "QingKe V3F + QingKe V5F"), ("CH32V30[357]", "QingKe V4F"), ("CH32V208", "QingKe V4C"), ("CH32V203", "QingKe V4B"), ("CH32L103", "QingKe V4C"), ("CH32V103", "QingKe V3A"),
     ("CH32[VXM]0|CH641", "QingKe V2A/V2C"), ("CH32X|CH64[35]", "QingKe V4C"), ("CH57[13]", "QingKe V3A"), ("CH58[123]", "QingKe V4A"), ("CH59[12]", "QingKe V4C"),
 ]
+WCH_FPU, WCH_WHOLE = "CH32H41|CH32V30[357]", "CH561 CH563 CH567 CH568 CH569 CH641 CH643 CH645".split()
 AVR_LINES = {"DA": "AVR DA", "DB": "AVR DB", "DD": "AVR DD", "DU": "AVR DU", "EA": "AVR EA", "EB": "AVR EB", "LA": "AVR LA", "SD": "AVR SD"}
 LIFECYCLES = {"mass production": "active", "sample": "sampling", "nrnd": "nrnd", "eol": "eol", "replaced": "replaced"}
 VENDORS = {"STMicroelectronics International N.V.": "STMicroelectronics", "TexasInstruments": "Texas Instruments"}
@@ -287,6 +288,25 @@ def wch_core(part: Column) -> Column:
     return out
 
 
+def wch_architecture(part: Column) -> Column:
+    return F.when(F.upper(part).rlike("^(?:CH32F103|CH32F20)"), "Cortex-M3").otherwise("RISC-V")
+
+
+def wch_fpu(part: Column) -> Column:
+    """Whether the part's core has a floating-point unit."""
+    return F.upper(part).rlike(f"^(?:{WCH_FPU})")
+
+
+def wch_family(part: Column) -> Column:
+    return F.when(F.startswith(F.upper(part), F.lit("CH32")), "CH32").otherwise("CH")
+
+
+def wch_variant(part: Column) -> Column:
+    """The device's name: the part number without its last two characters, where it is that much longer than its series."""
+    whole = F.upper(part).isin(*WCH_WHOLE)
+    return F.when(whole, F.upper(part)).when(F.length(part) > F.length(wch_series(part)) + 2, F.substring(part, F.lit(1), F.length(part) - 2)).otherwise(part)
+
+
 def wch_series(part: Column) -> Column:
     up = F.upper(part)
     return F.coalesce(*[F.nullif(F.regexp_extract(up, p, 1), F.lit("")) for p in (r"^(CH32[A-Z]+\d{3})", r"^(CH\d{3})")], up)

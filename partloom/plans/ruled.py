@@ -134,3 +134,22 @@ def naming_rules(t):
     tree = rules.hierarchy(F.lit("mcu"), database, F.lit(""), F.lit("dev"))
     found = [rules.peripheral_type(n, F.lit("")), rules.product_type(F.lit(""), n), rules.family(n, g), rules.normalized_core(n), rules.wch_core(n), rules.wch_series(n), rules.avr_line(n, g, F.lit("AVR8")), rules.cpu_name(n), rules.lifecycle(n)]
     return rows.select("p_partkey", "name", *[c.alias(name) for name, c in zip(_OUT, found)], rules.package_pins(package).alias("pins"), tree["family"].alias("top"), tree["series"].alias("middle"))
+
+
+# part number, core, architecture, with an FPU, series, family, device name
+WCH = [
+    ("CH32F103C8T6", "Cortex-M3", "Cortex-M3", "no", "CH32F103", "CH32", "CH32F103C8"), ("ch32f203", "Cortex-M3", "Cortex-M3", "no", "CH32F203", "CH32", "ch32f203"), ("CH32H417", "QingKe V3F + QingKe V5F", "RISC-V", "yes", "CH32H417", "CH32", "CH32H417"), ("CH32V307VCT6", "QingKe V4F", "RISC-V", "yes", "CH32V307", "CH32", "CH32V307VC"),
+    ("CH32V208WB", "QingKe V4C", "RISC-V", "no", "CH32V208", "CH32", "CH32V208WB"), ("CH32V203C8T6", "QingKe V4B", "RISC-V", "no", "CH32V203", "CH32", "CH32V203C8"), ("CH32V003F4P6", "QingKe V2A/V2C", "RISC-V", "no", "CH32V003", "CH32", "CH32V003F4"), ("CH32X035G8", "QingKe V2A/V2C", "RISC-V", "no", "CH32X035", "CH32", "CH32X035G8"),
+    ("ch641", "QingKe V2A/V2C", "RISC-V", "no", "CH641", "CH", "CH641"), ("CH582M", "QingKe V4A", "RISC-V", "no", "CH582", "CH", "CH582M"), ("CH592FX9", "QingKe V4C", "RISC-V", "no", "CH592", "CH", "CH592F"), ("X1", "QingKe RISC-V", "RISC-V", "no", "X1", "CH", "X1"),
+]
+_wch_values = ", ".join(f"({i}, " + ", ".join(f"'{x}'" for x in r) + ")" for i, r in enumerate(WCH))
+
+
+@query(f"""
+WITH w(i, part_number, core, architecture, fpu, series, family, device_name) AS (VALUES {_wch_values})
+SELECT p_partkey, w.* EXCLUDE (i) FROM part JOIN w ON i = p_partkey % {len(WCH)}""")
+def wch_names(t):
+    """What follows from a part number of one vendor: core, architecture, FPU, series, family and device name."""
+    part = F.element_at(F.array(*[F.lit(r[0]) for r in WCH]), (F.col("p_partkey") % len(WCH) + 1).cast("int"))
+    rows, p = t.part.select("p_partkey", part.alias("part_number")), F.col("part_number")
+    return rows.select("p_partkey", "part_number", rules.wch_core(p).alias("core"), rules.wch_architecture(p).alias("architecture"), F.when(rules.wch_fpu(p), "yes").otherwise("no").alias("fpu"), rules.wch_series(p).alias("series"), rules.wch_family(p).alias("family"), rules.wch_variant(p).alias("device_name"))
