@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, lookup_join, prepare, written
+from .common import is_small, lookup_join, prepare, written
 
 #: Words of a window, and the share of an item's windows that makes a document a candidate.
 WINDOW, COVERAGE = 8, 0.5
@@ -116,10 +116,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     windows = parts[0]
     for p in parts[1:]:
         windows = windows.unionByName(p)
+    windows = written(windows)
     sizes = windows.groupBy("item_id", "reading").agg(F.countDistinct("len", "hash").alias("n_windows"))
     # one row per hash: what meets in the join with the documents does not depend on how many items share a window
     by_hash = windows.groupBy("reading", "len", "hash").agg(F.collect_set("item_id").alias("items"))
-    small = by_hash.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = is_small(by_hash)  # by rows and by bytes, as a hash may have many items
 
     raw = d.withColumn("key", F.xxhash64("doc_id", "text"))
     found = None
@@ -129,7 +130,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         hits = hits.join(F.broadcast(mine) if small else mine, "hash").select("key", "doc_id", F.lit(kind).alias("reading"), F.lit(n).alias("len"), "hash", F.explode("items").alias("item_id"))
         found = hits if found is None else found.unionByName(hits)
     found = found.groupBy("key", "doc_id", "item_id", "reading", "len", "hash").agg(F.lit(1).alias("one")).groupBy("key", "doc_id", "item_id", "reading").agg(F.count("*").alias("n_hits"))
-    tiny = F.broadcast(sizes) if small else sizes
+    tiny = F.broadcast(sizes) if is_small(sizes) else sizes
     both = found.join(tiny, ["item_id", "reading"]).withColumn("coverage", F.col("n_hits") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
     # one row a pair: what the template gave, else what the words gave
     is_plain = F.col("reading") == "folded"
@@ -144,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         return one_row(held.select(*columns, F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed")))
     held = written(held)
     slotted = theirs.select("item_id")
-    checked = held.filter("by_template").join(F.broadcast(slotted) if small else slotted, "item_id", "left_semi").select("key", "item_id").distinct()
+    checked = held.filter("by_template").join(F.broadcast(slotted) if is_small(slotted) else slotted, "item_id", "left_semi").select("key", "item_id").distinct()
     texts = written(lookup_join(raw, checked.select("key").distinct(), ["key"], "left_semi").groupBy("key").agg(F.first("text").alias("text")))
     met = occurs = None
     for reading, before in (("names", ANYWHERE), ("inside", INSIDE)):

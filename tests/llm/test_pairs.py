@@ -285,3 +285,16 @@ def test_decontamination_follows_brute_force(spark, docs_of):
     found = decontam.contaminated(docs_of(docs), spark.createDataFrame(bench, "item_id long, text string"))
     expected = plain_matches(docs, bench)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == expected and 40 < len(expected) < 120 * 14
+
+
+def test_decontamination_without_any_broadcast(spark, docs_of, monkeypatch):
+    """With a bound that nothing meets, every table is joined by a shuffle: the same rows."""
+    from partloom.llm import common
+
+    question = "A baker sells 12 loaves for 3 dollars each in the morning and 7 more at noon, how many dollars does the baker earn"
+    items = spark.createDataFrame([(1, question), (2, question), (3, "short one")], "item_id long, text string")
+    docs = docs_of([(1, "x " * 20 + question), (2, question.replace("12", "40")), (3, "nothing of it at all"), (4, None), (5, "a short one here")])
+    plain = sorted(map(tuple, decontam.contaminated(docs, items).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, decontam.contaminated(docs, items).collect())) == plain
+    assert {(r[0], r[1]) for r in plain} >= {(1, 1), (1, 2), (2, 1), (2, 2), (5, 3)}
