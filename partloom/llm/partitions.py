@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import blocks
-from .common import prepare, written
+from .common import prepare
 
 #: Rows that the model is fitted on: at least SAMPLE, and EACH for each partition; partitions at least and at most.
 SAMPLE, EACH, FEWEST, MOST = 8192, 64, 4, 256
