@@ -31,7 +31,6 @@ FEATURES = [
 OTHERS = "mpn name series cpu freq core flash sram rom package pins status temperature_range".split()
 COLUMNS = list(dict.fromkeys([*OTHERS, *[f[2] for f in FEATURES]]))
 MB, KB = 1024 * 1024, 1024
-SELECTOR = "https://products.espressif.com/#/product-comparison"
 DEVICE = "device_id string, product_line_id string, product_type string, architecture_class string, series string, product_line string, device_name string, generic_device_name string, variant_code string, core string, core_count bigint, max_clock_hz bigint, flash_bytes bigint, ram_bytes bigint, rom_bytes bigint, psram_bytes bigint, package string, pins bigint, lifecycle string"
 PART = "orderable_part_id string, device_id string, part_number string, suffix string, package string, temperature_range string, lifecycle string"
 FEATURE = "position int, type string, n string, name string, m string"
