@@ -120,10 +120,19 @@ FAMILY_XML = """<family Dfamily="F1" Dvendor="V:1"><processor Pname="c0" Dcore="
 <device Dname="D2"/></family>"""
 
 
-@query()
+@query("""
+WITH v(leaf, item, attribute, value, kind) AS (VALUES
+  ('D1A', 'c0', 'Pname', 'c0', 'processor'), ('D1A', 'c0', 'Dcore', 'Cortex-M4', 'processor'), ('D1A', 'c0', 'Dclock', NULL, 'processor'), ('D1A', 'c0', 'Dfpu', '1', 'processor'), ('D1A', 'R1', 'id', 'R1', 'memory'), ('D1A', 'R1', 'size', '0x200', 'memory'),
+  ('D1B', 'c0', 'Pname', 'c0', 'processor'), ('D1B', 'c0', 'Dcore', 'Cortex-M4', 'processor'), ('D1B', 'c0', 'Dclock', NULL, 'processor'), ('D1B', 'R1', 'id', 'R1', 'memory'), ('D1B', 'R1', 'size', '0x200', 'memory'),
+  ('D2', 'c0', 'Pname', 'c0', 'processor'), ('D2', 'c0', 'Dcore', 'Cortex-M4', 'processor'), ('D2', 'c0', 'Dclock', '100', 'processor'), ('D2', 'R1', 'id', 'R1', 'memory'), ('D2', 'R1', 'size', '0x100', 'memory'))
+SELECT leaf || '-' || p_partkey AS leaf, item, attribute, coalesce(value, CAST(p_size + 100 AS VARCHAR)) AS value, kind FROM part, v""")
 def xml_inheritance(t):
-    """Attributes of processors and memories that each leaf of a device tree ends up with."""
-    leaves = xml.device_leaves(t.spark.createDataFrame([(FAMILY_XML,)], "xml string"))
+    """Attributes of processors and memories that each leaf of a device tree ends up with; a tree for each part."""
+    family = F.lit(FAMILY_XML)
+    for name in ('"D1A"', '"D1B"', '"D2"'):
+        family = F.replace(family, F.lit(name), F.concat(F.lit(name[:-1] + "-"), F.col("p_partkey").cast("string"), F.lit('"')))
+    family = F.replace(family, F.lit('"120"'), F.concat(F.lit('"'), (F.col("p_size") + 100).cast("string"), F.lit('"')))
+    leaves = xml.device_leaves(t.part.select(family.alias("xml")))
     cpu = xml.inherited(leaves, "processor", xml.PROCESSOR, F.coalesce("x._Pname", F.lit(""))).withColumn("kind", F.lit("processor"))
     return cpu.unionByName(xml.inherited(leaves, "memory", xml.MEMORY, F.coalesce("x._id", "x._name", F.lit(""))).withColumn("kind", F.lit("memory")))
 
