@@ -63,11 +63,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind in angle brackets; n_chars follows the text. A null text stays null."""
-    spans = free_name(docs, "spans")
-    found = pii.detect(docs, out=spans)
-    text = pii.masked(F.col("text"), F.col(spans))
-    made = found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return made.select(*docs.columns)
+    return pii.replaced(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

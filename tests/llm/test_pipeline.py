@@ -59,3 +59,13 @@ def test_odd_rows_and_empty_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = written(stage(spark, empty, FOLDER))
     assert empty.count() == 0
+
+
+def test_personal_data_takes_one_python_worker_a_task(spark):
+    rows = [(1, "write to ann.lee@example.org or call +1 555 010 9999 now"), (2, "nothing here"), (3, None), (4, ""), (5, "from 10.0.0.1 and bob (at) example (dot) com, card 4111 1111 1111 1111"), (5, "again 10.0.0.1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    made = corpus_pipeline.personal_data_stage(spark, docs, FOLDER)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    found = pii.detect(docs, out="spans").withColumn("text", pii.masked(F.col("text"), F.col("spans")))
+    expected = sorted(map(tuple, found.select("doc_id", "text", F.length("text").cast("long")).collect()), key=str)
+    assert sorted(map(tuple, made.collect()), key=str) == expected and any("<EMAIL>" in str(r) for r in expected)
