@@ -30,8 +30,11 @@ WINDOW, COVERAGE = 8, 0.5
 # no repeated groups: Java matches them by recursion, which long runs overflow
 NUMBER = r"\d[\d.,:/]*(?<=\d)"
 CAPITALISED = r"\p{Lu}[\p{L}'’-]*+"
-#: What stands before a name: anywhere, or after a lower-case word.
-ANYWHERE, INSIDE = r"(?<![\p{L}\p{N}'’-])", r"(?<=\p{Ll}[,;:]? )"
+#: What stands before a name: anywhere, or after a lower-case word. Looked at only where a capital follows: Java would
+#: else look behind every character.
+ANYWHERE, INSIDE = r"(?=\p{Lu})(?<![\p{L}\p{N}'’-])", r"(?=\p{Lu})(?<=\p{Ll}[,;:]? )"
+#: What stands between words; the ranges are part of the classes after them and tell most characters sooner.
+BETWEEN = r"[^a-z0-9\p{L}\p{N}]+"
 #: Units that follow a number.
 UNITS = "km cm mm m kg g mg lb lbs oz l ml s ms min mins minutes minute h hr hrs hour hours day days week weeks month months year years km/h mph m/s kmh % percent usd eur gbp dollars dollar euros euro cents cent pounds pound miles mile feet foot ft inches inch yards yard meters meter metres metre liters liter litres litre gallons gallon degrees degree".split()
 NUM, NAMED, UNIT = "<n>", "<p>", "<u>"
@@ -48,7 +51,7 @@ def template(text: Column, before: str = ANYWHERE) -> Column:
     held = F.regexp_replace(held, NUMBER, f" {NUM} ")
     units = "|".join(sorted((u.replace("%", "%(?!%)") for u in UNITS), key=len, reverse=True))
     held = F.regexp_replace(held, rf"(?i){NUM} +(?:{units})(?![\p{{L}}\p{{N}}])", f"{NUM} {UNIT} ")
-    return F.filter(F.split(F.lower(held), r"[^\p{L}\p{N}<>]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(held), BETWEEN.replace("[^", "[^<>")), lambda w: w != "")
 
 
 def slots(text: Column, before: str = ANYWHERE) -> Column:
@@ -61,7 +64,7 @@ def slots(text: Column, before: str = ANYWHERE) -> Column:
 
 def folded(text: Column) -> Column:
     """The words of a text, lower-cased."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
 
 
 def solid(words: Column, at: Column, length: int) -> Column:

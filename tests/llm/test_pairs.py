@@ -298,3 +298,14 @@ def test_decontamination_without_any_broadcast(spark, docs_of, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, decontam.contaminated(docs, items).collect())) == plain
     assert {(r[0], r[1]) for r in plain} >= {(1, 1), (1, 2), (2, 1), (2, 2), (5, 3)}
+
+
+def test_names_are_looked_behind_at_capitals_only(spark):
+    """The patterns say what their plain spellings say, and test for a capital before they look behind."""
+    plain = {decontam.ANYWHERE: r"(?<![\p{L}\p{N}'’-])", decontam.INSIDE: r"(?<=\p{Ll}[,;:]? )"}
+    odd = ["Ann Lee’s Dr. O'Neil-Smith Ünder ǅ aB B", "x Ann, Bob; cc: Dd e² Ⅷ １２ 3,000.5 km/h 5 %", "-Ann 'Bob 9Carl _Dora é Éva Ábc 𝐀bc", "", None, "A B C D", "a A\nB a  B a. B", " Zed a: Zed a, Zed a; Zed"]
+    rows, t = spark.createDataFrame([(x,) for x in odd], "text string"), F.col("text")
+    for ours, theirs in plain.items():
+        assert ours.startswith(r"(?=\p{Lu})")
+        both = rows.select(decontam.template(t, ours), decontam.template(t, theirs), decontam.slots(t, ours), decontam.slots(t, theirs), decontam.folded(t), F.filter(F.split(F.lower(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+        assert all(r[0] == r[1] and r[2] == r[3] and r[4] == r[5] for r in both.collect())
