@@ -72,14 +72,15 @@ def solid(words: Column, at: Column, length: int) -> Column:
     return F.exists(F.slice(words, at + 1, length), lambda w: ~w.isin(NUM, NAMED, UNIT))
 
 
-def window_hashes(words: Column, length: int) -> Column:
-    """One hash for each window of `length` words."""
-    at = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - length + 1)).otherwise(F.array().cast("array<int>"))
+def windows_of(df: DataFrame, words: str, length: int, *columns: str) -> DataFrame:
+    """columns, at, hash: a row for each window of `length` words, with the place of its first word and one hash for all.
 
-    def one(i: Column) -> Column:
-        return F.xxhash64(F.slice(words, i, length))
-
-    return F.transform(at, one)
+    Rows and not an array of hashes: that takes a lambda, which copies each window and is not compiled.
+    """
+    last = F.size(words) - length
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    one = F.xxhash64(*[F.get(words, F.col("at") + k) for k in range(length)])
+    return df.withColumn("at", F.explode(places)).select(*columns, "at", one.alias("hash"))
 
 
 def one_row(found: DataFrame) -> DataFrame:
@@ -110,8 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         nothing = [F.lit(0).cast(kind).alias(c) for c, kind in (("n_windows", "long"), ("n_hits", "long"), ("coverage", "double"), ("n_slots", "long"), ("n_changed", "long"))]
         return d.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), *nothing).limit(0)
     parts = [
-        asked.filter((F.col("reading") == kind) & (F.col("len") == n))
-        .select("item_id", "reading", "words", F.posexplode(window_hashes(F.col("words"), n)).alias("at", "hash"))
+        windows_of(asked.filter((F.col("reading") == kind) & (F.col("len") == n)), "words", n, "item_id", "reading", "words")
         .filter(solid(F.col("words"), F.col("at"), n))
         .select("item_id", "reading", F.lit(n).alias("len"), "hash")
         for kind, n in kinds
@@ -128,7 +128,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     raw = d.withColumn("key", F.xxhash64("doc_id", "text"))
     found = None
     for kind, n in kinds:
-        hits = raw.select("key", "doc_id", readings[kind](F.col("text")).alias("words")).select("key", "doc_id", F.explode(window_hashes(F.col("words"), n)).alias("hash"))
+        hits = windows_of(raw.select("key", "doc_id", readings[kind](F.col("text")).alias("words")), "words", n, "key", "doc_id")
         mine = by_hash.filter((F.col("reading") == kind) & (F.col("len") == n)).select("hash", "items")
         hits = hits.join(F.broadcast(mine) if small else mine, "hash").select("key", "doc_id", F.lit(kind).alias("reading"), F.lit(n).alias("len"), "hash", F.explode("items").alias("item_id"))
         found = hits if found is None else found.unionByName(hits)
@@ -156,8 +156,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         pairs = checked.join(item_side, "item_id").join(texts.select("key", template(F.col("text"), before).alias("words"), slots(F.col("text"), before).alias("doc_slots")), "key")
         for n in sorted({n for kind, n in kinds if kind == reading}):
             mine = pairs.filter(F.col("len") == n)
-            left = mine.select("key", "item_id", F.posexplode(window_hashes(F.col("words"), n)).alias("doc_at", "hash"))
-            right = mine.select(F.col("key").alias("k2"), F.col("item_id").alias("i2"), F.posexplode(window_hashes(F.col("item_words"), n)).alias("item_at", "h2"), "item_words")
+            left = windows_of(mine, "words", n, "key", "item_id").withColumnRenamed("at", "doc_at")
+            right = windows_of(mine, "item_words", n, "key", "item_id", "item_words").withColumnsRenamed({"key": "k2", "item_id": "i2", "at": "item_at", "hash": "h2"})
             right = right.filter(solid(F.col("item_words"), F.col("item_at"), n)).drop("item_words")
             meet = left.join(right, (F.col("key") == F.col("k2")) & (F.col("item_id") == F.col("i2")) & (F.col("hash") == F.col("h2"))).withColumn("aligned", F.col("doc_at") - F.col("item_at"))
             here = meet.select("key", "item_id", "aligned", "hash")

@@ -309,3 +309,15 @@ def test_names_are_looked_behind_at_capitals_only(spark):
         assert ours.startswith(r"(?=\p{Lu})")
         both = rows.select(decontam.template(t, ours), decontam.template(t, theirs), decontam.slots(t, ours), decontam.slots(t, theirs), decontam.folded(t), F.filter(F.split(F.lower(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
         assert all(r[0] == r[1] and r[2] == r[3] and r[4] == r[5] for r in both.collect())
+
+
+def test_windows_are_hashed_by_compiled_code(spark):
+    """One row for each window with the hash of its words in their order; no lambda, which Spark does not compile."""
+    texts = [list("abcdefghij"), list("aaaa"), ["é", "", "b"], [], None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, words array<string>")
+    for n in (1, 3, 8):
+        made = decontam.windows_of(df, "words", n, "k")
+        assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+        expected = [(k, i, w[i : i + n]) for k, w in enumerate(texts) for i in range(len(w or []) - n + 1)]
+        hashed = spark.createDataFrame(expected, "k long, at int, w array<string>").select("k", "at", F.xxhash64("w"))
+        assert sorted(map(tuple, made.collect())) == sorted(map(tuple, hashed.collect()))
