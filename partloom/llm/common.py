@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ ARROW_ROWS, ARROW_BYTES = 2000, "4m"
 
 _emptied: dict[str, Callable[[], None]] = {}
 _using = ""
+#: Of the C library where it has it: else what is freed stays with the process.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda keep: 0)
 
 
 def keeps(owner: str, empty: Callable[[], None]) -> None:
@@ -24,13 +28,15 @@ def keeps(owner: str, empty: Callable[[], None]) -> None:
 
 
 def alone(owner: str) -> None:
-    """Called in a task before an operator works: workers are used again by later stages, so what others keep is dropped."""
+    """Called in a task before an operator works: workers are used again by later stages, so what others keep is dropped and handed back to the system."""
     global _using
     if owner != _using:
         for name, empty in _emptied.items():
             if name != owner:
                 empty()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        _trim(0)
         _using = owner
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, lookup_join, prepare, without, written
+from .common import alone, free_name, lookup_join, prepare, without, written
 
 #: The classifier is fitted on at most so many labelled rows of each class, those first by a hash of their id.
 LABELS_PER_CLASS = 2_000
@@ -37,6 +37,7 @@ N_FEATURES = 17
 
 def features(text: str | None) -> np.ndarray:
     """Statistics of a whole text; every one is bounded."""
+    alone("quality")
     raw = (text or "").encode()
     n = len(raw)
     f = np.zeros(N_FEATURES)

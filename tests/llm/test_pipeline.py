@@ -5,7 +5,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from partloom.llm import bpe, neardup, pii
+from partloom.llm import bpe, neardup, pii, quality
 from partloom.llm.common import written
 
 FOLDER = "/root/testdata/sf0.01"
@@ -61,6 +61,18 @@ def test_odd_rows_and_empty_tables(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_a_worker_drops_the_encoder_before_quality():
+    """Workers serve one stage after another; the encoder of an earlier table stayed beside what quality needs."""
+
+    class Shared:
+        value = {bytes([b]): b for b in range(256)}
+
+    bpe._encoder(Shared, public_tokenizers.PATTERN)
+    assert bpe._held
+    quality.features("some text")
+    assert not bpe._held
+
+
 def test_personal_data_takes_one_python_worker_a_task(spark):
     rows = [(1, "write to ann.lee@example.org or call +1 555 010 9999 now"), (2, "nothing here"), (3, None), (4, ""), (5, "from 10.0.0.1 and bob (at) example (dot) com, card 4111 1111 1111 1111"), (5, "again 10.0.0.1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
