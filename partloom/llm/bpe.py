@@ -164,20 +164,26 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     return (short if keep_text else short.drop(text)).unionByName(stitched)
 
 
+def put_together(rows: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The bytes that each list of ids stands for: the tokens' bytes are taken in a row, and the lists' ends are places in them."""
+    taken = tokens.take(rows.flatten())
+    places = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+    ends = np.append(0, np.cumsum(np.array(pc.fill_null(pc.list_value_length(rows), 0), np.int64)))
+    whole = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.ascontiguousarray(places[ends])), taken.buffers()[2] or pa.py_buffer(b"")])
+    return pc.if_else(rows.is_null(), pa.scalar(None, pa.binary()), whole) if rows.null_count else whole
+
+
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with the bytes that the ids stand for in `out`: the tokens' bytes, put together. Null ids give null."""
     spark = prepare(df.sparkSession)
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    shared = spark.sparkContext.broadcast(tokens)
+    shared = spark.sparkContext.broadcast(pa.array(tokens, pa.binary()))
 
     @F.arrow_udf(T.BinaryType())
     def together(rows: pa.Array) -> pa.Array:
-        alone("bpe decode")
-        at = shared.value.__getitem__
-        numbers, ends = rows.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.array(pc.fill_null(pc.list_value_length(rows), 0), np.int64))
-        starts, null = np.append(0, ends[:-1]), rows.is_null().to_pylist()
-        return pa.array([None if gone else b"".join(map(at, numbers[a:b].tolist())) for a, b, gone in zip(starts, ends, null)], type=pa.binary())
+        alone("bpe")  # a worker decodes and encodes in turn, and stays with its encoder
+        return put_together(rows, shared.value)
 
     return without(df, out).withColumn(out, together(F.col(ids)))

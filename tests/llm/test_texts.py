@@ -10,6 +10,7 @@ from html import unescape
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -371,6 +372,14 @@ def test_pieces_are_merged_by_rank(ranks):
             assert np.frombuffer(encoder[cut], np.int32).tolist() == [ranks[x] for x in parts]
 
 
+def test_lists_are_put_together_at_once():
+    rows, tokens = pa.array([[1, 2, 3], None, [], [2], [0, 0]], pa.list_(pa.int32())), pa.array([b"a", b"", b"xyz", b"q"], pa.binary())
+    expected = [b"xyzq", None, b"", b"xyz", b"aa"]
+    for a in range(6):
+        for b in range(a, 6):
+            assert bpe.put_together(rows[a:b], tokens).to_pylist() == expected[a:b]
+
+
 def test_token_query(spark, ranks):
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
