@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, written
-from .neardup import _mix, _words, words_of
+from .neardup import _mix, words_of
 
 #: Symbols before the next one, of 8 bits each: with it they fit into one long. A text's end is a newline, which no word holds; newlines stand before its begin as well.
 DEPTH, BITS, LOW = 6, 8, 2
@@ -47,6 +47,9 @@ LEAST_COUNT, LEAST_GAIN = 4, 1.0
 MERGE_AT, HOLD = 3_000_000, 2_000_000
 PIECE = 1_000_000  # bytes of texts, or rows of the table, that a task reads at once
 
+#: Texts that are scored at once: with a code, a text's number among them fits into 64 bits.
+MOST_TEXTS = 256
+
 _PAD = b"\n" * DEPTH
 _MASKS = [(1 << (BITS * d)) - 1 for d in range(DEPTH + 2)]  # of d symbols
 
@@ -97,11 +100,6 @@ class _Sums:
                 yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["k", "n"])
 
 
-def word_keys(words: list[bytes]) -> np.ndarray:
-    """Keys of words: below 0, as codes are not."""
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)).view(np.int64) | np.int64(-(2**63))
-
-
 def running(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of texts given as words, each after DEPTH newlines; the places of their symbols, and each one's text."""
     parts = [b" ".join([*t, b"\n"]) for t in texts]
@@ -110,11 +108,27 @@ def running(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return raw, np.arange(len(of)) + DEPTH * (of + 1), of
 
 
-def pieces(texts: list[str | None]) -> Iterator[slice]:
-    """Runs of texts of about PIECE characters; a longer text is one of its own."""
+def word_keys(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words and ends at the places of `running`, in their order: below 0, as codes are not; and the number of each one's first place.
+
+    A key sums up hashes of a word's bytes at their places in it.
+    """
+    body = raw[at]
+    solid = np.flatnonzero(body != 32)
+    body = body[solid]
+    after = np.flatnonzero((np.diff(solid) > 1) | (body[:-1] == 10)) + 1  # a text's begin follows the end before
+    first = np.append(0, after) if len(solid) else after
+    place = np.arange(len(solid)) - np.repeat(first, np.diff(np.append(first, len(solid))))
+    each = _mix(((place << 8 | body) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h = _mix(np.add.reduceat(each, first)) if len(first) else each
+    return h.view(np.int64) | np.int64(-(2**63)), solid[first]
+
+
+def pieces(texts: list[str | None], most: int = 2**62) -> Iterator[slice]:
+    """Runs of at most so many texts, of about PIECE characters; a longer text is one of its own."""
     first = held = 0
     for i, t in enumerate(texts):
-        if held and held + len(t or "") > PIECE:
+        if held and held + len(t or "") > PIECE or i - first == most:
             yield slice(first, i)
             first, held = i, 0
         held += len(t or "")
@@ -123,12 +137,20 @@ def pieces(texts: list[str | None]) -> Iterator[slice]:
 
 
 def codes_at(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Context of DEPTH symbols and the symbol itself, at each place."""
-    out = np.zeros(len(at), np.int64)
-    for d in range(DEPTH, -1, -1):
-        out <<= BITS
-        out |= raw[at - d]
-    return out
+    """Context of DEPTH symbols and the symbol itself, at each of some rising places."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    held = np.concatenate([np.zeros(7 - DEPTH, np.uint8), raw[at[0] - DEPTH : at[-1] + 1]])
+    eight = np.ndarray(len(held) - 7, ">u8", held, strides=(1,))  # the bytes up to each place, read as one number
+    return eight[at - at[0]].astype(np.uint64).view(np.int64) & _MASKS[DEPTH + 1]
+
+
+def occurrences(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of a key (at least 0, of 56 bits) and a text's number (under MOST_TEXTS) in order, and how often each stands."""
+    pairs = np.sort(keys.astype(np.uint64) << np.uint64(8) | of.astype(np.uint64))
+    first = _runs(pairs)
+    own = pairs[first]
+    return (own >> np.uint64(8)).astype(np.int64), (own & np.uint64(MOST_TEXTS - 1)).astype(np.int64), np.diff(np.append(first, len(pairs)))
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -144,7 +166,7 @@ def counts(docs: DataFrame) -> DataFrame:
                     if not held:
                         continue
                     raw, at, _ = running(held)
-                    found = [word_keys([w for t in held for w in (*t, b"\n")]), *(codes_at(raw, at[i : i + PIECE]) for i in range(0, len(at), PIECE))]
+                    found = [word_keys(raw, at)[0], *(codes_at(raw, at[i : i + PIECE]) for i in range(0, len(at), PIECE))]
                     for keys in found:
                         k, n = _counted(keys)
                         yield from sums.add(k, n if learns else np.zeros(len(n), np.int64))
@@ -292,8 +314,10 @@ def scored(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "do
     def looked_up(of_words: bool, k: np.ndarray, of: np.ndarray, n_texts: int) -> tuple:
         """Over texts: the sum of what heavy keys add, their number; and of the other keys: key, text, occurrences."""
         keys, x = shared.value[0 if of_words else 1]
-        order = np.argsort(k)
-        k, of = k[order], of[order]
+        if of_words:  # their keys are too long for a pair: the ranks stand for them
+            distinct, k = np.unique(k, return_inverse=True)
+        k, of, tf = occurrences(k, of)
+        k = distinct[k] if of_words else k
         first = _runs(k)
         own = k[first]
         at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
@@ -302,24 +326,21 @@ def scored(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "do
         adds = np.repeat(np.where(known, x[at].astype(np.float64), 0) if len(keys) else np.zeros(len(own)), size)
         known = np.repeat(known, size)
         light = ~known
-        k, light_of = k[light], of[light]
-        order = np.lexsort((light_of, k))
-        k, light_of = k[order], light_of[order]
-        first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (light_of[1:] != light_of[:-1])])) if len(k) else np.zeros(0, np.int64)
-        return np.bincount(of, adds, n_texts), np.bincount(of, known, n_texts), k[first], light_of[first], np.diff(np.append(first, len(k)))
+        return np.bincount(of, adds * tf, n_texts), np.bincount(of, known * tf, n_texts), k[light], of[light], tf[light]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of k (a word or code to be joined, or a spare key), row, doc_id, tf, and sums: over a row's rows they are its results."""
         for b in batches:
             every = b.column("text").to_pylist()
-            for part in pieces(every):
+            for part in pieces(every, MOST_TEXTS):
                 yield from one(every[part], np.array(b.column("row"))[part], b.column("doc_id")[part])
 
     def one(given: list, row: np.ndarray, doc: pa.Array) -> Iterator[pa.RecordBatch]:
         texts, size = [words_of(t) for t in given], len(given)
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        s, known, k, of, tf = looked_up(True, word_keys([w for t in texts for w in (*t, b"\n")]), np.repeat(np.arange(size), sizes), size)
         raw, places, text_of = running(texts)
+        keys, at = word_keys(raw, places)
+        s, known, k, of, tf = looked_up(True, keys, text_of[at], size)
         score, light = np.zeros(size), [(k, of, tf)]
         for i in range(0, len(places), PIECE):
             found = looked_up(False, codes_at(raw, places[i : i + PIECE]), text_of[i : i + PIECE], size)

@@ -16,7 +16,7 @@ import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from partloom.llm import bpe, common, html, langid, lstm, pii, pst, quality, queries, urls
+from partloom.llm import bpe, common, html, langid, lstm, neardup, pii, pst, quality, queries, urls
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "word " * 60_000), (5, "é漢字 ﷺ \u00a0 x"), (6, "same"), (6, "same"), (None, "no id here")]
@@ -336,6 +336,22 @@ def test_scoring_reads_words_in_their_order(docs_of):
     assert got[100].base_score == got[101].base_score and got[100].score > got[101].score + 3
 
 
+def test_codes_and_words_of_a_running_text():
+    texts = [neardup.words_of(t) for t in (None, "", " a\x1cb c\x0bd\nA  a", "é漢 x", "\n", "z" * 300 + " zz", "ab ba abc")]
+    raw, at, of = pst.running(texts)
+    keys, first = pst.word_keys(raw, at)
+    words = [w for t in texts for w in (*t, b"\n")]
+    assert len(keys) == len(words) and len(set(keys.tolist())) == len(set(words)) == len(set(zip(keys.tolist(), words))) and keys.max() < 0
+    assert of[first].tolist() == [i for i, t in enumerate(texts) for _ in range(len(t) + 1)]
+    codes = [int.from_bytes(raw[i - pst.DEPTH : i + 1].tobytes()) for i in at]
+    assert pst.codes_at(raw, at).tolist() == codes and pst.codes_at(raw, at[7:30]).tolist() == codes[7:30] and not len(pst.codes_at(raw, at[:0]))
+    found = Counter(zip(codes, of.tolist()))
+    assert {(int(k), int(t)): int(n) for k, t, n in zip(*pst.occurrences(np.array(codes), of))} == dict(found)
+    top = np.array([2**56 - 1, 0, 2**56 - 1])
+    assert [x.tolist() for x in pst.occurrences(top, np.array([255, 0, 255]))] == [[0, 2**56 - 1], [0, 255], [1, 2]]
+    assert [(p.start, p.stop) for p in pst.pieces(["x"] * 600, pst.MOST_TEXTS)] == [(0, 256), (256, 512), (512, 600)]
+
+
 # ---- tokens ----
 
 
