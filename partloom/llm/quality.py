@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = LABELS_PER_CLASS) -
 
 
 def evidence(text: Column, model: dict | None, spark) -> Column:
-    """The classifier's log odds of good quality."""
+    """The classifier's log odds of good quality; never null, and named so: else a filter on them is given a null check, for which every text is judged once more by a second Python worker."""
     if model is None:
         return F.lit(0.0)
     shared = spark.sparkContext.broadcast(model)
@@ -119,7 +119,7 @@ def evidence(text: Column, model: dict | None, spark) -> Column:
         x = np.array([features(t) for t in texts.to_pylist()]).reshape(-1, N_FEATURES)
         return pa.array(log_odds(shared.value, x))
 
-    return odds(text)
+    return F.coalesce(odds(text), F.lit(0.0))
 
 
 def _logit(p: Column) -> Column:

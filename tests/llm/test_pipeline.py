@@ -73,6 +73,16 @@ def test_a_worker_drops_the_encoder_before_quality():
     assert not bpe._held
 
 
+def test_quality_takes_one_python_worker_a_task(spark):
+    """The filter on what is kept got a null check of its own, for which each text was judged twice."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    made = corpus_pipeline.quality_stage(spark, docs, FOLDER)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    judged = written(quality.classify(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"), host=F.col("source"), path=F.col("lang")))
+    expected = sorted(r.doc_id for r in judged.filter("kept").collect())
+    assert sorted(r.doc_id for r in made.collect()) == expected and 0 < len(expected) < docs.count()
+
+
 def test_personal_data_takes_one_python_worker_a_task(spark):
     rows = [(1, "write to ann.lee@example.org or call +1 555 010 9999 now"), (2, "nothing here"), (3, None), (4, ""), (5, "from 10.0.0.1 and bob (at) example (dot) com, card 4111 1111 1111 1111"), (5, "again 10.0.0.1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
