@@ -55,7 +55,11 @@ def exploded_first(rows: DataFrame, row_id: str, items: Column, known: DataFrame
 
 def rule_hits(kind: Column, value: Column, name: Column, line: Column, series: Column) -> Column:
     """Whether an override rule applies: glob or prefix on the name (case matters), or equality with the line or series."""
-    return F.when(kind == "glob", F.call_function("rlike", name, glob_regex(value))).when(kind == "prefix", F.startswith(name, value)).when(kind == "line", line == value).when(kind == "series", series == value).otherwise(False)
+    # a pattern of two ends around one star needs no regular expression, which would be made anew for each row
+    head, tail = F.substring_index(value, "*", 1), F.substring_index(value, "*", -1)
+    ends = (F.length(name) >= F.length(value) - 1) & F.startswith(name, head) & F.endswith(name, tail)
+    glob = F.when(value.rlike(r"^[^*?\[]*\*[^*?\[]*$"), ends).otherwise(F.call_function("rlike", name, glob_regex(value)))
+    return F.when(kind == "glob", glob).when(kind == "prefix", F.startswith(name, value)).when(kind == "line", line == value).when(kind == "series", series == value).otherwise(False)
 
 
 def last_enclosing(parents: DataFrame, children: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -77,6 +77,16 @@ RULES = [("glob", "*widg?t", "Brand#12", "confirmed"), ("glob", "*WIDGET", "", "
 _rules_sql = ", ".join(f"('{k}', '{v}', '{b}', '{s}')" for k, v, b, s in RULES)
 
 
+def _of_rules(part, rules, *said):
+    """Parts that rules apply to, with what is said of these: found once for each distinct name, brand and size, then joined to its parts."""
+    keys = ["p_name", "p_brand", "size"]
+    parts = part.select("p_partkey", "p_name", "p_brand", F.col("p_size").cast("string").alias("size"))
+    found = overrides.applied(parts.select(*keys).distinct(), rules, "p_name", "p_brand", "size", "p_brand").groupBy(*keys).agg(*said)
+    mine = found.withColumnsRenamed({c: f"_{c}" for c in keys})
+    # never by a broadcast of its size before the rules were met
+    return parts.join(mine.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]).drop(*[f"_{c}" for c in keys])
+
+
 @query(f"""
 WITH rules(kind, value, vendor, status) AS (VALUES {_rules_sql})
 SELECT p_partkey, count(*) FILTER (status IN ('confirmed', 'verified')) AS n_confirmed, count(*) FILTER (status NOT IN ('confirmed', 'verified')) AS n_pending
@@ -113,9 +123,9 @@ def override_rules_of_table(t):
         .otherwise(F.col("p_size").cast("string"))
     )
     rules = t.part.filter(k % 10 < 5).select(kind.alias("kind"), value.alias("value"), F.when(k % 3 == 0, F.col("p_brand")).otherwise("").alias("vendor")).distinct()
-    parts = t.part.select("p_partkey", "p_name", "p_brand", F.col("p_size").cast("string").alias("size"))
     said = F.concat_ws(" ", "rule.kind", "rule.value")
-    return overrides.applied(parts, rules, "p_name", "p_brand", "size", "p_brand").groupBy("p_partkey").agg(F.count("*").alias("n_rules"), F.min(said).alias("first_rule"), F.max(said).alias("last_rule"))
+    per = _of_rules(t.part, rules, F.count("*").alias("n_rules"), F.min(said).alias("first_rule"), F.max(said).alias("last_rule"))
+    return per.groupBy("p_partkey").agg(F.sum("n_rules").alias("n_rules"), F.min("first_rule").alias("first_rule"), F.max("last_rule").alias("last_rule"))
 
 
 @query(r"""

@@ -133,6 +133,20 @@ def test_overrides_follow_every_rule_against_every_device(spark):
     assert overrides.applied(df, rule_df.limit(0)).count() == 0 and overrides.applied(df.limit(0), rule_df).count() == 0
 
 
+def test_override_rules_are_broadcast_if_few_and_devices_never(spark, monkeypatch):
+    named = F.concat(F.lit("n"), (F.col("id") % 50).cast("string"))
+    devices = spark.range(1000).select("id", named.alias("device_name"), F.lit("l").alias("product_line"), F.lit("s").alias("series"), F.when(F.col("id") % 2 == 0, "v").alias("manufacturer"))
+    rules = spark.createDataFrame([("glob", "n1*", ""), ("glob", "n*8", "v"), ("glob", "*", "v"), ("glob", "n?", None), ("prefix", "n4", "w"), ("line", "l", "")], "kind string, value string, vendor string")
+    rows = lambda df: sorted((r.id, r.rule.kind, r.rule.value) for r in df.collect())
+    few = overrides.applied(devices, rules)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan  # devices stand on the left
+    monkeypatch.setattr(overrides, "BROADCAST_RULES", 0)
+    many = overrides.applied(devices, rules)
+    assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+    assert rows(few) == rows(many) and len(rows(few)) == 220 + 100 + 500 + 200 + 1000
+
+
 def test_a_selector_with_odd_rows(spark):
     rows = [("x1", "2", "N/A"), ("", "2", "7"), (None, "2", "7"), ("x2", "NO", "7"), ("x3", "4 ports", "-"), ("x1", "2", "N/A")]
     raw = spark.createDataFrame(rows, "mpn string, uart string, gpio string").withColumn("kind", F.lit("own")).withColumn("body", F.lit(1))
