@@ -147,6 +147,14 @@ def test_override_rules_are_broadcast_if_few_and_devices_never(spark, monkeypatc
     assert rows(few) == rows(many) and len(rows(few)) == 220 + 100 + 500 + 200 + 1000
 
 
+def test_queries_of_override_rules_never_broadcast_parts(spark):
+    from partloom.plans.catalog import QUERIES
+
+    for name in ("filter_override_rules", "override_rules_of_table"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" in plan, name
+
+
 def test_a_selector_with_odd_rows(spark):
     rows = [("x1", "2", "N/A"), ("", "2", "7"), (None, "2", "7"), ("x2", "NO", "7"), ("x3", "4 ports", "-"), ("x1", "2", "N/A")]
     raw = spark.createDataFrame(rows, "mpn string, uart string, gpio string").withColumn("kind", F.lit("own")).withColumn("body", F.lit(1))
