@@ -1,8 +1,8 @@
 """Archives as a Spark source: zip and tar members as rows, planned by archive or by runs of members, and written back.
 
 `spark.read.format("archive_members")` lists a folder (any file system that Arrow opens), plans a partition for each run
-of small archives, for each run of members of a large zip (its directory says where they are), and for each tar, which is
-read as a stream: a task holds one member at a time, never an archive.
+of small archives, for each run of members of a large zip (its directory says where they are), and for each large tar,
+which is read as a stream: a task holds a batch of members at a time, never an archive.
 
 Defined results: members come in the order of the archive; a file that is no archive, or an archive that breaks off,
 gives what was read before and then a row with an error and no bytes; a member that cannot be read gives an error row of
@@ -29,6 +29,12 @@ from partloom.session import ship
 SCHEMA = "path string, member string, bytes binary, error string"
 #: Bytes that one partition reads, about.
 RUN_BYTES = 64 << 20
+#: Runs of fewer bytes than these are made longer where there would be more of them: a partition costs more than it reads then.
+MOST_RUNS = 512
+#: Rows and bytes of the batches that a task hands over.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: What names of tars end in. They are not cut.
+_STREAMS = (".tar", ".gz", ".tgz", ".bz2", ".tbz2", ".xz", ".txz")
 _BROKEN = (tarfile.TarError, zipfile.BadZipFile, zlib.error, OSError, EOFError, NotImplementedError, RuntimeError)
 
 
@@ -36,6 +42,11 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"path": pa.string(), "member": pa.string(), "bytes": pa.binary(), "error": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds.values())], names=[*kinds])
+
+
 class Run(InputPartition):
     """Archives, each with the numbers of its members from and to (to is None: all that follow)."""
 
@@ -52,24 +63,30 @@ class ArchiveReader(DataSourceReader):
         system, where = _opened(self.path)
         info = system.get_file_info(where)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(where, allow_not_found=True, recursive=True))
+        files = sorted((f for f in found if f.type == fs.FileType.File), key=lambda f: f.path)
+        together, cut = self._run_of(files), self._run_of([f for f in files if not f.path.lower().endswith(_STREAMS)])
         runs, small, held = [], [], 0
-        for f in sorted((f for f in found if f.type == fs.FileType.File), key=lambda f: f.path):
-            if f.size > self.run_bytes and (cuts := self._cuts(system, f.path)):
+        for f in files:
+            if f.size > cut and (cuts := self._cuts(system, f.path, cut)):
                 runs += [Run([(f.path, a, b)]) for a, b in zip(cuts, cuts[1:])]
                 continue
-            if small and held + f.size > self.run_bytes:
+            if small and held + f.size > together:
                 runs.append(Run(small))
                 small, held = [], 0
             small, held = [*small, (f.path, 0, None)], held + f.size
         return runs + [Run(small)] if small or not runs else runs
 
-    def _cuts(self, system: fs.FileSystem, path: str) -> list[int]:
+    def _run_of(self, files: list[fs.FileInfo]) -> int:
+        """Bytes of a run, such that runs of fewer bytes than RUN_BYTES are about MOST_RUNS at most."""
+        return max(self.run_bytes, min(RUN_BYTES, sum(f.size for f in files) // MOST_RUNS))
+
+    def _cuts(self, system: fs.FileSystem, path: str, run_bytes: int) -> list[int]:
         """Where runs of members begin, and the number of members; empty for what is no zip."""
         try:
             with system.open_input_file(path) as f, zipfile.ZipFile(f) as z:
                 cuts, held, members = [0], 0, z.infolist()
                 for i, m in enumerate(members):
-                    if held and held + m.compress_size > self.run_bytes:
+                    if held and held + m.compress_size > run_bytes:
                         cuts.append(i)
                         held = 0
                     held += m.compress_size
@@ -77,7 +94,18 @@ class ArchiveReader(DataSourceReader):
         except _BROKEN:
             return []
 
-    def read(self, partition: Run) -> Iterator[tuple]:
+    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for row in self._rows(partition):
+            rows.append(row)
+            held += len(row[2] or b"")
+            if len(rows) == BATCH_ROWS or held > BATCH_BYTES:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _rows(self, partition: Run) -> Iterator[tuple]:
         system = _opened(self.path)[0]
         for path, first, last in partition.parts:
             try:
@@ -139,14 +167,13 @@ def write_archives(members: DataFrame, folder: str) -> DataFrame:
         system, where = _opened(folder)
         system.create_dir(where, recursive=True)
         name, held = rows["archive"][0].as_py(), io.BytesIO()
-        order = sorted(range(rows.num_rows), key=lambda i: rows["member"][i].as_py())
-        each = [(rows["member"][i].as_py(), rows["bytes"][i].as_py()) for i in order]
+        each = sorted(zip(rows["member"].to_pylist(), rows["bytes"].to_pylist()), key=lambda m: m[0])
         if name.endswith(".zip"):
             with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
                 for member, content in each:
                     z.writestr(zipfile.ZipInfo(member, (1980, 1, 1, 0, 0, 0)), content, zipfile.ZIP_DEFLATED)
         else:
-            with tarfile.open(fileobj=held, mode="w:gz") as t:
+            with tarfile.open(fileobj=held, mode="w:gz", compresslevel=6) as t:
                 for member, content in each:
                     info = tarfile.TarInfo(member)
                     info.size = len(content)

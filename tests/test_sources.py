@@ -110,6 +110,22 @@ def test_archives_that_break_off(spark, tmp_path):
     assert len(archives.read_archives(spark, str(tmp_path / "a.zip")).collect()) == 11
 
 
+def test_many_small_archives_are_read_in_few_runs(tmp_path):
+    for i in range(1500):
+        if i % 3:
+            with zipfile.ZipFile(tmp_path / f"{i}.zip", "w") as z:
+                for k in range(5):
+                    z.writestr(f"d/{k}.xml", f"<x{k} of='{i}'/>")
+        else:
+            (tmp_path / f"{i}.tar").write_bytes(b"nothing")
+    reader = archives.ArchiveReader({"path": str(tmp_path), "extensions": '[".xml"]', "runbytes": "30"})
+    planned = reader.partitions()
+    assert 400 < len(planned) < 1200  # 2,000 runs of 30 bytes and more, but longer ones are enough
+    got = [r for p in planned for batch in reader.read(p) for r in batch.to_pylist()]
+    assert sorted((r["path"].rsplit("/", 1)[1], r["member"]) for r in got if r["bytes"] is not None) == sorted((f"{i}.zip", f"d/{k}.xml") for i in range(1500) if i % 3 for k in range(5))
+    assert sum(r["error"] is not None for r in got) == 500
+
+
 def test_shards_beyond_a_thousand_are_those_of_the_sql(spark, tmp_path):
     import duckdb
 
