@@ -109,9 +109,9 @@ SELECT device_id, manufacturer, device_name, core_names, replace(core_names, ';'
   inventory, own_accelerators + CAST(rule_1 AS INTEGER) + CAST(rule_3 AS INTEGER) AS n_accelerators, n_special, n_pending
 FROM r""")
 def device_capabilities(t):
-    read = lambda c: F.from_json(c, "array<map<string,string>>")
-    number = lambda c, name: F.size(read(c)).cast("bigint").alias(name)
-    inventory = F.array_join(F.array_sort(F.transform(read("peripheral_inventory_json"), lambda x: x["category"])), ";").alias("inventory")
+    number = lambda c, name: F.json_array_length(c).cast("bigint").alias(name)
+    listed = F.from_json("peripheral_inventory_json", "array<struct<category:string>>")
+    inventory = F.array_join(F.array_sort(listed["category"]), ";").alias("inventory")
     held = records(t)
     return held.select(*[c for c in held.columns if not c.endswith("_json")], inventory, number("accelerators_json", "n_accelerators"), number("special_features_json", "n_special"), number("pending_feature_candidates_json", "n_pending"))
 

@@ -202,6 +202,25 @@ def test_archive_siblings(spark, tmp_path):
     assert {(r.dir, r.error) for r in text.siblings(found, "/studio_5.0/view.xml", "/base/view.xml").collect()} == {("d/x", None), ("d/y", "no sibling")}
 
 
+def test_a_capability_record_reads_each_feature_once(spark):
+    from partloom.operators import capability
+    from partloom.plans.enrich import RULE_FIELDS
+
+    features = [{"type": "Timer", "name": "watchdog timer", "count": "1"}, {"type": "SPI", "count": "3"}, {"type": "spi", "count": "5", "source_kind": "microchip_atdf"}, {"type": "CAN", "name": "CAN FD", "n": "2"}, {"type": "RTC", "count": "0"}, None]
+    schema = "device_id int, manufacturer string, device_name string, product_line string, series string, processors array<map<string,string>>, features array<map<string,string>>, max_clock_hz double, source_id string, verification_status string"
+    devices = spark.createDataFrame([(n, "v", "d", "l", "s", [], fs, None, "s", "") for n, fs in enumerate((features, []))], schema)
+    found = capability.records(devices, spark.createDataFrame([], ", ".join(f"{c} string" for c in RULE_FIELDS)))
+    full, bare = found.orderBy("device_id").collect()
+    assert (full.timer_count, full.watchdog_count, full.spi_count, full.can_count, full.can_fd_present, full.rtc_present, full.adc_quantity_semantics) == (None, 1, 5, 2, "yes", "no", "unknown")
+    assert full.peripheral_inventory_json.count('"category"') == 4 and full.accelerators_json == "[]" and bare.rtc_present == "unknown"
+    spark.conf.set("spark.sql.debug.maxToStringFields", 2000)
+    try:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("inf(inity)?") < 12  # the form of a number, in counts of features and of processors
+
+
 def test_what_was_written_can_be_cleared(spark):
     from pathlib import Path
 
